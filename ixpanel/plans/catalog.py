@@ -38,3 +38,143 @@ def q_panel_sort(spark, d):
 @register("panel_profile")
 def q_panel_profile(spark, d):
     return P.panel_profile(V.panel(spark, d))
+
+
+# ---------------------------------------------------------------- rendered sheets
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import scalars as S  # noqa: E402
+from ..operators import grids as G  # noqa: E402
+from ..operators import requests as RQ  # noqa: E402
+
+AS_OF_MONTH = "2001-12"   # "now" of the link/date rules, a fixed parameter
+
+
+def _own_month_targets(cells):
+    """Each workbook's own month, read from its file name."""
+    return cells.select("file").distinct().select(
+        "file", S.date_from_text(F.col("file"), F.lit(AS_OF_MONTH)).alias("current_month"))
+
+
+@register("header_row")
+def q_header_row(spark, d):
+    return G.header_rows(G.first_sheet(V.sheet_cells(spark, d)))
+
+
+@register("category_column")
+def q_category_column(spark, d):
+    c1 = G.first_sheet(V.sheet_cells(spark, d))
+    return G.category_column(c1, G.header_rows(c1))
+
+
+@register("column_map")
+def q_column_map(spark, d):
+    cells = V.sheet_cells(spark, d)
+    c1 = G.first_sheet(cells)
+    hdr = G.header_rows(c1)
+    targets = _own_month_targets(cells).join(hdr.select("file", "sheet"), "file")
+    return G.column_map(c1, hdr, targets)
+
+
+@register("sheet_records")
+def q_sheet_records(spark, d):
+    cells = V.sheet_cells(spark, d)
+    return G.sheet_records(cells, _own_month_targets(cells)).drop(
+        "nsa_previous_mapped", "nsa_current_mapped")
+
+
+@register("sheet_long")
+def q_sheet_long(spark, d):
+    cells = V.sheet_cells(spark, d)
+    rec = G.sheet_records(cells, _own_month_targets(cells))
+    wide = rec.select("file", F.col("label").alias("category"), "current_month",
+                      S.previous_month(F.col("current_month")).alias("previous_month"),
+                      "nsa_previous", "nsa_current", "sa_previous", "sa_current")
+    return P.long_format(wide, keys=("file",))
+
+
+@register("sa_fallback")
+def q_sa_fallback(spark, d):
+    cells = V.sheet_cells(spark, d).filter(~F.col("c").isin(5, 6))
+    return G.sheet_records(cells, _own_month_targets(cells)).select(
+        "file", "label", "current_month", "nsa_previous", "nsa_current", "sa_previous", "sa_current")
+
+
+@register("category_catalogue")
+def q_category_catalogue(spark, d):
+    return G.category_catalogue(V.sheet_cells(spark, d), 20)
+
+
+def _batch(spark, d):
+    return RQ.answer(V.sheet_cells(spark, d), V.requests(spark, d))
+
+
+@register("request_valid")
+def q_request_valid(spark, d):
+    checked = RQ.validate(V.requests(spark, d))
+    return checked.select("request_id", "date", "n_categories",
+                          F.col("reason").isNull().alias("valid"), "reason")
+
+
+@register("category_list")
+def q_category_list(spark, d):
+    checked = RQ.validate(V.requests(spark, d))
+    return checked.select("request_id", F.posexplode("category_list").alias("ord", "category"))
+
+
+@register("month_shift")
+def q_month_shift(spark, d):
+    r = V.requests(spark, d)
+    return r.select("request_id", "date",
+                    S.current_month(F.col("date")).alias("current_month"),
+                    S.previous_month(F.col("date")).alias("previous_month"))
+
+
+@register("category_lookup")
+def q_category_lookup(spark, d):
+    cells = V.sheet_cells(spark, d)
+    checked = RQ.validate(V.requests(spark, d))
+    routed = RQ.route_by_date(RQ.explode_valid(checked))
+    c1 = G.first_sheet(cells)
+    first = G.category_first_rows(c1, G.category_column(c1, G.header_rows(c1)))
+    q, f = routed.alias("q"), first.alias("f")
+    j = q.join(f, (F.col("q.file") == F.col("f.file")) & (F.col("q.ticker") == F.col("f.label")))
+    return j.select("q.request_id", "q.ord", "q.ticker", "q.file", "f.r_raw")
+
+
+@register("wide_record")
+def q_wide_record(spark, d):
+    return _batch(spark, d)[2]
+
+
+@register("month_labelled")
+def q_month_labelled(spark, d):
+    return P.month_labelled(_batch(spark, d)[2])
+
+
+@register("long_format")
+def q_long_format(spark, d):
+    return _batch(spark, d)[3]
+
+
+@register("mom_change_wide")
+def q_mom_change_wide(spark, d):
+    return P.mom_change_wide(_batch(spark, d)[2])
+
+
+@register("missing_categories")
+def q_missing(spark, d):
+    _, routed, wide, _ = _batch(spark, d)
+    return RQ.missing_categories(routed, wide)
+
+
+@register("coverage")
+def q_coverage(spark, d):
+    checked, _, wide, long = _batch(spark, d)
+    return RQ.coverage(checked, wide, long)
+
+
+@register("batch_requests")
+def q_batch_requests(spark, d):
+    return P.panel_sort(_batch(spark, d)[3])

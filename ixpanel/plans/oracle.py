@@ -62,3 +62,209 @@ SELECT count(*) AS n_rows, count(DISTINCT category) AS n_categories,
        string_agg(DISTINCT adjustment, ',' ORDER BY adjustment) AS adjustments
 FROM panel
 """
+
+
+# ---------------------------------------------------------------- rendered sheets
+# Expected values of the supplemental sheets rendered from the panel: month m
+# holds each category of m at row 6 + rank, with m-1 and m values; every cell
+# hit by the placeholder rule reads back as null.
+
+def _ph(c: int, col: str) -> str:
+    return f"CASE WHEN (r_raw * 3 + {c} + mord) % 7 = 0 THEN NULL ELSE CAST({col} AS DOUBLE) END"
+
+
+SHEETS = PANEL_WIDE + f""",
+sheet AS (
+  SELECT cur.category, cur.date,
+         'cpi-u-' || replace(cur.date, '-', '') || '.xlsx' AS file,
+         CAST(row_number() OVER (PARTITION BY cur.date ORDER BY cur.category) + 5 AS INTEGER) AS r_raw,
+         CAST(substr(cur.date, 1, 4) AS INTEGER) * 12 + CAST(substr(cur.date, 6, 2) AS INTEGER) AS mord,
+         {prev_month_sql('cur.date')} AS prev_date,
+         cur.nsa AS nsa_cur, cur.sa AS sa_cur, prev.nsa AS nsa_prev, prev.sa AS sa_prev
+  FROM panel_wide cur LEFT JOIN panel_wide prev
+    ON prev.category = cur.category AND prev.date = {prev_month_sql('cur.date')}),
+sheet_vals AS (
+  SELECT file, 'Table 7' AS sheet, date AS current_month, prev_date AS previous_month,
+         category AS label, r_raw,
+         {_ph(3, 'nsa_prev')} AS nsa_previous,
+         {_ph(4, 'nsa_cur')} AS nsa_current,
+         {_ph(5, 'sa_prev')} AS sa_previous,
+         {_ph(6, 'sa_cur')} AS sa_current
+  FROM sheet)"""
+
+SQL["header_row"] = f"""
+WITH {PANEL_WIDE}
+SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
+       CAST(3 AS INTEGER) AS header_r
+FROM panel_wide
+"""
+
+SQL["category_column"] = f"""
+WITH {PANEL_WIDE}
+SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
+       CAST(1 AS INTEGER) AS cat_c
+FROM panel_wide
+"""
+
+SQL["column_map"] = f"""
+WITH {PANEL_WIDE}
+SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
+       date AS current_month,
+       CAST(3 AS INTEGER) AS c_nsa_previous, CAST(4 AS INTEGER) AS c_nsa_current,
+       CAST(5 AS INTEGER) AS c_sa_previous, CAST(6 AS INTEGER) AS c_sa_current
+FROM panel_wide
+"""
+
+SQL["sheet_records"] = f"""
+WITH {SHEETS}
+SELECT file, sheet, current_month, label, r_raw, nsa_previous, nsa_current, sa_previous, sa_current
+FROM sheet_vals
+"""
+
+SQL["sheet_long"] = f"""
+WITH {SHEETS},
+st AS (
+  SELECT file, label AS category, previous_month AS date, nsa_previous AS "index", 'nsa' AS adjustment FROM sheet_vals
+  UNION ALL SELECT file, label, current_month, nsa_current, 'nsa' FROM sheet_vals
+  UNION ALL SELECT file, label, previous_month, sa_previous, 'sa' FROM sheet_vals
+  UNION ALL SELECT file, label, current_month, sa_current, 'sa' FROM sheet_vals)
+SELECT file, category, date, "index", adjustment FROM st
+WHERE "index" IS NOT NULL AND NOT isnan("index")
+"""
+
+SQL["sa_fallback"] = f"""
+WITH {SHEETS}
+SELECT file, label, current_month, nsa_previous, nsa_current,
+       nsa_previous AS sa_previous, nsa_current AS sa_current
+FROM sheet_vals
+"""
+
+SQL["category_catalogue"] = f"""
+WITH {SHEETS}
+SELECT file, sheet, r_raw, label AS category FROM sheet_vals WHERE r_raw < 26
+"""
+
+# ---------------------------------------------------------------- requests
+
+REQUESTS = """
+req AS (
+  SELECT o_orderkey AS request_id,
+         concat_ws(',', 'Brand#' || CAST(o_orderkey % 25 + 1 AS VARCHAR),
+                   ' Brand#' || CAST((o_orderkey * 7 + 3) % 25 + 1 AS VARCHAR) || ' ',
+                   CASE WHEN o_orderkey % 5 = 0 THEN 'Brand#' || CAST(o_orderkey % 25 + 1 AS VARCHAR) END,
+                   CASE WHEN o_orderkey % 3 = 0 THEN 'Brand#99' END,
+                   CASE WHEN o_orderkey % 11 = 0 THEN ' ' END) AS categories,
+         CASE WHEN o_orderkey % 50 = 7 THEN strftime(o_orderdate, '%Y') || '-' || CAST(month(o_orderdate) AS VARCHAR)
+              WHEN o_orderkey % 50 = 13 THEN strftime(o_orderdate, '%Y') || '-13'
+              ELSE strftime(o_orderdate, '%Y-%m') END AS date
+  FROM orders),
+chk0 AS (
+  SELECT request_id, categories, date,
+         list_filter(list_transform(string_split(categories, ','), lambda x: trim(x)), lambda x: x <> '') AS lst
+  FROM req),
+chk AS (
+  SELECT request_id, date, lst, CAST(len(lst) AS INTEGER) AS n_categories,
+         CASE WHEN NOT coalesce(regexp_matches(date, '^[0-9]{4}-(1[0-2]|0[1-9]|[1-9])$'), false)
+                THEN 'date must be YYYY-MM'
+              WHEN len(lst) < 1 THEN 'at least one category must be specified'
+              WHEN len(lst) > 20 THEN 'maximum 20 categories' END AS reason
+  FROM chk0),
+ex0 AS (
+  SELECT request_id, date, unnest(lst) AS ticker, CAST(unnest(range(0, len(lst))) AS INTEGER) AS ord
+  FROM chk WHERE reason IS NULL),
+ex AS (
+  SELECT request_id, date, ticker, ord,
+         strftime(make_date(CAST(split_part(date, '-', 1) AS INTEGER),
+                            CAST(split_part(date, '-', 2) AS INTEGER), 1), '%Y-%m') AS current_month,
+         strftime(make_date(CAST(split_part(date, '-', 1) AS INTEGER),
+                            CAST(split_part(date, '-', 2) AS INTEGER), 1) - INTERVAL 1 MONTH, '%Y-%m')
+           AS previous_month
+  FROM ex0)"""
+
+BATCH = SHEETS + "," + REQUESTS + """,
+wide AS (
+  SELECT ex.request_id, ex.ord, ex.ticker AS category, ex.current_month, ex.previous_month,
+         sv.nsa_previous, sv.nsa_current, sv.sa_previous, sv.sa_current
+  FROM ex JOIN sheet_vals sv ON sv.current_month = ex.current_month AND sv.label = ex.ticker),
+long0 AS (
+  SELECT request_id, ord, category, previous_month AS date, nsa_previous AS "index", 'nsa' AS adjustment FROM wide
+  UNION ALL SELECT request_id, ord, category, current_month, nsa_current, 'nsa' FROM wide
+  UNION ALL SELECT request_id, ord, category, previous_month, sa_previous, 'sa' FROM wide
+  UNION ALL SELECT request_id, ord, category, current_month, sa_current, 'sa' FROM wide),
+long AS (SELECT * FROM long0 WHERE "index" IS NOT NULL AND NOT isnan("index"))"""
+
+SQL["request_valid"] = f"""
+WITH {REQUESTS}
+SELECT request_id, date, n_categories, reason IS NULL AS valid, reason FROM chk
+"""
+
+SQL["category_list"] = f"""
+WITH {REQUESTS}
+SELECT request_id, CAST(unnest(range(0, len(lst))) AS INTEGER) AS ord, unnest(lst) AS category FROM chk
+"""
+
+SQL["month_shift"] = f"""
+WITH {REQUESTS}
+SELECT request_id, date,
+       CASE WHEN coalesce(regexp_matches(date, '^[0-9]{{4}}-(1[0-2]|0[1-9]|[1-9])$'), false) THEN
+         strftime(make_date(CAST(split_part(date, '-', 1) AS INTEGER),
+                            CAST(split_part(date, '-', 2) AS INTEGER), 1), '%Y-%m') END AS current_month,
+       CASE WHEN coalesce(regexp_matches(date, '^[0-9]{{4}}-(1[0-2]|0[1-9]|[1-9])$'), false) THEN
+         strftime(make_date(CAST(split_part(date, '-', 1) AS INTEGER),
+                            CAST(split_part(date, '-', 2) AS INTEGER), 1) - INTERVAL 1 MONTH, '%Y-%m') END
+         AS previous_month
+FROM req
+"""
+
+SQL["category_lookup"] = f"""
+WITH {BATCH}
+SELECT ex.request_id, ex.ord, ex.ticker, sv.file, sv.r_raw
+FROM ex JOIN sheet_vals sv ON sv.file = 'cpi-u-' || replace(ex.current_month, '-', '') || '.xlsx'
+                          AND sv.label = ex.ticker
+"""
+
+SQL["wide_record"] = f"WITH {BATCH} SELECT * FROM wide"
+
+SQL["month_labelled"] = f"""
+WITH {BATCH}
+SELECT request_id, ord, category, current_month, previous_month,
+       nsa_previous AS nsa_previous_month, nsa_current AS nsa_current_month,
+       sa_previous AS sa_previous_month, sa_current AS sa_current_month
+FROM wide
+"""
+
+SQL["long_format"] = f"WITH {BATCH} SELECT * FROM long"
+
+SQL["batch_requests"] = f"WITH {BATCH} SELECT * FROM long ORDER BY category, date, adjustment"
+
+SQL["mom_change_wide"] = f"""
+WITH {BATCH}
+SELECT *, {pct_sql('nsa_current', 'nsa_previous')} AS nsa_mom_change_pct,
+          {pct_sql('sa_current', 'sa_previous')} AS sa_mom_change_pct
+FROM wide
+"""
+
+SQL["missing_categories"] = f"""
+WITH {BATCH}
+SELECT ex.request_id, ex.ord, ex.ticker FROM ex
+WHERE NOT EXISTS (SELECT 1 FROM wide w WHERE w.request_id = ex.request_id AND w.ord = ex.ord)
+"""
+
+SQL["coverage"] = f"""
+WITH {BATCH},
+fw AS (SELECT request_id, count(*) AS found_wide FROM wide GROUP BY 1),
+fl AS (SELECT request_id, count(DISTINCT category) AS found_long FROM long GROUP BY 1),
+j AS (
+  SELECT c.request_id, c.date, c.n_categories AS requested,
+         coalesce(fw.found_wide, 0) AS found_wide, coalesce(fl.found_long, 0) AS found_long
+  FROM chk c LEFT JOIN fw USING (request_id) LEFT JOIN fl USING (request_id)
+  WHERE c.reason IS NULL)
+SELECT request_id, date, requested,
+       found_wide, requested - found_wide AS failed_wide, found_wide > 0 AS success_wide,
+       CASE WHEN found_wide > 0 THEN 'Successfully loaded data for ' || found_wide || ' categories'
+            ELSE 'No data found for the specified categories and date ' || date END AS message_wide,
+       found_long, requested - found_long AS failed_long, found_long > 0 AS success_long,
+       CASE WHEN found_long > 0 THEN 'Successfully loaded data for ' || found_long || ' categoriesin long format'
+            ELSE 'No data found for the specified categories and date ' || date END AS message_long
+FROM j
+"""
