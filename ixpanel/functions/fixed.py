@@ -70,7 +70,9 @@ MAX_CATEGORIES_POST = 200
 MAX_CATEGORIES_GET = 20
 CATEGORY_LIST_DEFAULT = 20
 CATEGORY_LIST_MAX = 100
-STATUS_SAMPLE = 5
+STATUS_SAMPLE = 10
+METADATA_SAMPLE = 5
+HEALTH_CATEGORY_LIMIT = 100
 RECENT_PERIODS = 2
 DOWNLOAD_MAX_AGE_HOURS = 6
 SERVE_MAX_AGE_HOURS = 24

@@ -180,8 +180,22 @@ def _point(df: DataFrame, layout: str, ticker: str, series_id: Column, sa: Colum
         F.lit(fixed.POINT_SOURCE).alias("source"), sa.alias("seasonally_adjusted"))
 
 
-def _is4digits(raw: Column) -> Column:
-    return raw.rlike(r"^[0-9]{4}$")
+def annotate_cells(cells: DataFrame) -> DataFrame:
+    """Per-cell facts used by the layout extractors, computed in one
+    projection so each parse runs once per cell: lower-case text, the
+    Python-float value of numeric cells (F2), the 2020–2030 year (F11),
+    the month named in the text (F3) and in its first three letters."""
+    if "num_ok" in cells.columns:
+        return cells
+    t = F.lower(F.col("raw"))
+    return cells.select(
+        "*", t.alias("t"),
+        S.is_numeric(F.col("raw"), F.col("kind")).alias("num_ok"),
+        S.numeric_value(F.col("raw"), F.col("kind")).alias("num"),
+        F.col("raw").rlike(r"^[0-9]{4}$").alias("is4"),
+        S.four_digit_year(F.col("raw")).alias("yr4"),
+        S.month_from_text(F.col("raw")).alias("mon"),
+        S.month_from_text(F.substring(t, 1, 3)).alias("mon3"))
 
 
 def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
@@ -193,20 +207,16 @@ def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
     is the last one seen up to ``hr``, each month column keeps its last month.
     Data rows are all rows after ``hr``; the year must be all digits.
     """
-    t = F.lower(F.col("raw"))
-    top = cells.filter(F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW).select(
-        *KEY, "r", "c", t.alias("t"),
-        (t.contains("year") | _is4digits(F.col("raw"))).alias("cand_cell"))
+    a = annotate_cells(cells)
+    top = a.filter(F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW).select(
+        *KEY, "r", "c", "t", "mon", "mon3",
+        (F.col("t").contains("year") | F.col("is4")).alias("cand_cell"))
     cand_rows = top.groupBy(*KEY, "r").agg(F.max("cand_cell").alias("cand")) \
                    .filter("cand").drop("cand")
-    tc = top.join(cand_rows, KEY + ["r"])
-    any_month = F.lit(False)
-    for ab in fixed.MONTH_ABBR:
-        any_month = any_month | F.col("t").contains(ab)
     is_year = F.col("t").contains("year")
-    m3 = S.month_from_text(F.substring(F.col("t"), 1, 3))
-    tc = tc.withColumn("is_year", is_year) \
-           .withColumn("mnum", F.when(~is_year & any_month, m3))
+    tc = (top.join(cand_rows, KEY + ["r"])
+          .withColumn("is_year", is_year)
+          .withColumn("mnum", F.when(~is_year & F.col("mon").isNotNull(), F.col("mon3"))))
     hr = tc.groupBy(*KEY).agg(
         F.min(F.when(F.col("is_year"), F.col("r"))).alias("ry"),
         F.min(F.when(F.col("mnum").isNotNull(), F.col("r"))).alias("rm"))
@@ -217,20 +227,18 @@ def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
             .agg(F.max_by("c", F.struct("r", "c")).alias("year_c")))
     mcols = (upto.filter(F.col("mnum").isNotNull()).groupBy(*KEY, "c")
              .agg(F.max_by("mnum", "r").alias("month")))
-    body = cells.join(ycol, KEY).filter(F.col("r") > F.col("hr"))
+    body = a.join(ycol, KEY).filter(F.col("r") > F.col("hr"))
     years = (body.filter(F.col("c") == F.col("year_c"))
              .filter(F.col("raw").rlike(r"^[0-9]+$"))
              .filter(~((F.col("kind") == "n") & (F.col("raw").cast("decimal(38,0)") == 0)))
              .select(*KEY, "r", F.col("raw").try_cast("int").alias("year")))
-    vals = (body.join(mcols, KEY + ["c"])
-            .filter(S.is_numeric(F.col("raw"), F.col("kind")))
-            .select(*KEY, "r", "c", "month",
-                    S.numeric_value(F.col("raw"), F.col("kind")).alias("value")))
+    vals = (body.join(mcols, KEY + ["c"]).filter("num_ok")
+            .select(*KEY, "r", "c", "month", F.col("num").alias("value")))
     pts = vals.join(years, KEY + ["r"])
     return _point(pts, "year_month", ticker, S.series_label(F.lit(ticker)), F.lit(True))
 
 
-def _role_cols(top: DataFrame, words: list[str]) -> Column:
+def _has_any(words: list[str]) -> Column:
     e = F.lit(False)
     for w in words:
         e = e | F.col("t").contains(w)
@@ -245,12 +253,13 @@ def timeseries_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
     later row with a date, a numeric value and a parsable period is a point.
     No series column → ``''``; blank series cell → the default label.
     """
-    t = F.lower(F.col("raw"))
-    top = cells.filter(F.col("r") < fixed.SERIES_HEADER_ROWS).select(*KEY, "r", "c", t.alias("t"))
-    is_d = _role_cols(top, fixed.DATE_WORDS)
-    is_v = ~is_d & _role_cols(top, fixed.VALUE_WORDS)
-    is_s = ~is_d & ~is_v & _role_cols(top, fixed.SERIES_WORDS)
-    top = top.withColumn("role", F.when(is_d, "d").when(is_v, "v").when(is_s, "s"))
+    a = annotate_cells(cells)
+    top = a.filter(F.col("r") < fixed.SERIES_HEADER_ROWS).select(*KEY, "r", "c", "t")
+    is_d = _has_any(fixed.DATE_WORDS)
+    is_v = _has_any(fixed.VALUE_WORDS)
+    is_s = _has_any(fixed.SERIES_WORDS)
+    top = top.withColumn("role", F.when(is_d, "d").when(is_v, "v").when(is_s, "s")) \
+             .filter(F.col("role").isNotNull())
     hr = (top.groupBy(*KEY).agg(
         F.min(F.when(F.col("role") == "d", F.col("r"))).alias("rd"),
         F.min(F.when(F.col("role") == "v", F.col("r"))).alias("rv")))
@@ -261,12 +270,11 @@ def timeseries_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
         F.max_by(F.when(F.col("role") == k, F.col("c")),
                  F.when(F.col("role") == k, F.struct("r", "c"))).alias(f"{k}_c")
         for k in ("d", "v", "s")])
-    body = cells.join(roles, KEY).filter(F.col("r") > F.col("hr"))
+    body = a.join(roles, KEY).filter(F.col("r") > F.col("hr"))
     date_cells = body.filter(F.col("c") == F.col("d_c")).select(
         *KEY, "r", "s_c", S.parse_period(F.col("raw"), F.col("kind")).alias("p"))
-    val_cells = (body.filter(F.col("c") == F.col("v_c"))
-                 .filter(S.is_numeric(F.col("raw"), F.col("kind")))
-                 .select(*KEY, "r", "c", S.numeric_value(F.col("raw"), F.col("kind")).alias("value")))
+    val_cells = (body.filter(F.col("c") == F.col("v_c")).filter("num_ok")
+                 .select(*KEY, "r", "c", F.col("num").alias("value")))
     ser_cells = body.filter(F.col("c") == F.col("s_c")).select(*KEY, "r", F.col("raw").alias("series_raw"))
     pts = (date_cells.join(val_cells, KEY + ["r"])
            .filter((F.coalesce(F.col("p.year"), F.lit(0)) != 0)
@@ -285,16 +293,13 @@ def year_month_context(cells: DataFrame) -> DataFrame:
     """For every numeric cell, the year of its row (leftmost four-digit
     cell in 2020…2030), else of its column (topmost), and the month of its
     column (first month text in rows 0…4). Three keyed aggregates + joins."""
-    yr = S.four_digit_year(F.col("raw"))
-    ycells = cells.select(*KEY, "r", "c", yr.alias("y")).filter(F.col("y").isNotNull())
-    row_year = ycells.groupBy(*KEY, "r").agg(F.min_by("y", "c").alias("row_year"))
-    col_year = ycells.groupBy(*KEY, "c").agg(F.min_by("y", "r").alias("col_year"))
-    col_month = (cells.filter(F.col("r") < fixed.CONTEXT_MONTH_ROWS)
-                 .select(*KEY, "r", "c", S.month_from_text(F.col("raw")).alias("m"))
-                 .filter(F.col("m").isNotNull())
-                 .groupBy(*KEY, "c").agg(F.min_by("m", "r").alias("col_month")))
-    num = (cells.filter(S.is_numeric(F.col("raw"), F.col("kind")))
-           .select(*KEY, "r", "c", S.numeric_value(F.col("raw"), F.col("kind")).alias("value")))
+    a = annotate_cells(cells)
+    ycells = a.filter(F.col("yr4").isNotNull()).select(*KEY, "r", "c", "yr4")
+    row_year = ycells.groupBy(*KEY, "r").agg(F.min_by("yr4", "c").alias("row_year"))
+    col_year = ycells.groupBy(*KEY, "c").agg(F.min_by("yr4", "r").alias("col_year"))
+    col_month = (a.filter((F.col("r") < fixed.CONTEXT_MONTH_ROWS) & F.col("mon").isNotNull())
+                 .groupBy(*KEY, "c").agg(F.min_by("mon", "r").alias("col_month")))
+    num = a.filter("num_ok").select(*KEY, "r", "c", F.col("num").alias("value"))
     return (num.join(row_year, KEY + ["r"], "left")
             .join(col_year, KEY + ["c"], "left")
             .join(col_month, KEY + ["c"], "left")
@@ -313,9 +318,11 @@ def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False) ->
     """G4 ∪ G5 ∪ G6 as UNION ALL (a cell found by two layouts appears
     twice, as in the original). ``dedup=True`` keeps one row per cell and
     period instead."""
-    out = (year_month_unpivot(cells, ticker)
-           .unionByName(timeseries_extract(cells, ticker))
-           .unionByName(context_extract(cells, ticker)))
+    from pyspark import StorageLevel
+    a = annotate_cells(cells).persist(StorageLevel.MEMORY_AND_DISK)  # shared by three extractors
+    out = (year_month_unpivot(a, ticker)
+           .unionByName(timeseries_extract(a, ticker))
+           .unionByName(context_extract(a, ticker)))
     if dedup:
         out = out.dropDuplicates(["file", "sheet", "r", "c", "year", "month"])
     return out

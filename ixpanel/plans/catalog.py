@@ -51,6 +51,18 @@ from ..operators import requests as RQ  # noqa: E402
 AS_OF_MONTH = "2001-12"   # "now" of the link/date rules, a fixed parameter
 
 
+def _sheet(spark, d):
+    """Rendered supplemental sheets, persisted: every grid query reads the
+    cell table several times (header, columns, labels, values)."""
+    from pyspark import StorageLevel
+    return V.sheet_cells(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pcells(spark, d):
+    from pyspark import StorageLevel
+    return V.points_cells(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _own_month_targets(cells):
     """Each workbook's own month, read from its file name."""
     return cells.select("file").distinct().select(
@@ -59,18 +71,18 @@ def _own_month_targets(cells):
 
 @register("header_row")
 def q_header_row(spark, d):
-    return G.header_rows(G.first_sheet(V.sheet_cells(spark, d)))
+    return G.header_rows(G.first_sheet(_sheet(spark, d)))
 
 
 @register("category_column")
 def q_category_column(spark, d):
-    c1 = G.first_sheet(V.sheet_cells(spark, d))
+    c1 = G.first_sheet(_sheet(spark, d))
     return G.category_column(c1, G.header_rows(c1))
 
 
 @register("column_map")
 def q_column_map(spark, d):
-    cells = V.sheet_cells(spark, d)
+    cells = _sheet(spark, d)
     c1 = G.first_sheet(cells)
     hdr = G.header_rows(c1)
     targets = _own_month_targets(cells).join(hdr.select("file", "sheet"), "file")
@@ -79,14 +91,14 @@ def q_column_map(spark, d):
 
 @register("sheet_records")
 def q_sheet_records(spark, d):
-    cells = V.sheet_cells(spark, d)
+    cells = _sheet(spark, d)
     return G.sheet_records(cells, _own_month_targets(cells)).drop(
         "nsa_previous_mapped", "nsa_current_mapped")
 
 
 @register("sheet_long")
 def q_sheet_long(spark, d):
-    cells = V.sheet_cells(spark, d)
+    cells = _sheet(spark, d)
     rec = G.sheet_records(cells, _own_month_targets(cells))
     wide = rec.select("file", F.col("label").alias("category"), "current_month",
                       S.previous_month(F.col("current_month")).alias("previous_month"),
@@ -96,18 +108,18 @@ def q_sheet_long(spark, d):
 
 @register("sa_fallback")
 def q_sa_fallback(spark, d):
-    cells = V.sheet_cells(spark, d).filter(~F.col("c").isin(5, 6))
+    cells = _sheet(spark, d).filter(~F.col("c").isin(5, 6))
     return G.sheet_records(cells, _own_month_targets(cells)).select(
         "file", "label", "current_month", "nsa_previous", "nsa_current", "sa_previous", "sa_current")
 
 
 @register("category_catalogue")
 def q_category_catalogue(spark, d):
-    return G.category_catalogue(V.sheet_cells(spark, d), 20)
+    return G.category_catalogue(_sheet(spark, d), 20)
 
 
 def _batch(spark, d):
-    return RQ.answer(V.sheet_cells(spark, d), V.requests(spark, d))
+    return RQ.answer(_sheet(spark, d), V.requests(spark, d))
 
 
 @register("request_valid")
@@ -133,7 +145,7 @@ def q_month_shift(spark, d):
 
 @register("category_lookup")
 def q_category_lookup(spark, d):
-    cells = V.sheet_cells(spark, d)
+    cells = _sheet(spark, d)
     checked = RQ.validate(V.requests(spark, d))
     routed = RQ.route_by_date(RQ.explode_valid(checked))
     c1 = G.first_sheet(cells)
@@ -178,3 +190,157 @@ def q_coverage(spark, d):
 @register("batch_requests")
 def q_batch_requests(spark, d):
     return P.panel_sort(_batch(spark, d)[3])
+
+
+# ---------------------------------------------------------------- other layouts
+
+def _points(spark, d):
+    """G8 points, persisted: R7 and R20 read them more than once."""
+    from pyspark import StorageLevel
+    return G.union_layouts(_pcells(spark, d), "cpi").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+@register("year_month_unpivot")
+def q_year_month_unpivot(spark, d):
+    return G.year_month_unpivot(_pcells(spark, d), "cpi")
+
+
+@register("timeseries_extract")
+def q_timeseries_extract(spark, d):
+    return G.timeseries_extract(_pcells(spark, d), "cpi")
+
+
+@register("context_extract")
+def q_context_extract(spark, d):
+    return G.context_extract(_pcells(spark, d), "cpi")
+
+
+@register("year_month_context")
+def q_year_month_context(spark, d):
+    return G.year_month_context(_pcells(spark, d))
+
+
+@register("union_layouts")
+def q_union_layouts(spark, d):
+    return _points(spark, d)
+
+
+@register("recent_periods")
+def q_recent_periods(spark, d):
+    return P.recent_periods(_points(spark, d), 2, by=["file"])
+
+
+@register("layout_stats")
+def q_layout_stats(spark, d):
+    return P.layout_stats(_points(spark, d))
+
+
+@register("latest_points")
+def q_latest_points(spark, d):
+    from ..sources import files as FS
+    latest = FS.latest_file(V.points_manifest(spark, d)).select("file")
+    cells = _pcells(spark, d).join(latest, "file", "left_semi")
+    from pyspark import StorageLevel
+    pts = P.recent_periods(G.union_layouts(cells, "cpi").persist(StorageLevel.MEMORY_AND_DISK), 2)
+    return pts.withColumn("period", S.period_label(F.col("year"), F.col("month")))
+
+
+@register("parse_period")
+def q_parse_period(spark, d):
+    c = V.series_cells(spark, d).filter((F.col("c") == 0) & (F.col("r") > 0))
+    p = S.parse_period(F.col("raw"), F.col("kind"))
+    return c.select("file", "r", "raw", p["year"].alias("year"), p["month"].alias("month"))
+
+
+@register("seasonal_flag")
+def q_seasonal_flag(spark, d):
+    c = V.series_cells(spark, d).filter((F.col("c") == 2) & (F.col("r") > 0))
+    return c.select("file", "r", "raw", S.seasonal_flag(F.col("raw")).alias("seasonally_adjusted"))
+
+
+@register("four_digit_year")
+def q_four_digit_year(spark, d):
+    c = _pcells(spark, d)
+    return c.select("file", "sheet", "r", "c", S.four_digit_year(F.col("raw")).alias("year")) \
+            .filter(F.col("year").isNotNull())
+
+
+# ---------------------------------------------------------------- numbers
+
+@register("clean_numeric")
+def q_clean_numeric(spark, d):
+    m = V.messy_numbers(spark, d)
+    return m.select("event_id", "raw", S.clean_numeric(F.col("raw")).alias("value"))
+
+
+@register("is_numeric")
+def q_is_numeric(spark, d):
+    m = V.messy_numbers(spark, d)
+    return m.select("event_id", S.is_numeric(F.col("raw"), F.col("kind")).alias("numeric"))
+
+
+@register("numeric_quality")
+def q_numeric_quality(spark, d):
+    return P.numeric_quality(V.messy_numbers(spark, d), "category")
+
+
+# ---------------------------------------------------------------- files
+
+from ..sources import files as FS  # noqa: E402
+
+AS_OF = "2001-08-01 20:00:00"       # the "now" of the age rules, a fixed parameter
+KNOWN_BEFORE = "2001-06-01 00:00:00"
+
+
+def _ts(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@register("file_manifest")
+def q_file_manifest(spark, d):
+    m = FS.file_manifest(V.manifest(spark, d))
+    return m.select("file", "size", _ts(F.col("mtime")).alias("mtime"))
+
+
+@register("latest_file")
+def q_latest_file(spark, d):
+    return FS.latest_file(V.manifest(spark, d)).select("file", _ts(F.col("mtime")).alias("mtime"))
+
+
+@register("file_names_desc")
+def q_file_names_desc(spark, d):
+    return FS.file_names_desc(V.manifest(spark, d))
+
+
+@register("file_info")
+def q_file_info(spark, d):
+    fi = FS.file_info(V.points_manifest(spark, d), _pcells(spark, d))
+    return fi.withColumn("mtime", _ts(F.col("mtime")))
+
+
+@register("new_files")
+def q_new_files(spark, d):
+    m = V.manifest(spark, d)
+    known = m.filter(F.col("mtime") < F.lit(KNOWN_BEFORE).cast("timestamp"))
+    return FS.new_files(m, known).select("file", "size", _ts(F.col("mtime")).alias("mtime"))
+
+
+@register("fresh_files")
+def q_fresh_files(spark, d):
+    m = V.manifest(spark, d)
+    dl = FS.fresh_files(m, AS_OF, 6).withColumnRenamed("fresh", "fresh_download")
+    sv = FS.fresh_files(dl, AS_OF, 24).withColumnRenamed("fresh", "fresh_serve")
+    return sv.select("file", _ts(F.col("mtime")).alias("mtime"), "fresh_download", "fresh_serve")
+
+
+@register("retention")
+def q_retention(spark, d):
+    r = FS.retention(V.manifest(spark, d), AS_OF, 30)
+    return r.select("file", _ts(F.col("mtime")).alias("mtime"), "action")
+
+
+@register("source_status")
+def q_source_status(spark, d):
+    cat = G.category_catalogue(_sheet(spark, d), 100)
+    st = FS.source_status(V.manifest(spark, d), cat)
+    return st.withColumn("latest_mtime", _ts(F.col("latest_mtime")))

@@ -268,3 +268,212 @@ SELECT request_id, date, requested,
             ELSE 'No data found for the specified categories and date ' || date END AS message_long
 FROM j
 """
+
+
+# ---------------------------------------------------------------- other layouts
+# Priority workbooks: sheet "grid" (order counts, Year × month, years +25) and
+# sheet "series" (monthly order value; date text by month; series code by
+# priority, blank every 4th month; no Series column for 5-LOW).
+
+PFILE = "'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) || '.xlsx'"
+
+POINTS = f"""
+pcnt AS (
+  SELECT {PFILE} AS file, o_orderpriority AS p, year(o_orderdate) AS y, month(o_orderdate) AS m,
+         count(*) AS n
+  FROM orders GROUP BY ALL),
+pyears AS (
+  SELECT file, y, sum(n) AS annual,
+         CAST(dense_rank() OVER (PARTITION BY file ORDER BY y) + 1 AS INTEGER) AS r
+  FROM pcnt GROUP BY file, y),
+gcell AS (
+  SELECT file, r, CAST(m AS INTEGER) AS c, CAST(y + 25 AS INTEGER) AS yshow,
+         CAST(m AS INTEGER) AS month, CAST(n AS DOUBLE) AS value
+  FROM pcnt JOIN pyears USING (file, y)),
+sagg AS (
+  SELECT {PFILE} AS file, substr(o_orderpriority, 1, 1) AS pd, date_trunc('month', o_orderdate) AS ms,
+         SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v
+  FROM orders GROUP BY ALL),
+srows AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY ms) AS INTEGER) AS r FROM sagg),
+g4 AS (
+  SELECT file, 'grid' AS sheet, 'year_month' AS layout, r, c, 'cpi' AS ticker, yshow AS year, month,
+         value, 'CPI_U_CPI' AS series_id, 'Consumer Price Index (CPI-U)' AS category,
+         'bls_excel' AS source, true AS seasonally_adjusted
+  FROM gcell),
+g5 AS (
+  SELECT file, 'series' AS sheet, 'timeseries' AS layout, r, CAST(1 AS INTEGER) AS c, 'cpi' AS ticker,
+         CAST(year(ms) AS INTEGER) AS year, CAST(month(ms) AS INTEGER) AS month, CAST(v AS DOUBLE) AS value,
+         CASE WHEN pd = '5' THEN '' WHEN month(ms) % 4 = 0 THEN 'CPI_U_CPI'
+              ELSE 'ORD' || pd || CASE WHEN pd IN ('3', '4') THEN 'NSA' ELSE 'SA' END END AS series_id,
+         'Consumer Price Index (CPI-U)' AS category, 'bls_excel' AS source,
+         NOT (pd IN ('3', '4') AND month(ms) % 4 <> 0) AS seasonally_adjusted
+  FROM srows WHERE month(ms) <> 3),
+g6 AS (
+  SELECT file, 'grid' AS sheet, 'context' AS layout, r, c, 'cpi' AS ticker, yshow AS year, month,
+         value, 'CPI_U_CPI' AS series_id, 'Consumer Price Index (CPI-U)' AS category,
+         'bls_excel' AS source, true AS seasonally_adjusted
+  FROM gcell WHERE yshow BETWEEN 2020 AND 2030),
+g8 AS (SELECT * FROM g4 UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6)"""
+
+SQL["year_month_unpivot"] = f"WITH {POINTS} SELECT * FROM g4"
+SQL["timeseries_extract"] = f"WITH {POINTS} SELECT * FROM g5"
+SQL["context_extract"] = f"WITH {POINTS} SELECT * FROM g6"
+SQL["union_layouts"] = f"WITH {POINTS} SELECT * FROM g8"
+
+SQL["year_month_context"] = f"""
+WITH {POINTS},
+yr AS (SELECT file, r, CASE WHEN y + 25 BETWEEN 2020 AND 2030 THEN CAST(y + 25 AS INTEGER) END AS year,
+              annual FROM pyears)
+SELECT file, 'grid' AS sheet, r, c, value,
+       CASE WHEN yshow BETWEEN 2020 AND 2030 THEN yshow END AS year, month FROM gcell
+UNION ALL
+SELECT file, 'grid', r, CAST(0 AS INTEGER), CAST(year AS DOUBLE), year, CAST(NULL AS INTEGER) FROM yr
+  WHERE year IS NOT NULL
+UNION ALL
+SELECT p.file, 'grid', p.r, CAST(0 AS INTEGER), CAST(p.y + 25 AS DOUBLE), CAST(NULL AS INTEGER),
+       CAST(NULL AS INTEGER) FROM pyears p WHERE p.y + 25 NOT BETWEEN 2020 AND 2030
+UNION ALL
+SELECT file, 'grid', r, CAST(13 AS INTEGER), CAST(annual AS DOUBLE), year, CAST(NULL AS INTEGER) FROM yr
+UNION ALL
+SELECT file, 'series', r, CAST(1 AS INTEGER), CAST(v AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER)
+FROM srows
+"""
+
+SQL["recent_periods"] = f"""
+WITH {POINTS},
+per AS (SELECT DISTINCT file, year, month FROM g8 WHERE year <> 0 AND month <> 0),
+top AS (SELECT file, year, month FROM (
+          SELECT *, row_number() OVER (PARTITION BY file ORDER BY year DESC, month DESC) AS k FROM per)
+        WHERE k <= 2)
+SELECT g8.* FROM g8 SEMI JOIN top USING (file, year, month)
+"""
+
+SQL["layout_stats"] = f"""
+WITH {POINTS}
+SELECT file, sheet, layout, count(*) AS n_points,
+       count(DISTINCT CAST(year AS VARCHAR) || '-' || CAST(month AS VARCHAR)) AS n_periods
+FROM g8 GROUP BY ALL
+"""
+
+SQL["latest_points"] = f"""
+WITH {POINTS},
+man AS (SELECT {PFILE} AS file, max(o_orderdate) AS mtime FROM orders GROUP BY ALL),
+latest AS (SELECT file FROM man ORDER BY mtime DESC, file DESC LIMIT 1),
+pts AS (SELECT * FROM g8 WHERE file IN (SELECT file FROM latest) AND year <> 0 AND month <> 0),
+top AS (SELECT DISTINCT year, month FROM pts ORDER BY year DESC, month DESC LIMIT 2)
+SELECT pts.*, CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period
+FROM pts SEMI JOIN top USING (year, month)
+"""
+
+SQL["parse_period"] = f"""
+WITH {POINTS}
+SELECT file, r,
+       CASE WHEN month(ms) = 3 THEN strftime(ms, '%Y') || 'M03'
+            WHEN month(ms) % 6 = 0 THEN strftime(ms, '%b %Y')
+            ELSE strftime(ms, '%Y-%m') END AS raw,
+       CASE WHEN month(ms) = 3 THEN NULL ELSE CAST(year(ms) AS INTEGER) END AS year,
+       CASE WHEN month(ms) = 3 THEN NULL ELSE CAST(month(ms) AS INTEGER) END AS month
+FROM srows
+"""
+
+SQL["seasonal_flag"] = f"""
+WITH {POINTS}
+SELECT file, r, 'ORD' || pd || CASE WHEN pd IN ('3', '4') THEN 'NSA' ELSE 'SA' END AS raw,
+       NOT (pd IN ('3', '4')) AS seasonally_adjusted
+FROM srows WHERE pd <> '5' AND month(ms) % 4 <> 0
+"""
+
+SQL["four_digit_year"] = f"""
+WITH {POINTS}
+SELECT file, 'grid' AS sheet, r, CAST(0 AS INTEGER) AS c, CAST(y + 25 AS INTEGER) AS year
+FROM pyears WHERE y + 25 BETWEEN 2020 AND 2030
+UNION ALL
+SELECT file, 'grid', r, c, CAST(value AS INTEGER) FROM gcell WHERE value BETWEEN 2020 AND 2030
+UNION ALL
+SELECT file, 'grid', r, CAST(13 AS INTEGER), CAST(annual AS INTEGER) FROM pyears
+WHERE annual BETWEEN 2020 AND 2030
+"""
+
+# ---------------------------------------------------------------- numbers
+
+MESSY = """
+mn AS (
+  SELECT event_id, event_type AS category, event_id % 8 AS st, CAST(value AS DECIMAL(12,2)) AS dec
+  FROM events),
+mv AS (
+  SELECT event_id, category, st,
+         CASE st WHEN 0 THEN CAST(dec AS VARCHAR)
+                 WHEN 1 THEN printf('%,.2f', dec * 1000)
+                 WHEN 2 THEN CAST(dec AS VARCHAR) || '%'
+                 WHEN 3 THEN CASE WHEN event_id % 16 = 11 THEN chr(160) || CAST(dec AS VARCHAR)
+                                  ELSE ' ' || CAST(dec AS VARCHAR) || chr(9) END
+                 WHEN 4 THEN '-' WHEN 5 THEN 'N/A' WHEN 6 THEN 'nan'
+                 ELSE 'x' || CAST(dec AS VARCHAR) END AS raw,
+         CASE WHEN st IN (0, 2, 3) THEN dec WHEN st = 1 THEN dec * 1000 END AS dval
+  FROM mn)"""
+
+SQL["clean_numeric"] = f"WITH {MESSY} SELECT event_id, raw, CAST(dval AS DOUBLE) AS value FROM mv"
+
+SQL["is_numeric"] = f"""WITH {MESSY}
+SELECT event_id, st IN (0, 3, 6) OR (st = 1 AND dval < 1000) AS numeric FROM mv"""
+
+SQL["numeric_quality"] = f"""
+WITH {MESSY}
+SELECT category, count(*) AS n_cells, count(dval) AS n_parsed,
+       count(*) FILTER (WHERE st IN (4, 5, 6)) AS n_placeholder,
+       count(*) FILTER (WHERE st = 7) AS n_unparsable,
+       CAST(sum(CAST(dval AS DECIMAL(18,2))) AS DOUBLE) AS sum_parsed
+FROM mv GROUP BY category
+"""
+
+# ---------------------------------------------------------------- files
+
+MANIFEST = """
+mo AS (
+  SELECT date_trunc('month', o_orderdate) AS ms, count(*) AS size, max(o_orderdate) AS last
+  FROM orders GROUP BY 1),
+manifest AS (
+  SELECT 'cpi-u-' || strftime(ms, '%Y%m') || '.xlsx' AS file, size, last + INTERVAL 8 HOUR AS mtime FROM mo
+  UNION ALL
+  SELECT 'notes-' || strftime(ms, '%Y%m') || '.xls', size, last + INTERVAL 9 HOUR FROM mo
+  WHERE month(ms) % 4 = 0),
+wb AS (SELECT * FROM manifest WHERE lower(file) LIKE '%.xlsx')"""
+
+TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+AS_OF = "TIMESTAMP '2001-08-01 20:00:00'"
+
+SQL["file_manifest"] = f"WITH {MANIFEST} SELECT file, size, {TS.format(c='mtime')} AS mtime FROM wb ORDER BY mtime DESC, file DESC"
+SQL["latest_file"] = f"""WITH {MANIFEST}
+SELECT file, {TS.format(c='mtime')} AS mtime FROM wb ORDER BY mtime DESC, file DESC LIMIT 1"""
+SQL["file_names_desc"] = f"WITH {MANIFEST} SELECT file FROM wb ORDER BY file DESC"
+SQL["new_files"] = f"""WITH {MANIFEST}
+SELECT file, size, {TS.format(c='mtime')} AS mtime FROM wb
+WHERE file NOT IN (SELECT file FROM manifest WHERE mtime < TIMESTAMP '2001-06-01 00:00:00')"""
+SQL["fresh_files"] = f"""WITH {MANIFEST}
+SELECT file, {TS.format(c='mtime')} AS mtime, mtime > {AS_OF} - INTERVAL 6 HOUR AS fresh_download,
+       mtime > {AS_OF} - INTERVAL 24 HOUR AS fresh_serve FROM manifest"""
+SQL["retention"] = f"""WITH {MANIFEST}
+SELECT file, {TS.format(c='mtime')} AS mtime, 'delete' AS action FROM wb WHERE mtime < {AS_OF} - INTERVAL 30 DAY"""
+
+SQL["file_info"] = """
+WITH pm AS (
+  SELECT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) || '.xlsx' AS file,
+         count(*) AS size, max(o_orderdate) AS mtime
+  FROM orders GROUP BY 1)
+SELECT file, 'grid,series' AS sheets, CAST(2 AS BIGINT) AS n_sheets, size,
+       strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM pm
+"""
+
+SQL["source_status"] = f"""
+WITH {MANIFEST}, {SHEETS},
+head AS (SELECT count(*) AS n_files, max(mtime) AS mx, arg_max(file, mtime) AS f0 FROM wb),
+lat AS (SELECT file, mtime FROM wb ORDER BY mtime DESC, file DESC LIMIT 1),
+cat AS (SELECT file, count(*) AS n_categories,
+               string_agg(label, ', ' ORDER BY r_raw) FILTER (WHERE r_raw < 16) AS sample_categories
+        FROM sheet_vals WHERE r_raw < 106 GROUP BY file)
+SELECT head.n_files, lat.file AS latest_file, {TS.format(c='lat.mtime')} AS latest_mtime,
+       coalesce(cat.n_categories, 0) AS n_categories, cat.sample_categories,
+       lat.file IS NOT NULL AS data_available
+FROM head LEFT JOIN lat ON true LEFT JOIN cat ON cat.file = lat.file
+"""

@@ -244,7 +244,7 @@ def messy_numbers(spark: SparkSession, d: str) -> DataFrame:
            .when(style == 6, F.lit("nan"))
            .otherwise(F.concat(F.lit("x"), t)))
     raw = F.when((style == 3) & (F.col("event_id") % 16 == 11),
-                 F.concat(F.lit(" "), t)).otherwise(raw)
+                 F.concat(F.lit("\u00a0"), t)).otherwise(raw)
     return e.select("event_id", F.col("event_type").alias("category"),
                     raw.alias("raw"), F.lit("s").alias("kind"))
 
