@@ -177,12 +177,24 @@ def series_label(ticker) -> Column:
     return F.concat(F.lit(fixed.SERIES_PREFIX), F.upper(_c(ticker)))
 
 
-def _remove_dot_segments(segs: Column) -> Column:
+def _resolve_path(path: Column) -> Column:
+    """Remove ``.`` and ``..`` segments; a trailing ``.``/``..`` leaves a
+    trailing slash. Returns the path with exactly one leading slash."""
+    init = F.struct(F.array().cast("array<string>").alias("a"), F.lit("").alias("last"))
+
     def step(acc, seg):
-        return (F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                .when(seg == ".", acc)
-                .otherwise(F.concat(acc, F.array(seg))))
-    return F.aggregate(segs, F.array().cast("array<string>"), step)
+        arr = acc["a"]
+        nxt = (F.when(seg == "..", F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0))))
+               .when(seg == ".", arr)
+               .otherwise(F.concat(arr, F.array(seg))))
+        return F.struct(nxt.alias("a"), seg.alias("last"))
+
+    def finish(acc):
+        arr = F.when(acc["last"].isin(".", ".."), F.concat(acc["a"], F.array(F.lit(""))))\
+               .otherwise(acc["a"])
+        return F.concat(F.lit("/"), F.regexp_replace(F.array_join(arr, "/"), "^/", ""))
+
+    return F.aggregate(F.split(path, "/"), init, step, finish)
 
 
 def url_resolve(base, href) -> Column:
@@ -190,37 +202,21 @@ def url_resolve(base, href) -> Column:
 
     Scheme URLs and ``http…`` links are kept as they are; ``//host`` takes the
     base scheme; ``/path`` the base origin; other text is joined to the base
-    directory. ``.`` and ``..`` segments are resolved. The link's own query and
-    fragment are kept.
+    directory (repeated slashes collapsed). ``.`` and ``..`` segments are
+    resolved. The link's own query and fragment are kept.
     """
     b = _c(base)
     h = _c(href)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    b_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    b_dir = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*/)", 1)
     b_nofrag = F.regexp_extract(b, r"^([^#]*)", 1)
     b_noquery = F.regexp_extract(b, r"^([^?#]*)", 1)
     h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
     h_rest = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    # base directory segments: drop the last (file) segment
-    b_segs = F.split(b_path, "/")
-    b_dir = F.slice(b_segs, 1, F.greatest(F.size(b_segs) - 1, F.lit(0)))
-    h_segs = F.split(h_path, "/")
-    rel_segs = F.concat(b_dir, h_segs)
-    # empty inner segments are dropped for relative joins
-    n = F.size(rel_segs)
-    inner = F.filter(F.slice(rel_segs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    rel_clean = F.when(n >= 2, F.concat(F.slice(rel_segs, 1, 1), inner,
-                                        F.slice(rel_segs, n, 1))).otherwise(rel_segs)
-    segs = F.when(h_path.startswith("/"), h_segs).otherwise(rel_clean)
-    last = F.element_at(segs, -1)
-    resolved = _remove_dot_segments(segs)
-    resolved = F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit(""))))\
-                .otherwise(resolved)
-    path = F.array_join(resolved, "/")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    joined = F.concat(origin, path, h_rest)
+    path = F.when(h.startswith("/"), h_path).otherwise(
+        F.regexp_replace(F.concat(b_dir, h_path), "/{2,}", "/"))
+    joined = F.concat(origin, _resolve_path(path), h_rest)
     return (F.when(h.isNull(), F.lit(None).cast("string"))
             .when(h.startswith("http"), h)
             .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)

@@ -344,3 +344,51 @@ def q_source_status(spark, d):
     cat = G.category_catalogue(_sheet(spark, d), 100)
     st = FS.source_status(V.manifest(spark, d), cat)
     return st.withColumn("latest_mtime", _ts(F.col("latest_mtime")))
+
+
+# ---------------------------------------------------------------- links
+
+from ..operators import links as LK  # noqa: E402
+from ..sources import links as SL  # noqa: E402
+
+TARGET_MONTH = "1998-06"
+
+
+@register("listing_links")
+def q_listing_links(spark, d):
+    a = LK.resolve(SL.anchors(V.pages(spark, d)))
+    return a.select("page_id", "pos", "href", "text", "url", "filename")
+
+
+@register("url_resolve")
+def q_url_resolve(spark, d):
+    a = LK.resolve(V.listing(spark, d))
+    return a.select("page_id", "pos", "url", "filename")
+
+
+@register("date_from_text")
+def q_date_from_text(spark, d):
+    a = LK.resolve(V.listing(spark, d))
+    return a.select("page_id", "pos", S.date_from_text(
+        F.concat_ws(" ", F.col("text"), F.col("filename")), F.lit(AS_OF_MONTH)).alias("date"))
+
+
+@register("month_from_text")
+def q_month_from_text(spark, d):
+    a = V.listing(spark, d)
+    return a.select("page_id", "pos", S.month_from_text(F.col("text")).alias("month"))
+
+
+@register("link_priority")
+def q_link_priority(spark, d):
+    return LK.workbook_links(V.listing(spark, d), AS_OF_MONTH)
+
+
+@register("link_rank")
+def q_link_rank(spark, d):
+    return LK.link_rank(LK.workbook_links(V.listing(spark, d), AS_OF_MONTH))
+
+
+@register("link_target")
+def q_link_target(spark, d):
+    return LK.link_target(LK.workbook_links(V.listing(spark, d), AS_OF_MONTH), TARGET_MONTH)

@@ -477,3 +477,116 @@ SELECT head.n_files, lat.file AS latest_file, {TS.format(c='lat.mtime')} AS late
        lat.file IS NOT NULL AS data_available
 FROM head LEFT JOIN lat ON true LEFT JOIN cat ON cat.file = lat.file
 """
+
+
+# ---------------------------------------------------------------- links
+
+ORIGIN = r"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)"
+FNAME = r"string_split(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)', 1), '/')[-1]"
+
+PAGE_LINKS = r"""
+pa AS (
+  SELECT page_id, url AS base, unnest(arr) AS a, CAST(unnest(range(0, len(arr))) AS INTEGER) AS pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>') AS arr FROM pages)),
+pt AS (
+  SELECT page_id, pos, base, regexp_extract(a, '(?is)^<a\b([^>]*)>', 1) AS tag,
+         regexp_extract(a, '(?is)^<a\b[^>]*>(.*)</a>$', 1) AS inr
+  FROM pa),
+ph AS (
+  SELECT page_id, pos, base, inr,
+         CASE WHEN regexp_matches(tag, '(?is)(^|\s)href\s*=\s*"') THEN regexp_extract(tag, '(?is)(?:^|\s)href\s*=\s*"([^"]*)"', 1)
+              WHEN regexp_matches(tag, '(?is)(^|\s)href\s*=\s*''') THEN regexp_extract(tag, '(?is)(?:^|\s)href\s*=\s*''([^'']*)''', 1)
+         END AS href0
+  FROM pt),
+pl AS (
+  SELECT page_id, pos, base,
+         replace(replace(replace(href0, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href,
+         array_to_string(list_filter(list_transform(regexp_split_to_array(
+             replace(replace(replace(inr, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]*>'),
+             lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '') AS text
+  FROM ph WHERE href0 IS NOT NULL)"""
+
+SQL["listing_links"] = f"""
+WITH {PAGE_LINKS},
+r AS (
+  SELECT page_id, pos, href, text,
+         CASE WHEN href LIKE 'http%' THEN href
+              WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN {ORIGIN.format(b='base')} || href
+         END AS url
+  FROM pl)
+SELECT page_id, pos, href, text, url, {FNAME.format(u='url')} AS filename FROM r
+"""
+
+LISTING = r"""
+lk0 AS (
+  SELECT o_custkey AS page_id, o_orderkey AS pos, o_orderkey % 4 AS s, o_orderdate AS od, o_orderkey AS k
+  FROM orders),
+lk AS (
+  SELECT page_id, pos,
+         CASE s WHEN 0 THEN '/cpi/tables/supplemental-files/cpi-u-' || strftime(od, '%Y%m') || '.xlsx'
+                WHEN 1 THEN '/files/latest-' || CAST(k AS VARCHAR) || '.xlsx'
+                WHEN 2 THEN 'https://other.example/cpi/data/' || lower(strftime(od, '%B')) || '-'
+                            || strftime(od, '%Y') || '.xls'
+                ELSE '/files/report-' || CAST(k AS VARCHAR) || '.pdf' END AS href,
+         CASE WHEN s = 2 THEN strftime(od, '%B') || ' ' || strftime(od, '%Y') || ' index'
+              ELSE 'CPI-U' END AS text
+  FROM lk0),
+lr AS (
+  SELECT page_id, pos, href, text,
+         CASE WHEN href LIKE 'http%' THEN href ELSE 'https://site.example' || href END AS url
+  FROM lk),
+lf AS (SELECT *, string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)', 1), '/')[-1]
+                 AS filename FROM lr),
+ld AS (
+  SELECT *, lower(text || ' ' || filename) AS t FROM lf),
+ld2 AS (
+  SELECT *,
+    regexp_extract(t, '(\w+)\s+(\d{4})', 1) AS w1, regexp_extract(t, '(\w+)\s+(\d{4})', 2) AS y1,
+    regexp_extract(t, '(\d{4})-(\d{2})', 0) AS m2, regexp_extract(t, '(\d{4})(\d{2})', 0) AS m3
+  FROM ld),
+ld3 AS (
+  SELECT *, CASE w1 WHEN 'january' THEN '01' WHEN 'jan' THEN '01' WHEN 'february' THEN '02'
+                    WHEN 'feb' THEN '02' WHEN 'march' THEN '03' WHEN 'mar' THEN '03'
+                    WHEN 'april' THEN '04' WHEN 'apr' THEN '04' WHEN 'may' THEN '05'
+                    WHEN 'june' THEN '06' WHEN 'jun' THEN '06' WHEN 'july' THEN '07' WHEN 'jul' THEN '07'
+                    WHEN 'august' THEN '08' WHEN 'aug' THEN '08' WHEN 'september' THEN '09'
+                    WHEN 'sep' THEN '09' WHEN 'sept' THEN '09' WHEN 'october' THEN '10' WHEN 'oct' THEN '10'
+                    WHEN 'november' THEN '11' WHEN 'nov' THEN '11' WHEN 'december' THEN '12'
+                    WHEN 'dec' THEN '12' END AS mm1
+  FROM ld2),
+links_all AS (
+  SELECT page_id, pos, href, text, url, filename,
+         coalesce(CASE WHEN y1 <> '' AND mm1 IS NOT NULL THEN y1 || '-' || mm1 END,
+                  CASE WHEN m2 <> '' THEN substr(m2, 1, 4) || '-' || substr(m2, 6, 2) END,
+                  CASE WHEN m3 <> '' THEN substr(m3, 1, 4) || '-' || substr(m3, 5, 2) END,
+                  '2001-12') AS date,
+         CASE WHEN NOT regexp_matches(href, '(?i)\.xlsx?$') THEN NULL
+              WHEN regexp_matches(href, '(?i)cpi-u-\d{6}\.xlsx$') OR regexp_matches(text, '(?i)cpi-u-\d{6}\.xlsx$') THEN 1
+              WHEN regexp_matches(trim(text), '(?i)^CPI-U$') THEN 2
+              WHEN regexp_matches(text, '(?i)cpi.*u') OR regexp_matches(href, '(?i)cpi.*u') THEN 3 END AS priority
+  FROM ld3),
+wl AS (
+  SELECT page_id, pos, url, filename, date, text AS description, text AS link_text, priority,
+         coalesce(TRY_CAST(replace(date, '-', '') AS BIGINT), 0) AS ym
+  FROM links_all WHERE priority IS NOT NULL)"""
+
+SQL["url_resolve"] = f"WITH {LISTING} SELECT page_id, pos, url, filename FROM lf"
+SQL["date_from_text"] = f"WITH {LISTING} SELECT page_id, pos, date FROM links_all"
+SQL["month_from_text"] = f"""WITH {LISTING}
+SELECT page_id, pos,
+       CASE WHEN text = 'CPI-U' THEN NULL ELSE CAST(month(strptime(split_part(text, ' ', 1), '%B')) AS INTEGER) END
+         AS month
+FROM lk"""
+SQL["link_priority"] = f"""WITH {LISTING}
+SELECT page_id, pos, url, filename, date, description, link_text, priority FROM wl"""
+SQL["link_rank"] = f"""WITH {LISTING}
+SELECT page_id, pos, url, filename, date, description, link_text, priority,
+       CAST(row_number() OVER (PARTITION BY page_id ORDER BY priority, ym DESC, pos) AS INTEGER) AS rank
+FROM wl"""
+SQL["link_target"] = f"""WITH {LISTING},
+t AS (
+  SELECT *, CASE WHEN lower(filename) LIKE '%cpi-u-199806.xlsx%' THEN 1
+                 WHEN date LIKE '%1998-06%' OR filename LIKE '%199806%' THEN 2 ELSE 3 END AS tier
+  FROM wl),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tier, priority, ym DESC, pos) AS k FROM t)
+SELECT page_id, pos, url, filename, date, priority, tier FROM b WHERE k = 1"""
