@@ -392,3 +392,42 @@ def q_link_rank(spark, d):
 @register("link_target")
 def q_link_target(spark, d):
     return LK.link_target(LK.workbook_links(V.listing(spark, d), AS_OF_MONTH), TARGET_MONTH)
+
+
+# ---------------------------------------------------------------- workbook files and sinks
+
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import workbook as WB  # noqa: E402
+
+
+def _roundtrip_cells(spark, cells, tag):
+    """Write ``cells`` as workbook files into a fresh folder under the shared
+    checkpoint folder and read every sheet back with the workbook source."""
+    out = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    WB.write_workbooks(cells, out).collect()   # one small row per written file
+    return WB.read_cells(spark, out)
+
+
+@register("scan_first_sheet")
+def q_scan_first_sheet(spark, d):
+    cells = _roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets")
+    from pyspark import StorageLevel
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    return G.sheet_records(cells, _own_month_targets(cells)).drop(
+        "nsa_previous_mapped", "nsa_current_mapped")
+
+
+@register("scan_all_sheets")
+def q_scan_all_sheets(spark, d):
+    cells = _roundtrip_cells(spark, V.points_cells(spark, d), "points")
+    return G.union_layouts(cells, "cpi")
+
+
+@register("records_out")
+def q_records_out(spark, d):
+    wide = _batch(spark, d)[2]
+    out = scratch_path(spark, f"records-{uuid.uuid4().hex}")
+    WB.records_out(wide, out, "json")
+    return spark.read.schema(wide.schema).json(out)

@@ -590,3 +590,8 @@ t AS (
   FROM wl),
 b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tier, priority, ym DESC, pos) AS k FROM t)
 SELECT page_id, pos, url, filename, date, priority, tier FROM b WHERE k = 1"""
+
+# workbook round trips and sinks give back what went in
+SQL["scan_first_sheet"] = SQL["sheet_records"]
+SQL["scan_all_sheets"] = SQL["union_layouts"]
+SQL["records_out"] = SQL["wide_record"]
