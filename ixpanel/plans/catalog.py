@@ -431,3 +431,35 @@ def q_records_out(spark, d):
     out = scratch_path(spark, f"records-{uuid.uuid4().hex}")
     WB.records_out(wide, out, "json")
     return spark.read.schema(wide.schema).json(out)
+
+
+# ---------------------------------------------------------------- streaming
+
+from ..streaming import ingest as ST  # noqa: E402
+
+
+def _drop_panel(spark, d, tag):
+    """Write the panel as several Parquet files (one per ship year) into a
+    fresh drop folder under the shared checkpoint folder."""
+    root = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    V.panel(spark, d).withColumn("y", F.substring("date", 1, 4)) \
+        .repartition("y").drop("y").write.parquet(f"{root}/drop")
+    return root
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, d):
+    root = _drop_panel(spark, d, "stream-ingest")
+    q = ST.stream_ingest(spark, f"{root}/drop", f"{root}/table", f"{root}/ckpt",
+                         max_files_per_trigger=2)
+    q.awaitTermination()
+    return ST.read_table(spark, f"{root}/table")
+
+
+@register("stream_latest")
+def q_stream_latest(spark, d):
+    root = _drop_panel(spark, d, "stream-latest")
+    q = ST.stream_latest(spark, f"{root}/drop", f"{root}/table", f"{root}/latest",
+                         f"{root}/ckpt", n=2, max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/latest")

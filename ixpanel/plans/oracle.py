@@ -595,3 +595,10 @@ SELECT page_id, pos, url, filename, date, priority, tier FROM b WHERE k = 1"""
 SQL["scan_first_sheet"] = SQL["sheet_records"]
 SQL["scan_all_sheets"] = SQL["union_layouts"]
 SQL["records_out"] = SQL["wide_record"]
+
+SQL["stream_ingest"] = f"WITH {PANEL} SELECT category, date, \"index\", adjustment FROM panel"
+SQL["stream_latest"] = f"""
+WITH {PANEL},
+top AS (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 2)
+SELECT category, date, "index", adjustment FROM panel WHERE date IN (SELECT date FROM top)
+"""
