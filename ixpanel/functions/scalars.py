@@ -23,7 +23,7 @@ def _c(x) -> Column:
 
 def ustrip(x) -> Column:
     """Strip Unicode white space at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(x), F.lit(fixed.WHITESPACE))
 
 
 def python_float(x) -> Column:
@@ -84,19 +84,36 @@ def valid_year_month(d) -> Column:
     return F.coalesce(_c(d).rlike(_YEAR_MONTH), F.lit(False))
 
 
+def _ym_parts(d) -> tuple[Column, Column]:
+    """(year, month) integers of a valid ``YYYY-M[M]`` text, else nulls."""
+    ok = valid_year_month(d)
+    y = F.when(ok, F.substring(_c(d), 1, 4).cast("int"))
+    m = F.when(ok, F.substring(_c(d), 6, 2).cast("int"))
+    return y, m
+
+
+def _ym_text(y: Column, m: Column) -> Column:
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"))
+
+
 def month_start(d) -> Column:
     """First day of the month named by a valid ``YYYY-M[M]`` text, else null."""
-    return F.when(valid_year_month(d), F.try_to_timestamp(_c(d), F.lit("yyyy-M")).cast("date"))
+    y, m = _ym_parts(d)
+    return F.make_date(y, m, F.lit(1))
 
 
 def current_month(d) -> Column:
     """normalised ``YYYY-MM`` of the request date (``2025-6`` → ``2025-06``)."""
-    return F.date_format(month_start(d), "yyyy-MM")
+    y, m = _ym_parts(d)
+    return _ym_text(y, m)
 
 
 def previous_month(d) -> Column:
-    """the month before the request date, ``YYYY-MM``."""
-    return F.date_format(F.add_months(month_start(d), -1), "yyyy-MM")
+    """the month before the request date, ``YYYY-MM`` (integer arithmetic,
+    no date parsing)."""
+    y, m = _ym_parts(d)
+    k = y * 12 + m - 2          # months since year 0 of the previous month, 0-based
+    return _ym_text(F.floor(k / 12).cast("int"), (k % 12 + 1).cast("int"))
 
 
 def month_label_parts(ym) -> tuple[Column, Column]:
@@ -258,9 +275,12 @@ def link_priority(href, text) -> Column:
 
 
 def category_list(s) -> Column:
-    """split on commas, strip, drop blanks."""
-    parts = F.transform(F.split(_c(s), ","), lambda x: ustrip(x))
-    return F.filter(parts, lambda x: x != "")
+    """split on commas, strip, drop blanks (no lambdas, so it stays in
+    generated code: white space around commas is removed first, then the
+    text is split on the bare commas)."""
+    ws = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+    norm = F.regexp_replace(ustrip(s), f"{ws},{ws}", ",")   # pattern compiled once
+    return F.array_remove(F.split(norm, ","), "")             # one-char split: fast path
 
 
 def request_reject_reason(date, n_categories, max_categories: int) -> Column:

@@ -15,6 +15,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan; callers select columns so the scan is pruned."""
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               min_partitions: int | None = None) -> DataFrame:
+    """Lazy Parquet scan; callers select columns so the scan is pruned.
+
+    Parallelism guard: a table stored as one unsplittable file (one row
+    group) scans in a single task, which would run every per-row step before
+    the first shuffle on one core. When the scan has fewer splits than the
+    session's default parallelism, rows are spread round-robin first. Large
+    inputs have many splits and are left as they are.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
