@@ -11,13 +11,17 @@ from ..functions import scalars as S
 WIDE_VALUES = ["nsa_previous", "nsa_current", "sa_previous", "sa_current"]
 
 
-def pct_change(cur: Column, prev: Column) -> Column:
-    """``((cur - prev) / prev * 100)`` rounded to 2 places half-to-even on the
-    scaled double (numpy ``round``). Division by zero gives null."""
-    x = (cur - prev) / F.when(prev != 0, prev) * F.lit(100.0)
+def round2(x: Column) -> Column:
+    """Round to 2 places the numpy way: scale, round half to even, unscale."""
     return F.rint(x * F.lit(100.0)) / F.lit(100.0)
 
 
+def pct_change(cur: Column, prev: Column) -> Column:
+    """``((cur - prev) / prev * 100)`` rounded by ``round2``. Division by
+    zero gives null (documented deviation: pandas gives ±inf)."""
+    return round2((cur - prev) / F.when(prev != 0, prev) * F.lit(100.0))
+
+
 def mom_change_panel(panel: DataFrame) -> DataFrame:
     """R6 over a whole panel: change to the calendar-previous month of the same
     category and adjustment.
