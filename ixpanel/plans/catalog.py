@@ -463,3 +463,31 @@ def q_stream_latest(spark, d):
                          f"{root}/ckpt", n=2, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/latest")
+
+
+# ---------------------------------------------------------------- R9 ordered caps
+
+@register("limit_head")
+def q_limit_head(spark, d):
+    """The sample of the newest points shown after an ingest: the first 3
+    points in a total order (newest period first)."""
+    pts = q_latest_points(spark, d)
+    return P.limit_head(pts, 3, F.desc("year"), F.desc("month"), "file", "sheet", "layout", "r", "c")
+
+
+# ---------------------------------------------------------------- F8, F9 on their own
+
+@register("header_norm")
+def q_header_norm(spark, d):
+    """F8 over the header and sub-header rows of every rendered sheet."""
+    c = _sheet(spark, d).filter(F.col("r_raw").isin(3, 4))
+    return c.select("file", "r_raw", "c", S.header_norm(F.col("raw")).alias("text"),
+                    S.header_norm(F.col("raw"), strip=True).alias("text_stripped"))
+
+
+@register("series_label")
+def q_series_label(spark, d):
+    """default series id of each workbook's ticker (its file stem)."""
+    m = V.points_manifest(spark, d)
+    ticker = F.regexp_extract(F.col("file"), r"^(.*)\.xlsx$", 1)
+    return m.select("file", ticker.alias("ticker"), S.series_label(ticker).alias("series_id"))

@@ -602,3 +602,35 @@ WITH {PANEL},
 top AS (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 2)
 SELECT category, date, "index", adjustment FROM panel WHERE date IN (SELECT date FROM top)
 """
+
+SQL["limit_head"] = f"""
+SELECT * FROM ({SQL["latest_points"]}) q
+ORDER BY year DESC, month DESC, file, sheet, layout, r, c LIMIT 3
+"""
+
+SQL["header_norm"] = f"""
+WITH {PANEL_WIDE},
+m AS (SELECT DISTINCT date, 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file,
+             CAST(date || '-01' AS DATE) AS ms FROM panel_wide),
+lab AS (SELECT file, ms,
+               lower(strftime(ms - INTERVAL 1 MONTH, '%b')) || '. ' || strftime(ms - INTERVAL 1 MONTH, '%Y') AS pl,
+               lower(strftime(ms, '%b')) || '. ' || strftime(ms, '%Y') AS cl FROM m),
+h(c, t) AS (VALUES (0, 'indent level'), (1, 'expenditure category'), (2, 'relative importance'),
+                   (3, 'unadjusted indexes'), (4, 'unadjusted indexes'), (5, 'seasonally adjusted indexes'),
+                   (6, 'seasonally adjusted indexes'), (7, 'unadjusted percent change')),
+cells AS (
+  SELECT file, CAST(3 AS INTEGER) AS r_raw, CAST(c AS INTEGER) AS c, t AS text FROM lab, h
+  UNION ALL SELECT file, 4, 3, pl FROM lab
+  UNION ALL SELECT file, 4, 4, cl FROM lab
+  UNION ALL SELECT file, 4, 5, pl FROM lab
+  UNION ALL SELECT file, 4, 6, cl FROM lab
+  UNION ALL SELECT file, 4, 7, pl || '- ' || cl FROM lab)
+SELECT file, r_raw, c, text, trim(text) AS text_stripped FROM cells
+"""
+
+SQL["series_label"] = """
+SELECT file, regexp_extract(file, '^(.*)\\.xlsx$', 1) AS ticker,
+       'CPI_U_' || upper(regexp_extract(file, '^(.*)\\.xlsx$', 1)) AS series_id
+FROM (SELECT DISTINCT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g'))
+                      || '.xlsx' AS file FROM orders)
+"""
