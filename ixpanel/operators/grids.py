@@ -11,7 +11,7 @@ no step compares all cells with all cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -206,35 +206,46 @@ def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
     known: ``hr = greatest(first year row, first month row)``; the year column
     is the last one seen up to ``hr``, each month column keeps its last month.
     Data rows are all rows after ``hr``; the year must be all digits.
+
+    The header region (rows 0…10) of a sheet is bounded by the sheet width,
+    so it is hash-partitioned once by sheet and every header step is a window
+    over that partitioning; the result is one row per sheet (header row, year
+    column, month of each column as a map) joined back to the cells.
     """
     a = annotate_cells(cells)
-    top = a.filter(F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW).select(
-        *KEY, "r", "c", "t", "mon", "mon3",
-        (F.col("t").contains("year") | F.col("is4")).alias("cand_cell"))
-    cand_rows = top.groupBy(*KEY, "r").agg(F.max("cand_cell").alias("cand")) \
-                   .filter("cand").drop("cand")
+    w_row = Window.partitionBy(*KEY, "r")
+    w_sheet = Window.partitionBy(*KEY)
     is_year = F.col("t").contains("year")
-    tc = (top.join(cand_rows, KEY + ["r"])
-          .withColumn("is_year", is_year)
-          .withColumn("mnum", F.when(~is_year & F.col("mon").isNotNull(), F.col("mon3"))))
-    hr = tc.groupBy(*KEY).agg(
-        F.min(F.when(F.col("is_year"), F.col("r"))).alias("ry"),
-        F.min(F.when(F.col("mnum").isNotNull(), F.col("r"))).alias("rm"))
-    hr = hr.filter(F.col("ry").isNotNull() & F.col("rm").isNotNull()) \
-           .select(*KEY, F.greatest("ry", "rm").alias("hr"))
-    upto = tc.join(hr, KEY).filter(F.col("r") <= F.col("hr"))
-    ycol = (upto.filter("is_year").groupBy(*KEY, "hr")
-            .agg(F.max_by("c", F.struct("r", "c")).alias("year_c")))
-    mcols = (upto.filter(F.col("mnum").isNotNull()).groupBy(*KEY, "c")
-             .agg(F.max_by("mnum", "r").alias("month")))
-    body = a.join(ycol, KEY).filter(F.col("r") > F.col("hr"))
-    years = (body.filter(F.col("c") == F.col("year_c"))
-             .filter(F.col("raw").rlike(r"^[0-9]+$"))
-             .filter(~((F.col("kind") == "n") & (F.col("raw").cast("decimal(38,0)") == 0)))
-             .select(*KEY, "r", F.col("raw").try_cast("int").alias("year")))
-    vals = (body.join(mcols, KEY + ["c"]).filter("num_ok")
-            .select(*KEY, "r", "c", "month", F.col("num").alias("value")))
-    pts = vals.join(years, KEY + ["r"])
+    top = (a.filter(F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW)
+           .select(*KEY, "r", "c", "t", "mon", "mon3", "is4")
+           .repartition(*KEY)
+           .withColumn("cand", F.max(is_year | F.col("is4")).over(w_row))
+           .filter("cand")
+           .withColumn("is_year", is_year)
+           .withColumn("mnum", F.when(~is_year & F.col("mon").isNotNull(), F.col("mon3")))
+           .withColumn("ry", F.min(F.when(F.col("is_year"), F.col("r"))).over(w_sheet))
+           .withColumn("rm", F.min(F.when(F.col("mnum").isNotNull(), F.col("r"))).over(w_sheet))
+           # a sheet needs both a year and a month column (greatest() would skip a null)
+           .filter(F.col("ry").isNotNull() & F.col("rm").isNotNull())
+           .withColumn("hr", F.greatest("ry", "rm"))
+           .filter(F.col("r") <= F.col("hr")))
+    months = (top.filter(F.col("mnum").isNotNull()).groupBy(*KEY, "c")
+              .agg(F.max_by("mnum", "r").alias("month")))
+    header = (top.groupBy(*KEY).agg(
+        F.max("hr").alias("hr"),
+        F.max_by(F.when(F.col("is_year"), F.col("c")),
+                 F.when(F.col("is_year"), F.struct("r", "c"))).alias("year_c"))
+        .join(months.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("c", "month")))
+                                       .alias("months")), KEY))
+    body = (a.join(header, KEY).filter(F.col("r") > F.col("hr"))
+            .withColumn("month", F.element_at(F.col("months"), F.col("c"))))
+    year_txt = F.when((F.col("c") == F.col("year_c")) & F.col("raw").rlike(r"^[0-9]+$")
+                      & ~((F.col("kind") == "n") & (F.col("raw").cast("decimal(38,0)") == 0)),
+                      F.col("raw").try_cast("int"))
+    rows = (body.filter((F.col("c") == F.col("year_c")) | (F.col("month").isNotNull() & F.col("num_ok")))
+            .withColumn("year", F.max(year_txt).over(Window.partitionBy(*KEY, "r"))))
+    pts = (rows.filter(F.col("month").isNotNull() & F.col("num_ok") & F.col("year").isNotNull())
+           .select(*KEY, "r", "c", "year", "month", F.col("num").alias("value")))
     return _point(pts, "year_month", ticker, S.series_label(F.lit(ticker)), F.lit(True))
 
 
@@ -252,34 +263,44 @@ def timeseries_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
     accumulate until date and value are both known; the last match wins. Every
     later row with a date, a numeric value and a parsable period is a point.
     No series column → ``''``; blank series cell → the default label.
+
+    As in G4, the bounded header region is analysed with windows over one
+    partitioning by sheet; data rows are then pivoted per row in one
+    aggregation.
     """
     a = annotate_cells(cells)
-    top = a.filter(F.col("r") < fixed.SERIES_HEADER_ROWS).select(*KEY, "r", "c", "t")
+    w_sheet = Window.partitionBy(*KEY)
     is_d = _has_any(fixed.DATE_WORDS)
     is_v = _has_any(fixed.VALUE_WORDS)
     is_s = _has_any(fixed.SERIES_WORDS)
-    top = top.withColumn("role", F.when(is_d, "d").when(is_v, "v").when(is_s, "s")) \
-             .filter(F.col("role").isNotNull())
-    hr = (top.groupBy(*KEY).agg(
-        F.min(F.when(F.col("role") == "d", F.col("r"))).alias("rd"),
-        F.min(F.when(F.col("role") == "v", F.col("r"))).alias("rv")))
-    hr = hr.filter(F.col("rd").isNotNull() & F.col("rv").isNotNull()) \
-           .select(*KEY, F.greatest("rd", "rv").alias("hr"))
-    upto = top.join(hr, KEY).filter(F.col("r") <= F.col("hr"))
-    roles = upto.groupBy(*KEY, "hr").agg(*[
+    top = (a.filter(F.col("r") < fixed.SERIES_HEADER_ROWS).select(*KEY, "r", "c", "t")
+           .withColumn("role", F.when(is_d, "d").when(is_v, "v").when(is_s, "s"))
+           .filter(F.col("role").isNotNull())
+           .repartition(*KEY)
+           .withColumn("rd", F.min(F.when(F.col("role") == "d", F.col("r"))).over(w_sheet))
+           .withColumn("rv", F.min(F.when(F.col("role") == "v", F.col("r"))).over(w_sheet))
+           .filter(F.col("rd").isNotNull() & F.col("rv").isNotNull())
+           .withColumn("hr", F.greatest("rd", "rv"))
+           .filter(F.col("r") <= F.col("hr")))
+    header = top.groupBy(*KEY).agg(F.max("hr").alias("hr"), *[
         F.max_by(F.when(F.col("role") == k, F.col("c")),
                  F.when(F.col("role") == k, F.struct("r", "c"))).alias(f"{k}_c")
         for k in ("d", "v", "s")])
-    body = a.join(roles, KEY).filter(F.col("r") > F.col("hr"))
-    date_cells = body.filter(F.col("c") == F.col("d_c")).select(
-        *KEY, "r", "s_c", S.parse_period(F.col("raw"), F.col("kind")).alias("p"))
-    val_cells = (body.filter(F.col("c") == F.col("v_c")).filter("num_ok")
-                 .select(*KEY, "r", "c", F.col("num").alias("value")))
-    ser_cells = body.filter(F.col("c") == F.col("s_c")).select(*KEY, "r", F.col("raw").alias("series_raw"))
-    pts = (date_cells.join(val_cells, KEY + ["r"])
+    body = a.join(header, KEY).filter(F.col("r") > F.col("hr")) \
+            .filter(F.col("c").isin(F.col("d_c"), F.col("v_c"), F.col("s_c")))
+    is_dc, is_vc, is_sc = (F.col("c") == F.col("d_c")), (F.col("c") == F.col("v_c")), (F.col("c") == F.col("s_c"))
+    per_row = body.groupBy(*KEY, "r").agg(
+        F.max(F.when(is_dc, F.col("raw"))).alias("date_raw"),
+        F.max(F.when(is_dc, F.col("kind"))).alias("date_kind"),
+        F.max(F.when(is_vc & F.col("num_ok"), F.col("num"))).alias("value"),
+        F.max(F.when(is_vc & F.col("num_ok"), F.lit(1))).alias("has_value"),
+        F.max(F.when(is_sc, F.col("raw"))).alias("series_raw"),
+        F.max("v_c").alias("c"), F.max("s_c").alias("s_c"))
+    p = S.parse_period(F.col("date_raw"), F.col("date_kind"))
+    pts = (per_row.filter(F.col("date_raw").isNotNull() & (F.col("has_value") == 1))
+           .withColumn("p", p)
            .filter((F.coalesce(F.col("p.year"), F.lit(0)) != 0)
                    & (F.coalesce(F.col("p.month"), F.lit(0)) != 0))
-           .join(ser_cells, KEY + ["r"], "left")
            .select(*KEY, "r", "c", F.col("p.year").alias("year"), F.col("p.month").alias("month"),
                    "value", "s_c", "series_raw"))
     sid = (F.when(F.col("s_c").isNull(), F.lit(""))
@@ -319,7 +340,9 @@ def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False) ->
     twice, as in the original). ``dedup=True`` keeps one row per cell and
     period instead."""
     from pyspark import StorageLevel
-    a = annotate_cells(cells).persist(StorageLevel.MEMORY_AND_DISK)  # shared by three extractors
+    # shared by three extractors: build it once before their stages start
+    a = annotate_cells(cells).persist(StorageLevel.MEMORY_AND_DISK)
+    a.count()
     out = (year_month_unpivot(a, ticker)
            .unionByName(timeseries_extract(a, ticker))
            .unionByName(context_extract(a, ticker)))

@@ -51,16 +51,23 @@ from ..operators import requests as RQ  # noqa: E402
 AS_OF_MONTH = "2001-12"   # "now" of the link/date rules, a fixed parameter
 
 
-def _sheet(spark, d):
-    """Rendered supplemental sheets, persisted: every grid query reads the
-    cell table several times (header, columns, labels, values)."""
+def _materialized(df):
+    """Persist and build once, before the plans that share it start: left
+    lazy, every concurrently running stage that reads it would compute it."""
     from pyspark import StorageLevel
-    return V.sheet_cells(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
+def _sheet(spark, d):
+    """Rendered supplemental sheets: every grid query reads the cell table
+    several times (header, columns, labels, values)."""
+    return _materialized(V.sheet_cells(spark, d))
 
 
 def _pcells(spark, d):
-    from pyspark import StorageLevel
-    return V.points_cells(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return _materialized(V.points_cells(spark, d))
 
 
 def _own_month_targets(cells):
@@ -195,9 +202,8 @@ def q_batch_requests(spark, d):
 # ---------------------------------------------------------------- other layouts
 
 def _points(spark, d):
-    """G8 points, persisted: R7 and R20 read them more than once."""
-    from pyspark import StorageLevel
-    return G.union_layouts(_pcells(spark, d), "cpi").persist(StorageLevel.MEMORY_AND_DISK)
+    """G8 points, materialised: R7 and R20 read them more than once."""
+    return _materialized(G.union_layouts(_pcells(spark, d), "cpi"))
 
 
 @register("year_month_unpivot")
@@ -240,8 +246,7 @@ def q_latest_points(spark, d):
     from ..sources import files as FS
     latest = FS.latest_file(V.points_manifest(spark, d)).select("file")
     cells = _pcells(spark, d).join(latest, "file", "left_semi")
-    from pyspark import StorageLevel
-    pts = P.recent_periods(G.union_layouts(cells, "cpi").persist(StorageLevel.MEMORY_AND_DISK), 2)
+    pts = P.recent_periods(_materialized(G.union_layouts(cells, "cpi")), 2)
     return pts.withColumn("period", S.period_label(F.col("year"), F.col("month")))
 
 
@@ -412,9 +417,7 @@ def _roundtrip_cells(spark, cells, tag):
 
 @register("scan_first_sheet")
 def q_scan_first_sheet(spark, d):
-    cells = _roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets")
-    from pyspark import StorageLevel
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = _materialized(_roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets"))
     return G.sheet_records(cells, _own_month_targets(cells)).drop(
         "nsa_previous_mapped", "nsa_current_mapped")
 
