@@ -43,48 +43,46 @@ def all_sheets(cells: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- G1–G3
 
+def header_pairs(cells: DataFrame, fill_merged: bool = False) -> DataFrame:
+    """G1 + the text of the header row and the row below it, per column.
+
+    Output ``file, sheet, header_r, c, h, s``. The header row is the first
+    row 0…10 with a cell starting with ``expenditure category``. Only rows
+    0…11 are read (pushed to the scan), a region bounded by the sheet width,
+    so it is partitioned once by sheet and every later step (windows,
+    per-column and per-sheet aggregates) reuses that partitioning.
+    """
+    w_sheet = Window.partitionBy(*KEY)
+    starts = S.header_norm(F.col("raw"), strip=True).startswith(fixed.CATEGORY_HEADER)
+    reg = (cells.filter(F.col("r_raw") <= fixed.HEADER_SEARCH_LAST_ROW + 1)
+           .select(*KEY, "r_raw", "c", "raw")
+           .repartition(*KEY)
+           .withColumn("header_r", F.min(F.when((F.col("r_raw") <= fixed.HEADER_SEARCH_LAST_ROW) & starts,
+                                                F.col("r_raw"))).over(w_sheet))
+           .filter(F.col("header_r").isNotNull()
+                   & ((F.col("r_raw") == F.col("header_r")) | (F.col("r_raw") == F.col("header_r") + 1))))
+    pairs = reg.groupBy(*KEY, "header_r", "c").agg(
+        F.max(F.when(F.col("r_raw") == F.col("header_r"), S.header_norm(F.col("raw")))).alias("h"),
+        F.max(F.when(F.col("r_raw") == F.col("header_r") + 1, S.header_norm(F.col("raw")))).alias("s"))
+    if fill_merged:
+        # a merged header labels only its first column; carry it to the right
+        w = Window.partitionBy(*KEY).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+        pairs = pairs.withColumn("h", F.last("h", ignorenulls=True).over(w))
+    return pairs
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """G1: first row 0…10 with a cell starting with ``expenditure category``."""
-    t = S.header_norm(F.col("raw"), strip=True)
-    return (cells.filter(F.col("r_raw") <= fixed.HEADER_SEARCH_LAST_ROW)
-            .filter(t.startswith(fixed.CATEGORY_HEADER))
-            .groupBy(*KEY).agg(F.min("r_raw").alias("header_r")))
+    return header_pairs(cells).select(*KEY, "header_r").distinct()
 
 
-def category_column(cells: DataFrame, hdr: DataFrame) -> DataFrame:
+def category_column(cells: DataFrame, hdr: DataFrame | None = None) -> DataFrame:
     """Last header-row column whose text contains ``expenditure category``."""
-    return (cells.join(hdr, KEY).filter(F.col("r_raw") == F.col("header_r"))
-            .filter(S.header_norm(F.col("raw")).contains(fixed.CATEGORY_HEADER))
+    return (header_pairs(cells).filter(F.col("h").contains(fixed.CATEGORY_HEADER))
             .groupBy(*KEY).agg(F.max("c").alias("cat_c")))
 
 
-def _header_pairs(cells: DataFrame, hdr: DataFrame, fill_merged: bool) -> DataFrame:
-    """(file, sheet, c, h, s): header text and the sub-header text below it."""
-    hc = cells.join(hdr, KEY)
-    h = hc.filter(F.col("r_raw") == F.col("header_r")).select(
-        *KEY, "c", S.header_norm(F.col("raw")).alias("h"))
-    s = hc.filter(F.col("r_raw") == F.col("header_r") + 1).select(
-        *KEY, "c", S.header_norm(F.col("raw")).alias("s"))
-    if not fill_merged:
-        return h.join(s, KEY + ["c"], "left")
-    from pyspark.sql import Window
-    both = h.join(s, KEY + ["c"], "full")
-    # a merged header labels only its first column; carry it right. One
-    # window per sheet over its header columns (bounded by the sheet width).
-    w = Window.partitionBy(*KEY).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("h", F.last("h", ignorenulls=True).over(w))
-
-
-def column_map(cells: DataFrame, hdr: DataFrame, targets: DataFrame,
-               fill_merged: bool = False) -> DataFrame:
-    """Column of each (adjustment, month) role for every target month.
-
-    ``targets``: ``file, sheet, current_month`` (``YYYY-MM``). Output: one
-    row per target with ``c_<role>`` (null when unmapped). Unadjusted is
-    tested before seasonally adjusted; the current month before the previous;
-    among several matching columns the last one wins.
-    """
-    pairs = _header_pairs(cells, hdr, fill_merged)
+def _column_map(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.withColumn("previous_month", S.previous_month(F.col("current_month")))
     ca, cy = S.month_label_parts(F.col("current_month"))
     pa, py = S.month_label_parts(F.col("previous_month"))
@@ -100,7 +98,20 @@ def column_map(cells: DataFrame, hdr: DataFrame, targets: DataFrame,
                   F.when(cur_ok, F.lit("sa_current")).when(prev_ok, F.lit("sa_previous"))))
     j = j.withColumn("role", role)
     return j.groupBy(*KEY, "current_month").agg(
-        *[F.max(F.when(F.col("role") == r, F.col("c"))).alias(f"c_{r}") for r in ROLES])
+        *[F.max(F.when(F.col("role") == r, F.col("c"))).alias(f"c_{r}") for r in ROLES],
+        F.max(F.when(h.contains(fixed.CATEGORY_HEADER), F.col("c"))).alias("cat_c"))
+
+
+def column_map(cells: DataFrame, hdr: DataFrame | None, targets: DataFrame,
+               fill_merged: bool = False) -> DataFrame:
+    """Column of each (adjustment, month) role for every target month.
+
+    ``targets``: ``file, sheet, current_month`` (``YYYY-MM``). Output: one
+    row per target with ``c_<role>`` (null when unmapped). Unadjusted is
+    tested before seasonally adjusted; the current month before the previous;
+    among several matching columns the last one wins.
+    """
+    return _column_map(header_pairs(cells, fill_merged), targets).drop("cat_c")
 
 
 def category_first_rows(cells: DataFrame, catc: DataFrame) -> DataFrame:
@@ -112,49 +123,48 @@ def category_first_rows(cells: DataFrame, catc: DataFrame) -> DataFrame:
             .groupBy(*KEY, "label").agg(F.min("r_raw").alias("r_raw")))
 
 
-def row_values(cells: DataFrame, cmap: DataFrame) -> DataFrame:
-    """Values of every data row at the mapped columns of each target, with the
-    column-level SA fallback (R3): no SA column → the NSA value."""
-    long_map = cmap.select(*KEY, "current_month", F.inline(F.array(*[
-        F.struct(F.lit(r).alias("role"), F.col(f"c_{r}").alias("c")) for r in ROLES])))
-    long_map = long_map.filter(F.col("c").isNotNull())
-    v = (cells.filter(F.col("r_raw") >= fixed.DATA_START_ROW)
-         .join(long_map, KEY + ["c"])
-         .withColumn("v", S.clean_numeric(F.col("raw"))))
-    return v.groupBy(*KEY, "current_month", "r_raw").agg(
-        *[F.max(F.when(F.col("role") == r, F.col("v"))).alias(f"v_{r}") for r in ROLES])
-
-
 def sheet_records(cells: DataFrame, targets_by_file: DataFrame,
                   fill_merged: bool = False) -> DataFrame:
-    """G1–G3 + R2/R3 for whole sheets: one record per first-occurring label.
-
-    ``targets_by_file``: ``file, current_month``. Output: ``file, sheet,
-    current_month, label, r_raw`` and the four values.
+    """G1–G3 + R1 index + R2/R3 for whole sheets: one record per
+    first-occurring label of the category column, for each target month.
+
+    ``targets_by_file``: ``file, current_month``. Plan: header facts from the
+    bounded header region; one join of the data cells with the small
+    per-target role map (category column + mapped month columns); one
+    aggregation per data row; a window per (sheet, month, label) — bounded by
+    the sheet's rows — keeps each label's first row. The SA fallback is
+    column-level: no SA column → the NSA value.
     """
     c1 = first_sheet(cells)
-    hdr = header_rows(c1)
-    catc = category_column(c1, hdr)
-    targets = targets_by_file.join(hdr.select(*KEY), "file")
-    cmap = column_map(c1, hdr, targets, fill_merged)
-    first = category_first_rows(c1, catc)
-    rv = row_values(c1, cmap)
-    rec = (first.join(targets, KEY)
-           .join(rv, KEY + ["current_month", "r_raw"], "left")
-           .join(cmap, KEY + ["current_month"], "left"))
-    out = rec.select(
+    pairs = header_pairs(c1, fill_merged)
+    sheets = pairs.select(*KEY).distinct()
+    targets = targets_by_file.join(sheets, "file")
+    cmap = _column_map(pairs, targets)
+    roles = cmap.select(*KEY, "current_month", F.inline(F.array(
+        F.struct(F.lit("label").alias("role"), F.col("cat_c").alias("c")),
+        *[F.struct(F.lit(r).alias("role"), F.col(f"c_{r}").alias("c")) for r in ROLES]))) \
+        .filter(F.col("c").isNotNull())
+    data = c1.filter(F.col("r_raw") >= fixed.DATA_START_ROW).select(*KEY, "r_raw", "c", "raw") \
+             .join(roles, KEY + ["c"])
+    per_row = data.groupBy(*KEY, "current_month", "r_raw").agg(
+        F.max(F.when(F.col("role") == "label", S.ustrip(F.col("raw")))).alias("label"),
+        *[F.max(F.when(F.col("role") == r, S.clean_numeric(F.col("raw")))).alias(f"v_{r}") for r in ROLES])
+    first = (per_row.filter(F.col("label").isNotNull())
+             .withColumn("_k", F.row_number().over(
+                 Window.partitionBy(*KEY, "current_month", "label").orderBy("r_raw")))
+             .filter(F.col("_k") == 1).drop("_k"))
+    rec = first.join(cmap, KEY + ["current_month"])
+    mapped = {r: F.col(f"c_{r}").isNotNull() for r in ROLES}
+    return rec.select(
         *KEY, "current_month", "label", "r_raw",
-        F.when(F.col("c_nsa_previous").isNotNull(), F.col("v_nsa_previous")).alias("nsa_previous"),
-        F.when(F.col("c_nsa_current").isNotNull(), F.col("v_nsa_current")).alias("nsa_current"),
-        F.when(F.col("c_sa_previous").isNotNull(), F.col("v_sa_previous"))
-         .otherwise(F.when(F.col("c_nsa_previous").isNotNull(), F.col("v_nsa_previous")))
-         .alias("sa_previous"),
-        F.when(F.col("c_sa_current").isNotNull(), F.col("v_sa_current"))
-         .otherwise(F.when(F.col("c_nsa_current").isNotNull(), F.col("v_nsa_current")))
-         .alias("sa_current"),
-        F.col("c_nsa_previous").isNotNull().alias("nsa_previous_mapped"),
-        F.col("c_nsa_current").isNotNull().alias("nsa_current_mapped"))
-    return out
+        F.when(mapped["nsa_previous"], F.col("v_nsa_previous")).alias("nsa_previous"),
+        F.when(mapped["nsa_current"], F.col("v_nsa_current")).alias("nsa_current"),
+        F.when(mapped["sa_previous"], F.col("v_sa_previous"))
+         .otherwise(F.when(mapped["nsa_previous"], F.col("v_nsa_previous"))).alias("sa_previous"),
+        F.when(mapped["sa_current"], F.col("v_sa_current"))
+         .otherwise(F.when(mapped["nsa_current"], F.col("v_nsa_current"))).alias("sa_current"),
+        mapped["nsa_previous"].alias("nsa_previous_mapped"),
+        mapped["nsa_current"].alias("nsa_current_mapped"))
 
 
 def category_catalogue(cells: DataFrame, n: int = fixed.CATEGORY_LIST_DEFAULT) -> DataFrame:
