@@ -47,14 +47,31 @@ def route_by_date(exploded: DataFrame) -> DataFrame:
     return exploded.withColumn("file", F.concat(F.lit("cpi-u-"), ym, F.lit(".xlsx")))
 
 
-def wide_records(cells: DataFrame, routed: DataFrame, fill_merged: bool = False) -> DataFrame:
+def month_of_workbook(cells: DataFrame) -> DataFrame:
+    """``file, current_month`` for workbooks named ``cpi-u-YYYYMM.xlsx`` — the
+    only month ``route_by_date`` can send to them."""
+    m = F.regexp_extract(F.col("file"), r"(?i)^cpi-u-([0-9]{4})([0-9]{2})\.xlsx$", 0)
+    ym = F.concat_ws("-", F.regexp_extract(F.col("file"), r"(?i)^cpi-u-([0-9]{4})([0-9]{2})\.xlsx$", 1),
+                     F.regexp_extract(F.col("file"), r"(?i)^cpi-u-([0-9]{4})([0-9]{2})\.xlsx$", 2))
+    return (cells.select("file").distinct().filter(m != "")
+            .select("file", ym.alias("current_month")))
+
+
+def wide_records(cells: DataFrame, routed: DataFrame, fill_merged: bool = False,
+                 targets: DataFrame | None = None) -> DataFrame:
     """R1 + R2 + R3: one wide record per found (request, position).
 
     Unknown names are dropped, duplicates kept, the output name is the name
     as asked. Unmapped NSA months stay null; an unmapped SA month takes the
     NSA value (column-level fallback).
+
+    ``targets`` (``file, current_month``) names the months to map per
+    workbook; by default they are read from the requests (one extra pass).
+    With ``route_by_date`` they follow from the file names
+    (``month_of_workbook``), so the requests are read once.
     """
-    targets = routed.select("file", "current_month").distinct()
+    if targets is None:
+        targets = routed.select("file", "current_month").distinct()
     recs = G.sheet_records(cells, targets, fill_merged).alias("s")
     q = routed.alias("q")
     j = q.join(recs, (F.col("q.file") == F.col("s.file"))
@@ -102,6 +119,6 @@ def answer(cells: DataFrame, requests: DataFrame,
     """The whole batch — validation, lookup, wide and long answers."""
     checked = validate(requests, max_categories)
     routed = route_by_date(explode_valid(checked))
-    wide = wide_records(cells, routed)
+    wide = wide_records(cells, routed, targets=month_of_workbook(cells))
     long = P.long_format(wide)
     return checked, routed, wide, long
