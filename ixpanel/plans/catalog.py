@@ -494,3 +494,15 @@ def q_series_label(spark, d):
     m = V.points_manifest(spark, d)
     ticker = F.regexp_extract(F.col("file"), r"^(.*)\.xlsx$", 1)
     return m.select("file", ticker.alias("ticker"), S.series_label(ticker).alias("series_id"))
+
+
+@register("stream_workbooks")
+def q_stream_workbooks(spark, d):
+    """T1 as the original runs it: new workbook files arrive in a folder and
+    their points are extracted incrementally."""
+    root = scratch_path(spark, f"stream-workbooks-{uuid.uuid4().hex}")
+    WB.write_workbooks(V.points_cells(spark, d), f"{root}/drop").collect()
+    q = ST.stream_workbooks(spark, f"{root}/drop", f"{root}/points", f"{root}/ckpt",
+                            max_files_per_trigger=2)
+    q.awaitTermination()
+    return ST.read_table(spark, f"{root}/points")

@@ -634,3 +634,5 @@ SELECT file, regexp_extract(file, '^(.*)\\.xlsx$', 1) AS ticker,
 FROM (SELECT DISTINCT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g'))
                       || '.xlsx' AS file FROM orders)
 """
+
+SQL["stream_workbooks"] = SQL["union_layouts"]

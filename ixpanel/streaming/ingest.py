@@ -71,3 +71,28 @@ def latest_rows(panel: DataFrame, n: int = 2) -> DataFrame:
     p = panel.withColumn("year", F.substring("date", 1, 4).cast("int")) \
              .withColumn("month", F.substring("date", 6, 2).cast("int"))
     return P.recent_periods(p, n).drop("year", "month")
+
+
+def stream_workbooks(spark: SparkSession, drop_dir: str, points_dir: str, checkpoint: str,
+                     ticker: str = "cpi", trigger: str = "availableNow",
+                     max_files_per_trigger: int | None = None):
+    """T1 over workbook files: every new ``*.xlsx`` in ``drop_dir`` is decoded
+    (one file per row), its points are extracted with the three layouts (G8)
+    and appended under ``points_dir/batch=<id>``."""
+    from ..operators import grids as G
+    from ..sources import workbook as WB
+
+    src = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+           .schema("path string, modificationTime timestamp, length long, content binary"))
+    if max_files_per_trigger:
+        src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    src = src.load(drop_dir)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        cells = batch.select("path", "content").mapInPandas(WB._decode, WB.CELL_SCHEMA)
+        ann = G.annotate_cells(cells).persist()          # decoded once per batch
+        G.union_layouts(ann, ticker).write.mode("overwrite").parquet(f"{points_dir}/batch={batch_id}")
+        ann.unpersist()                                  # a long-running stream keeps no old batches
+
+    w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
