@@ -57,13 +57,12 @@ def month_of_workbook(cells: DataFrame) -> DataFrame:
             .select("file", ym.alias("current_month")))
 
 
-def wide_records(cells: DataFrame, routed: DataFrame, fill_merged: bool = False,
-                 targets: DataFrame | None = None) -> DataFrame:
-    """R1 + R2 + R3: one wide record per found (request, position).
-
-    Unknown names are dropped, duplicates kept, the output name is the name
-    as asked. Unmapped NSA months stay null; an unmapped SA month takes the
-    NSA value (column-level fallback).
+def lookup(cells: DataFrame, routed: DataFrame, fill_merged: bool = False,
+           targets: DataFrame | None = None) -> DataFrame:
+    """Every asked name (one row per request position) with ``found`` and,
+    when found, its four values — one left join of the exploded requests with
+    the per-sheet records; it serves R2 (found rows), R11 (the others) and
+    R10 (one grouped count).
 
     ``targets`` (``file, current_month``) names the months to map per
     workbook; by default they are read from the requests (one extra pass).
@@ -76,28 +75,45 @@ def wide_records(cells: DataFrame, routed: DataFrame, fill_merged: bool = False,
     q = routed.alias("q")
     j = q.join(recs, (F.col("q.file") == F.col("s.file"))
                & (F.col("q.current_month") == F.col("s.current_month"))
-               & (S.ustrip(F.col("q.ticker")) == F.col("s.label")))
-    return j.select("q.request_id", "q.ord", F.col("q.ticker").alias("category"),
-                    "q.current_month", "q.previous_month",
+               & (S.ustrip(F.col("q.ticker")) == F.col("s.label")), "left")
+    return j.select("q.request_id", "q.ord", "q.date", F.col("q.ticker").alias("category"),
+                    "q.current_month", "q.previous_month", F.col("s.label").isNotNull().alias("found"),
                     "s.nsa_previous", "s.nsa_current", "s.sa_previous", "s.sa_current")
 
 
-def missing_categories(routed: DataFrame, wide: DataFrame) -> DataFrame:
+def wide_records(cells: DataFrame, routed: DataFrame, fill_merged: bool = False,
+                 targets: DataFrame | None = None) -> DataFrame:
+    """R1 + R2 + R3: one wide record per found (request, position).
+
+    Unknown names are dropped, duplicates kept, the output name is the name
+    as asked. Unmapped NSA months stay null; an unmapped SA month takes the
+    NSA value (column-level fallback).
+    """
+    return found_records(lookup(cells, routed, fill_merged, targets))
+
+
+def found_records(looked_up: DataFrame) -> DataFrame:
+    return looked_up.filter("found").drop("found", "date")
+
+
+def missing_categories(looked_up: DataFrame) -> DataFrame:
     """Asked names that found no row."""
-    return routed.join(wide.select("request_id", "ord"), ["request_id", "ord"], "left_anti") \
-                 .select("request_id", "ord", "ticker")
+    return looked_up.filter(~F.col("found")).select("request_id", "ord",
+                                                    F.col("category").alias("ticker"))
 
 
-def coverage(checked: DataFrame, wide: DataFrame, long: DataFrame) -> DataFrame:
+def coverage(looked_up: DataFrame) -> DataFrame:
     """Requested / found / failed counts, success flag and message per
-    valid request, for the wide answer (rows) and the long answer (distinct
-    names with at least one value)."""
-    v = checked.filter(F.col("reason").isNull()).select("request_id", "date",
-                                                          F.col("n_categories").alias("requested"))
-    fw = wide.groupBy("request_id").agg(F.count(F.lit(1)).alias("found_wide"))
-    fl = long.groupBy("request_id").agg(F.countDistinct("category").alias("found_long"))
-    j = v.join(fw, "request_id", "left").join(fl, "request_id", "left") \
-         .fillna(0, ["found_wide", "found_long"])
+    valid request, for the wide answer (rows found) and the long answer
+    (distinct names with at least one value) — one aggregation over the
+    looked-up rows (a request holds at most its category limit of rows)."""
+    has_value = F.lit(False)
+    for c in ("nsa_previous", "nsa_current", "sa_previous", "sa_current"):
+        has_value = has_value | (F.col(c).isNotNull() & ~F.isnan(c))
+    j = looked_up.groupBy("request_id", "date").agg(
+        F.count(F.lit(1)).cast("int").alias("requested"),
+        F.count_if("found").alias("found_wide"),
+        F.count_distinct(F.when(F.col("found") & has_value, F.col("category"))).alias("found_long"))
 
     def msg(found, suffix):
         ok = F.format_string(fixed.MSG_OK.replace("{n}", "%d").replace("{suffix}", suffix), found)
@@ -116,9 +132,10 @@ def coverage(checked: DataFrame, wide: DataFrame, long: DataFrame) -> DataFrame:
 
 def answer(cells: DataFrame, requests: DataFrame,
            max_categories: int = fixed.MAX_CATEGORIES_GET):
-    """The whole batch — validation, lookup, wide and long answers."""
+    """The whole batch — validation, routing, lookup; the wide and long
+    answers. Returns ``(checked, looked_up, wide, long)``."""
     checked = validate(requests, max_categories)
     routed = route_by_date(explode_valid(checked))
-    wide = wide_records(cells, routed, targets=month_of_workbook(cells))
-    long = P.long_format(wide)
-    return checked, routed, wide, long
+    looked_up = lookup(cells, routed, targets=month_of_workbook(cells))
+    wide = found_records(looked_up)
+    return checked, looked_up, wide, P.long_format(wide)

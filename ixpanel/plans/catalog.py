@@ -184,14 +184,12 @@ def q_mom_change_wide(spark, d):
 
 @register("missing_categories")
 def q_missing(spark, d):
-    _, routed, wide, _ = _batch(spark, d)
-    return RQ.missing_categories(routed, wide)
+    return RQ.missing_categories(_batch(spark, d)[1])
 
 
 @register("coverage")
 def q_coverage(spark, d):
-    checked, _, wide, long = _batch(spark, d)
-    return RQ.coverage(checked, wide, long)
+    return RQ.coverage(_batch(spark, d)[1])
 
 
 @register("batch_requests")

@@ -25,8 +25,8 @@ def ask(spark, cells, names, date="2025-06", fill_merged=False):
     req = spark.createDataFrame([(1, names, date)], "request_id long, categories array<string>, date string")
     checked = RQ.validate(req, 200)
     routed = RQ.route_by_date(RQ.explode_valid(checked))
-    wide = RQ.wide_records(cells, routed, fill_merged)
-    return checked, routed, wide
+    looked_up = RQ.lookup(cells, routed, fill_merged)
+    return looked_up, routed, RQ.found_records(looked_up)
 
 
 def wide_rows(wide):
@@ -46,7 +46,7 @@ def test_header_and_column_map(spark, x1_rows):
 
 def test_x1_wide_long_change_coverage(spark, x1_rows):
     cells = x1(spark, x1_rows)
-    checked, routed, wide = ask(spark, cells, ["Energy", "Food", "Nope", "All items"])
+    looked_up, routed, wide = ask(spark, cells, ["Energy", "Food", "Nope", "All items"])
     assert wide_rows(wide) == [("Energy", 1275.4, 1280.1, None, 281.0),
                                ("Food", 338.0, 339.5, None, 339.9),
                                ("All items", 320.58, 321.465, 320.58, 321.5)]
@@ -54,26 +54,26 @@ def test_x1_wide_long_change_coverage(spark, x1_rows):
     assert [tuple(r) for r in ch] == [(0.37, None), (0.44, None), (0.28, 0.29)]
     long = P.long_format(wide)
     assert long.count() == 10
-    cov = RQ.coverage(checked, wide, long).first()
+    cov = RQ.coverage(looked_up).first()
     assert (cov.requested, cov.found_wide, cov.failed_wide, cov.found_long, cov.failed_long) == (4, 3, 1, 3, 1)
     assert cov.message_wide == "Successfully loaded data for 3 categories"
     assert cov.message_long == "Successfully loaded data for 3 categoriesin long format"
-    assert [r.ticker for r in RQ.missing_categories(routed, wide).collect()] == ["Nope"]
+    assert [r.ticker for r in RQ.missing_categories(looked_up).collect()] == ["Nope"]
 
 
 def test_duplicate_request(spark, x1_rows):
     cells = x1(spark, x1_rows)
-    checked, routed, wide = ask(spark, cells, ["Food", "Food"])
+    looked_up, routed, wide = ask(spark, cells, ["Food", "Food"])
     long = P.long_format(wide)
     assert wide.count() == 2 and long.count() == 6
-    cov = RQ.coverage(checked, wide, long).first()
+    cov = RQ.coverage(looked_up).first()
     assert (cov.failed_wide, cov.found_long, cov.failed_long) == (0, 1, 1)
 
 
 def test_unknown_only(spark, x1_rows):
     cells = x1(spark, x1_rows)
-    checked, routed, wide = ask(spark, cells, ["Nope"])
-    cov = RQ.coverage(checked, wide, P.long_format(wide)).first()
+    looked_up, routed, wide = ask(spark, cells, ["Nope"])
+    cov = RQ.coverage(looked_up).first()
     assert not cov.success_wide
     assert cov.message_wide == "No data found for the specified categories and date 2025-06"
 

@@ -111,3 +111,18 @@ def test_stream_ingest_and_latest(spark):
     q2 = ST.stream_ingest(spark, f"{root}/drop", f"{root}/table2", f"{root}/ckpt")
     q2.awaitTermination()
     assert not os.path.exists(f"{root}/table2")
+
+
+def test_scan_directory_lists_workbooks_only(spark):
+    from ixpanel.sources import files as FS
+    d = tempfile.mkdtemp(prefix="dir-")
+    hand_made_workbook(os.path.join(d, "b.xlsx"))
+    hand_made_workbook(os.path.join(d, "a.xlsx"))
+    with open(os.path.join(d, "notes.xls"), "wb") as fh:
+        fh.write(b"x")
+    m = FS.scan_directory(spark, d)
+    got = sorted((r.file, r.size) for r in m.collect())
+    assert got == sorted((f, os.path.getsize(os.path.join(d, f))) for f in ("a.xlsx", "b.xlsx"))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]   # file bodies are not read for a listing
+    assert FS.latest_file(m).count() == 1
