@@ -111,29 +111,27 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
         return F.when(placeholder_rule(r_raw, F.lit(c), mord), placeholder_token(r_raw, F.lit(c))) \
                 .otherwise(txt)
 
-    data = _explode_cells(rows, [
-        _cell(file, sheet, 0, r_raw, r, 0, F.lit("1"), "n"),
-        _cell(file, sheet, 0, r_raw, r, 1, F.col("category"), "s"),
-        _cell(file, sheet, 0, r_raw, r, 3, F.when(F.col("nsa_prev").isNotNull(), val("nsa_prev", 3)), "s"),
-        _cell(file, sheet, 0, r_raw, r, 4, val("nsa_cur", 4), "s"),
-        _cell(file, sheet, 0, r_raw, r, 5, F.when(F.col("sa_prev").isNotNull(), val("sa_prev", 5)), "s"),
-        _cell(file, sheet, 0, r_raw, r, 6, val("sa_cur", 6), "s"),
-    ])
-    months = w.select("date").distinct()
+    first = F.col("i") == 0      # each sheet's header cells come with its first data row
     lab = lambda m: F.concat(F.date_format(m, "MMM"), F.lit(".\n"), F.date_format(m, "yyyy"))
     hdr = [(0, "Indent level"), (1, "Expenditure category"), (2, "Relative importance"),
            (3, "Unadjusted indexes"), (4, "Unadjusted indexes"),
            (5, "Seasonally adjusted indexes"), (6, "Seasonally adjusted indexes"),
            (7, "Unadjusted percent change")]
     head_cells = [_cell(file, sheet, 0, 0, 0, 0,
-                        F.concat(F.lit("Table 7. Index by brand, "), F.col("date")), "s")]
-    head_cells += [_cell(file, sheet, 0, 3, 1, c, F.lit(t), "s") for c, t in hdr]
+                        F.when(first, F.concat(F.lit("Table 7. Index by brand, "), F.col("date"))), "s")]
+    head_cells += [_cell(file, sheet, 0, 3, 1, c, F.when(first, F.lit(t)), "s") for c, t in hdr]
     for c, m in ((3, pmonth), (4, month), (5, pmonth), (6, month)):
-        head_cells.append(_cell(file, sheet, 0, 4, 2, c, lab(m), "s"))
+        head_cells.append(_cell(file, sheet, 0, 4, 2, c, F.when(first, lab(m)), "s"))
     head_cells.append(_cell(file, sheet, 0, 4, 2, 7,
-                            F.concat(lab(pmonth), F.lit("-\n"), lab(month)), "s"))
-    head = _explode_cells(months, head_cells)
-    return data.unionByName(head)
+                            F.when(first, F.concat(lab(pmonth), F.lit("-\n"), lab(month))), "s"))
+    return _explode_cells(rows, head_cells + [
+        _cell(file, sheet, 0, r_raw, r, 0, F.lit("1"), "n"),
+        _cell(file, sheet, 0, r_raw, r, 1, F.col("category"), "s"),
+        _cell(file, sheet, 0, r_raw, r, 3, F.when(F.col("nsa_prev").isNotNull(), val("nsa_prev", 3)), "s"),
+        _cell(file, sheet, 0, r_raw, r, 4, val("nsa_cur", 4), "s"),
+        _cell(file, sheet, 0, r_raw, r, 5, F.when(F.col("sa_prev").isNotNull(), val("sa_prev", 5)), "s"),
+        _cell(file, sheet, 0, r_raw, r, 6, val("sa_cur", 6), "s"),
+    ])
 
 
 def _priority_file(p):
@@ -143,31 +141,31 @@ def _priority_file(p):
 
 def year_grid_cells(spark: SparkSession, d: str) -> DataFrame:
     """Order counts as ``Year × Jan…Dec`` grids, one workbook per priority
-    (sheet ``grid``, first sheet). Years are shown +25."""
+    (sheet ``grid``, first sheet). Years are shown +25. One row per
+    (priority, year) carries its twelve counts (a map of at most 12 entries)
+    and is exploded into cells; the header cells come with the first year."""
     o = read_table(spark, d, "orders").select("o_orderpriority", "o_orderdate")
     cnt = (o.groupBy("o_orderpriority", F.year("o_orderdate").alias("y"),
                      F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n")))
-    years = cnt.groupBy("o_orderpriority", "y").agg(F.sum("n").alias("annual"))
+    years = cnt.groupBy("o_orderpriority", "y").agg(
+        F.sum("n").alias("annual"),
+        F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("months"))
     from pyspark.sql import Window
     yi = F.dense_rank().over(Window.partitionBy("o_orderpriority").orderBy("y")) + 1
     years = years.withColumn("r", yi)   # bounded: one row per year
     file = _priority_file(F.col("o_orderpriority"))
     sheet = F.lit("grid")
-    yshow = F.col("y") + YEAR_SHIFT
-    cells_m = cnt.join(years.select("o_orderpriority", "y", "r"), ["o_orderpriority", "y"])
-    month_cells = cells_m.select(F.inline(F.array(_cell(
-        file, sheet, 0, F.col("r"), F.col("r"), F.col("m"), F.col("n"), "n"))))
-    year_cells = _explode_cells(years, [
-        _cell(file, sheet, 0, F.col("r"), F.col("r"), 0, yshow, "n"),
-        _cell(file, sheet, 0, F.col("r"), F.col("r"), 13, F.col("annual"), "n")])
-    pri = o.select("o_orderpriority").distinct()
+    first = F.col("r") == 2
     months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-    hcells = [_cell(file, sheet, 0, 0, 0, 0, F.lit("Orders by month"), "s"),
-              _cell(file, sheet, 0, 1, 1, 0, F.lit("Year"), "s"),
-              _cell(file, sheet, 0, 1, 1, 13, F.lit("Annual"), "s")]
-    hcells += [_cell(file, sheet, 0, 1, 1, i, F.lit(mn), "s") for i, mn in enumerate(months, 1)]
-    head = _explode_cells(pri, hcells)
-    return month_cells.unionByName(year_cells).unionByName(head)
+    cells = [_cell(file, sheet, 0, 0, 0, 0, F.when(first, F.lit("Orders by month")), "s"),
+             _cell(file, sheet, 0, 1, 1, 0, F.when(first, F.lit("Year")), "s"),
+             _cell(file, sheet, 0, 1, 1, 13, F.when(first, F.lit("Annual")), "s")]
+    cells += [_cell(file, sheet, 0, 1, 1, i, F.when(first, F.lit(mn)), "s") for i, mn in enumerate(months, 1)]
+    cells += [_cell(file, sheet, 0, F.col("r"), F.col("r"), 0, F.col("y") + YEAR_SHIFT, "n"),
+              _cell(file, sheet, 0, F.col("r"), F.col("r"), 13, F.col("annual"), "n")]
+    cells += [_cell(file, sheet, 0, F.col("r"), F.col("r"), k,
+                    F.element_at(F.col("months"), F.lit(k)), "n") for k in range(1, 13)]
+    return _explode_cells(years, cells)
 
 
 def series_text_rule(priority_digit, month):
@@ -199,19 +197,16 @@ def series_cells(spark: SparkSession, d: str) -> DataFrame:
     sheet = F.lit("series")
     pd_ = F.substring("o_orderpriority", 1, 1)
     has_series = pd_ != "5"
-    data = _explode_cells(agg, [
+    first = F.col("r") == 1
+    return _explode_cells(agg, [
+        _cell(file, sheet, 1, 0, 0, 0, F.when(first, F.lit("Date")), "s"),
+        _cell(file, sheet, 1, 0, 0, 1, F.when(first, F.lit("Value")), "s"),
+        _cell(file, sheet, 1, 0, 0, 2, F.when(first & has_series, F.lit("Series ID")), "s"),
         _cell(file, sheet, 1, F.col("r"), F.col("r"), 0, date_text_rule(F.col("ms")), "s"),
         _cell(file, sheet, 1, F.col("r"), F.col("r"), 1, F.col("v").cast("string"), "s"),
         _cell(file, sheet, 1, F.col("r"), F.col("r"), 2,
               F.when(has_series, series_text_rule(pd_, F.month("ms"))), "s"),
     ])
-    pri = o.select("o_orderpriority").distinct()
-    head = _explode_cells(pri, [
-        _cell(file, sheet, 1, 0, 0, 0, F.lit("Date"), "s"),
-        _cell(file, sheet, 1, 0, 0, 1, F.lit("Value"), "s"),
-        _cell(file, sheet, 1, 0, 0, 2, F.when(F.substring("o_orderpriority", 1, 1) != "5",
-                                              F.lit("Series ID")), "s")])
-    return data.unionByName(head)
 
 
 def points_cells(spark: SparkSession, d: str) -> DataFrame:
