@@ -504,3 +504,10 @@ def q_stream_workbooks(spark, d):
                             max_files_per_trigger=2)
     q.awaitTermination()
     return ST.read_table(spark, f"{root}/points")
+
+
+@register("period_label")
+def q_period_label(spark, d):
+    """F15 over every extracted point."""
+    return _points(spark, d).select("file", "sheet", "layout", "r", "c",
+                                    S.period_label(F.col("year"), F.col("month")).alias("period"))

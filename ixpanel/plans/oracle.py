@@ -636,3 +636,10 @@ FROM (SELECT DISTINCT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za
 """
 
 SQL["stream_workbooks"] = SQL["union_layouts"]
+
+SQL["period_label"] = f"""
+WITH {POINTS}
+SELECT file, sheet, layout, r, c,
+       CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period
+FROM g8
+"""
