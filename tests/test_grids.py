@@ -193,3 +193,9 @@ def test_x9_get_form(spark):
     ex = RQ.explode_valid(RQ.validate(spark.createDataFrame(
         [(5, "Food", "2025-6")], "request_id long, categories string, date string"))).first()
     assert (ex.current_month, ex.previous_month) == ("2025-06", "2025-05")
+
+
+def test_union_dedup_option(spark):
+    cells = grid_cells(spark, X4A)
+    assert G.union_layouts(cells).count() == 8            # UNION ALL keeps both layouts' copies
+    assert G.union_layouts(cells, dedup=True).count() == 5
