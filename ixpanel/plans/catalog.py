@@ -5,11 +5,22 @@ Each query reads the driver tables (or views Spark derives from them) in full.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import grids as G
+from ..operators import links as LK
 from ..operators import panel as P
+from ..operators import requests as RQ
+from ..session import scratch_path
+from ..sources import files as FS
+from ..sources import links as SL
+from ..sources import workbook as WB
+from ..streaming import ingest as ST
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,11 +53,6 @@ def q_panel_profile(spark, d):
 
 # ---------------------------------------------------------------- rendered sheets
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..functions import scalars as S  # noqa: E402
-from ..operators import grids as G  # noqa: E402
-from ..operators import requests as RQ  # noqa: E402
 
 AS_OF_MONTH = "2001-12"   # "now" of the link/date rules, a fixed parameter
 
@@ -289,7 +295,6 @@ def q_numeric_quality(spark, d):
 
 # ---------------------------------------------------------------- files
 
-from ..sources import files as FS  # noqa: E402
 
 AS_OF = "2001-08-01 20:00:00"       # the "now" of the age rules, a fixed parameter
 KNOWN_BEFORE = "2001-06-01 00:00:00"
@@ -351,8 +356,6 @@ def q_source_status(spark, d):
 
 # ---------------------------------------------------------------- links
 
-from ..operators import links as LK  # noqa: E402
-from ..sources import links as SL  # noqa: E402
 
 TARGET_MONTH = "1998-06"
 
@@ -399,11 +402,6 @@ def q_link_target(spark, d):
 
 # ---------------------------------------------------------------- workbook files and sinks
 
-import uuid  # noqa: E402
-
-from ..session import scratch_path  # noqa: E402
-from ..sources import workbook as WB  # noqa: E402
-
 
 def _roundtrip_cells(spark, cells, tag):
     """Write ``cells`` as workbook files into a fresh folder under the shared
@@ -436,8 +434,6 @@ def q_records_out(spark, d):
 
 # ---------------------------------------------------------------- streaming
 
-from ..streaming import ingest as ST  # noqa: E402
-
 
 def _drop_panel(spark, d, tag):
     """Write the panel as several Parquet files (one per ship year) into a

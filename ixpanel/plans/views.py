@@ -11,7 +11,6 @@ seasonal adjustment; the grid years are shown moved by +25 years so that the
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -1,7 +1,6 @@
 """Grid operators on the hand-worked sheets of FIXTURES X1–X4."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from ixpanel.operators import grids as G
 from ixpanel.operators import panel as P
