@@ -1,31 +1,62 @@
-"""Corpus pipeline: each stage gets what its predecessor kept and returns the columns of documents."""
+"""Corpus pipeline: each stage gets the documents its predecessor kept.
+
+All stages but the last return the columns of documents. Documents are told apart by
+doc_id: rows that repeat one stay or go together, and rows without one go only where
+a stage says so.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ixpanel.llm import decontaminate, simhash
+from ixpanel.llm import decontaminate, language, pieces, pii, simhash
 from ixpanel.llm.common import table
 
+MIN_SHARE = 0.4       # a document with a smaller share of words in its main language is rejected
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a main language, go."""
+    found = language.identify(docs, language.learn(docs))
+    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SHARE)))
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id")
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _without(docs, simhash.near_duplicates(docs).where("doc_id != component_id"))
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    hit = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("size(hits) > 0")
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti")
+    return _without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("size(hits) > 0"))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kind in angle brackets; n_chars follows."""
+    found = pii.find(docs).withColumn("text", pii.redacted())
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document: best segmentation, its score, and the alternatives."""
+    return pieces.encode(docs)
 
 
 STAGES = [
-    ("simhash_near_dedup", dedup),
-    ("benchmark_decontamination", decontaminated),
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii_redaction", pii_redaction),
+    ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None     # language, fingerprints and segmentations are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

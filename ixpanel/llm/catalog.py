@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ixpanel.llm import decontaminate, simhash
+from ixpanel.llm import decontaminate, language, pieces, pii, secret_scan, simhash
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.query,
+    "op2_pii": pii.query,
+    "op3_language_id": language.query,
+    "op4_sentencepiece": pieces.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op7_simhash_near_dedup": simhash.query,
 }
