@@ -76,14 +76,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
         return f"when hit rlike '^(?:{pattern})$' and {valid} then '{kind}'".replace("\\", "\\\\")
 
     kinds = "case " + " ".join(whole(k, p) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE))) + " end"
-    found = with_spans(docs, "t", TOKEN, gaps=True).where("size(t) > 0").select(
-        "key", F.expr("inline(transform(t, (s, i) -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, "
+    # inline_outer: Spark would put a size filter below inline, and with it all that makes the array.
+    found = with_spans(docs, "t", TOKEN, gaps=True).select(
+        "key", F.expr("inline_outer(transform(t, (s, i) -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, "
                       f"'before', right(t_gaps[i], {LONGEST_WORD + 2}))))"))
     return found.select(
         "key", "start", "end", F.expr(kinds).alias("kind"), F.lower("hit").alias("instance"),
         F.lower(F.regexp_extract("before", rf"(?:^|\s)(\S{{1,{LONGEST_WORD}}})\s?$", 1)).alias("word"),
         F.regexp_replace(F.regexp_replace("hit", "[A-Za-z]+", "a"), "[0-9]+", "9").alias("shape")).where(
-        "word != ''").withColumn("pattern", F.concat_ws("\t", "word", "shape"))
+        "start is not null and word != ''").withColumn("pattern", F.concat_ws("\t", "word", "shape"))
 
 
 def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
