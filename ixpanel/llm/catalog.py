@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ixpanel.llm import decontaminate, language, pieces, pii, secret_scan, simhash
+from ixpanel.llm import (decontaminate, embeddings, language, licenses, pieces, pii, quality, secret_scan, simhash,
+                         warc)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -10,9 +11,15 @@ QUERIES = {
     "op3_language_id": language.query,
     "op4_sentencepiece": pieces.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_embedding_near_dedup": embeddings.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_warc": warc.query,
+    "op9_quality_classifier": quality.query,
+    "op10_license_scan": licenses.query,
 }
 
 SQL = {
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op6_embedding_near_dedup": embeddings.SQL,
+    "op8_warc": warc.SQL,
 }
