@@ -26,8 +26,6 @@ MONTH_WORDS = {
 
 # --- fixed values: placeholder tokens folded to null by the numeric cleaner ---
 NULL_TOKENS = ["", "-", "N/A", "n/a", "nan"]
-# the older cleaner lacks "nan"
-NULL_TOKENS_LEGACY = ["", "-", "N/A", "n/a"]
 
 # --- fixed values: text read as missing when a first sheet is loaded
 # (the default missing-value strings of the pandas spreadsheet reader) ---
@@ -67,19 +65,12 @@ PRIORITY1_PATTERN = r"cpi-u-\d{6}\.xlsx$"
 PRIORITY2_TEXT = r"^CPI-U$"
 PRIORITY3_PATTERN = r"cpi.*u"
 DATE_PATTERNS = [r"(\w+)\s+(\d{4})", r"(\d{4})-(\d{2})", r"(\d{4})(\d{2})"]
-TARGET_FILE_FORMAT = "cpi-u-{yyyymm}.xlsx"
 
 # --- fixed values: request limits and service defaults ---
 MAX_CATEGORIES_POST = 200
 MAX_CATEGORIES_GET = 20
-CATEGORY_LIST_DEFAULT = 20
-CATEGORY_LIST_MAX = 100
 STATUS_SAMPLE = 10
-METADATA_SAMPLE = 5
-HEALTH_CATEGORY_LIMIT = 100
 RECENT_PERIODS = 2
-DOWNLOAD_MAX_AGE_HOURS = 6
-SERVE_MAX_AGE_HOURS = 24
 RETENTION_DAYS = 30
 WORKBOOK_GLOB = "*.xlsx"
 

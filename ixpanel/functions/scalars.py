@@ -283,12 +283,15 @@ def category_list(s) -> Column:
     return F.array_remove(F.split(norm, ","), "")             # one-char split: fast path
 
 
-def request_reject_reason(date, n_categories, max_categories: int) -> Column:
-    """null for a valid request, else the reason it is rejected."""
+def request_reject_reason(date, n_categories, max_categories: int | None) -> Column:
+    """null for a valid request, else the reason it is rejected. ``max_categories``
+    None: any number."""
     n = _c(n_categories)
-    return (F.when(~valid_year_month(date), F.lit("date must be YYYY-MM"))
-            .when(n < 1, F.lit("at least one category must be specified"))
-            .when(n > max_categories, F.lit(f"maximum {max_categories} categories")))
+    reason = (F.when(~valid_year_month(date), F.lit("date must be YYYY-MM"))
+              .when(n < 1, F.lit("at least one category must be specified")))
+    if max_categories is not None:
+        reason = reason.when(n > max_categories, F.lit(f"maximum {max_categories} categories"))
+    return reason
 
 
 def period_label(year, month) -> Column:

@@ -35,12 +35,6 @@ def first_sheet(cells: DataFrame, fold_na: bool = True) -> DataFrame:
     return c
 
 
-def all_sheets(cells: DataFrame) -> DataFrame:
-    """Every sheet, values only (blank rows are already absent from the
-    compacted numbering ``r``)."""
-    return cells
-
-
 # ---------------------------------------------------------------- G1–G3
 
 def header_pairs(cells: DataFrame, fill_merged: bool = False) -> DataFrame:
@@ -167,14 +161,16 @@ def sheet_records(cells: DataFrame, targets_by_file: DataFrame,
         mapped["nsa_current"].alias("nsa_current_mapped"))
 
 
-def category_catalogue(cells: DataFrame, n: int = fixed.CATEGORY_LIST_DEFAULT) -> DataFrame:
-    """Non-blank stripped labels of column 1 in rows 6 … 6+n-1 (rows
-    scanned, blanks count), per first sheet, in row order."""
+def category_catalogue(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """Non-blank stripped labels of column 1 from row 6 on, per first
+    sheet, in row order. ``n`` limits the rows scanned (blanks count), as the
+    service's listing does; by default all rows are."""
     c1 = first_sheet(cells)
     lab = S.ustrip(F.col("raw"))
-    return (c1.filter((F.col("c") == fixed.CATALOGUE_COLUMN)
-                      & (F.col("r_raw") >= fixed.DATA_START_ROW)
-                      & (F.col("r_raw") < fixed.DATA_START_ROW + n))
+    rows = F.col("r_raw") >= fixed.DATA_START_ROW
+    if n is not None:
+        rows = rows & (F.col("r_raw") < fixed.DATA_START_ROW + n)
+    return (c1.filter((F.col("c") == fixed.CATALOGUE_COLUMN) & rows)
             .filter(lab != "")
             .select(*KEY, "r_raw", lab.alias("category")))
 
@@ -349,10 +345,7 @@ def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False) ->
     """G4 ∪ G5 ∪ G6 as UNION ALL (a cell found by two layouts appears
     twice, as in the original). ``dedup=True`` keeps one row per cell and
     period instead."""
-    from pyspark import StorageLevel
-    # shared by three extractors: build it once before their stages start
-    a = annotate_cells(cells).persist(StorageLevel.MEMORY_AND_DISK)
-    a.count()
+    a = annotate_cells(cells)
     out = (year_month_unpivot(a, ticker)
            .unionByName(timeseries_extract(a, ticker))
            .unionByName(context_extract(a, ticker)))

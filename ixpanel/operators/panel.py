@@ -107,7 +107,7 @@ def recent_periods(points: DataFrame, n: int = fixed.RECENT_PERIODS,
     if not by:
         top = (ok.select("year", "month").distinct()
                .orderBy(F.desc("year"), F.desc("month")).limit(n))
-        return ok.join(F.broadcast(top), ["year", "month"], "left_semi")
+        return ok.join(top, ["year", "month"], "left_semi")
     periods = ok.select(*by, "year", "month").distinct()
     w = Window.partitionBy(*by).orderBy(F.desc("year"), F.desc("month"))
     top = periods.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
@@ -119,9 +119,10 @@ def limit_head(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def panel_sort(df: DataFrame) -> DataFrame:
-    """Order by category, date, adjustment (range-partitioned sort)."""
-    return df.orderBy("category", "date", "adjustment")
+def panel_sort(df: DataFrame, *ties: str) -> DataFrame:
+    """Order by category, date, adjustment, then ``ties`` (range-partitioned
+    sort; unique last keys let a popular category and month split)."""
+    return df.orderBy("category", "date", "adjustment", *ties)
 
 
 def panel_profile(panel: DataFrame) -> DataFrame:

@@ -19,10 +19,15 @@ from . import grids as G
 from . import panel as P
 
 
-def validate(requests: DataFrame, max_categories: int = fixed.MAX_CATEGORIES_GET) -> DataFrame:
+LIMITS = {"get": fixed.MAX_CATEGORIES_GET, "post": fixed.MAX_CATEGORIES_POST, "batch": None}
+
+
+def validate(requests: DataFrame, form: str = "batch") -> DataFrame:
     """F13 + F14: parsed category list, its size, and the rejection reason
-    (null when valid). ``categories`` may be a comma string (GET form, split
-    and stripped) or an array (POST form, taken as given)."""
+    (null when valid). ``categories`` may be a comma string (split and
+    stripped) or an array (taken as given). The service's request forms limit
+    the number of categories (``get`` 20, ``post`` 200); a batch has no limit."""
+    max_categories = LIMITS[form]
     dtype = dict(requests.dtypes)["categories"]
     lst = S.category_list(F.col("categories")) if dtype == "string" else F.col("categories")
     r = requests.withColumn("category_list", lst) \
@@ -47,6 +52,13 @@ def route_by_date(exploded: DataFrame) -> DataFrame:
     return exploded.withColumn("file", F.concat(F.lit("cpi-u-"), ym, F.lit(".xlsx")))
 
 
+def route_latest(exploded: DataFrame, file: str) -> DataFrame:
+    """Send every request to the newest workbook whatever its month, as the
+    service does: a name found there is found, and months the workbook doesn't
+    map have null values."""
+    return exploded.withColumn("file", F.lit(file))
+
+
 def month_of_workbook(cells: DataFrame) -> DataFrame:
     """``file, current_month`` for workbooks named ``cpi-u-YYYYMM.xlsx`` — the
     only month ``route_by_date`` can send to them."""
@@ -130,12 +142,16 @@ def coverage(looked_up: DataFrame) -> DataFrame:
         msg(F.col("found_long"), fixed.MSG_OK_LONG_SUFFIX).alias("message_long"))
 
 
-def answer(cells: DataFrame, requests: DataFrame,
-           max_categories: int = fixed.MAX_CATEGORIES_GET):
+def answer(cells: DataFrame, requests: DataFrame, form: str = "batch",
+           newest: str | None = None):
     """The whole batch — validation, routing, lookup; the wide and long
-    answers. Returns ``(checked, looked_up, wide, long)``."""
-    checked = validate(requests, max_categories)
-    routed = route_by_date(explode_valid(checked))
-    looked_up = lookup(cells, routed, targets=month_of_workbook(cells))
+    answers. Returns ``(checked, looked_up, wide, long)``. With ``newest``
+    (a file name) every request goes to that workbook, whatever its month."""
+    checked = validate(requests, form)
+    exploded = explode_valid(checked)
+    if newest is None:
+        looked_up = lookup(cells, route_by_date(exploded), targets=month_of_workbook(cells))
+    else:
+        looked_up = lookup(cells.filter(F.col("file") == newest), route_latest(exploded, newest))
     wide = found_records(looked_up)
     return checked, looked_up, wide, P.long_format(wide)

@@ -57,23 +57,14 @@ def q_panel_profile(spark, d):
 AS_OF_MONTH = "2001-12"   # "now" of the link/date rules, a fixed parameter
 
 
-def _materialized(df):
-    """Persist and build once, before the plans that share it start: left
-    lazy, every concurrently running stage that reads it would compute it."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
 def _sheet(spark, d):
-    """Rendered supplemental sheets: every grid query reads the cell table
-    several times (header, columns, labels, values)."""
-    return _materialized(V.sheet_cells(spark, d))
+    """Rendered supplemental sheets, lazily: the branches of a query that read
+    them share the aggregation's exchange."""
+    return V.sheet_cells(spark, d)
 
 
 def _pcells(spark, d):
-    return _materialized(V.points_cells(spark, d))
+    return V.points_cells(spark, d)
 
 
 def _own_month_targets(cells):
@@ -128,7 +119,7 @@ def q_sa_fallback(spark, d):
 
 @register("category_catalogue")
 def q_category_catalogue(spark, d):
-    return G.category_catalogue(_sheet(spark, d), 20)
+    return G.category_catalogue(_sheet(spark, d))
 
 
 def _batch(spark, d):
@@ -198,16 +189,36 @@ def q_coverage(spark, d):
     return RQ.coverage(_batch(spark, d)[1])
 
 
+def _batch_latest(spark, d):
+    newest = FS.latest_file(V.manifest(spark, d)).first()      # one row
+    return RQ.answer(_sheet(spark, d), V.requests(spark, d), newest=newest["file"] if newest else "")
+
+
+@register("wide_record_latest")
+def q_wide_record_latest(spark, d):
+    return _batch_latest(spark, d)[2]
+
+
+@register("coverage_latest")
+def q_coverage_latest(spark, d):
+    return RQ.coverage(_batch_latest(spark, d)[1])
+
+
+@register("missing_categories_latest")
+def q_missing_latest(spark, d):
+    return RQ.missing_categories(_batch_latest(spark, d)[1])
+
+
 @register("batch_requests")
 def q_batch_requests(spark, d):
-    return P.panel_sort(_batch(spark, d)[3])
+    return P.panel_sort(_batch(spark, d)[3], "request_id", "ord")
 
 
 # ---------------------------------------------------------------- other layouts
 
 def _points(spark, d):
-    """G8 points, materialised: R7 and R20 read them more than once."""
-    return _materialized(G.union_layouts(_pcells(spark, d), "cpi"))
+    """G8 points."""
+    return G.union_layouts(_pcells(spark, d), "cpi")
 
 
 @register("year_month_unpivot")
@@ -248,9 +259,9 @@ def q_layout_stats(spark, d):
 @register("latest_points")
 def q_latest_points(spark, d):
     from ..sources import files as FS
-    latest = FS.latest_file(V.points_manifest(spark, d)).select("file")
-    cells = _pcells(spark, d).join(latest, "file", "left_semi")
-    pts = P.recent_periods(_materialized(G.union_layouts(cells, "cpi")), 2)
+    latest = FS.latest_file(V.points_manifest(spark, d)).first()      # one row
+    cells = _pcells(spark, d).filter(F.col("file") == (latest["file"] if latest else ""))
+    pts = P.recent_periods(G.union_layouts(cells, "cpi"), 2)
     return pts.withColumn("period", S.period_label(F.col("year"), F.col("month")))
 
 
@@ -349,7 +360,7 @@ def q_retention(spark, d):
 
 @register("source_status")
 def q_source_status(spark, d):
-    cat = G.category_catalogue(_sheet(spark, d), 100)
+    cat = G.category_catalogue(_sheet(spark, d))
     st = FS.source_status(V.manifest(spark, d), cat)
     return st.withColumn("latest_mtime", _ts(F.col("latest_mtime")))
 
@@ -407,13 +418,13 @@ def _roundtrip_cells(spark, cells, tag):
     """Write ``cells`` as workbook files into a fresh folder under the shared
     checkpoint folder and read every sheet back with the workbook source."""
     out = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
-    WB.write_workbooks(cells, out).collect()   # one small row per written file
+    WB.write_workbooks(cells, out).write.format("noop").mode("overwrite").save()
     return WB.read_cells(spark, out)
 
 
 @register("scan_first_sheet")
 def q_scan_first_sheet(spark, d):
-    cells = _materialized(_roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets"))
+    cells = _roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets")
     return G.sheet_records(cells, _own_month_targets(cells)).drop(
         "nsa_previous_mapped", "nsa_current_mapped")
 
@@ -436,11 +447,10 @@ def q_records_out(spark, d):
 
 
 def _drop_panel(spark, d, tag):
-    """Write the panel as several Parquet files (one per ship year) into a
-    fresh drop folder under the shared checkpoint folder."""
+    """Write the panel as several Parquet files (dealt by category and date, so
+    none holds a year) into a fresh drop folder under the shared checkpoint folder."""
     root = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
-    V.panel(spark, d).withColumn("y", F.substring("date", 1, 4)) \
-        .repartition("y").drop("y").write.parquet(f"{root}/drop")
+    V.panel(spark, d).repartition(6, "category", "date").write.parquet(f"{root}/drop")
     return root
 
 
@@ -495,7 +505,7 @@ def q_stream_workbooks(spark, d):
     """T1 as the original runs it: new workbook files arrive in a folder and
     their points are extracted incrementally."""
     root = scratch_path(spark, f"stream-workbooks-{uuid.uuid4().hex}")
-    WB.write_workbooks(V.points_cells(spark, d), f"{root}/drop").collect()
+    WB.write_workbooks(V.points_cells(spark, d), f"{root}/drop").write.format("noop").mode("overwrite").save()
     q = ST.stream_workbooks(spark, f"{root}/drop", f"{root}/points", f"{root}/ckpt",
                             max_files_per_trigger=2)
     q.awaitTermination()

@@ -141,7 +141,7 @@ FROM sheet_vals
 
 SQL["category_catalogue"] = f"""
 WITH {SHEETS}
-SELECT file, sheet, r_raw, label AS category FROM sheet_vals WHERE r_raw < 26
+SELECT file, sheet, r_raw, label AS category FROM sheet_vals
 """
 
 # ---------------------------------------------------------------- requests
@@ -166,8 +166,7 @@ chk AS (
   SELECT request_id, date, lst, CAST(len(lst) AS INTEGER) AS n_categories,
          CASE WHEN NOT coalesce(regexp_matches(date, '^[0-9]{4}-(1[0-2]|0[1-9]|[1-9])$'), false)
                 THEN 'date must be YYYY-MM'
-              WHEN len(lst) < 1 THEN 'at least one category must be specified'
-              WHEN len(lst) > 20 THEN 'maximum 20 categories' END AS reason
+              WHEN len(lst) < 1 THEN 'at least one category must be specified' END AS reason
   FROM chk0),
 ex0 AS (
   SELECT request_id, date, unnest(lst) AS ticker, CAST(unnest(range(0, len(lst))) AS INTEGER) AS ord
@@ -235,7 +234,7 @@ FROM wide
 
 SQL["long_format"] = f"WITH {BATCH} SELECT * FROM long"
 
-SQL["batch_requests"] = f"WITH {BATCH} SELECT * FROM long ORDER BY category, date, adjustment"
+SQL["batch_requests"] = f"WITH {BATCH} SELECT * FROM long ORDER BY category, date, adjustment, request_id, ord"
 
 SQL["mom_change_wide"] = f"""
 WITH {BATCH}
@@ -471,7 +470,7 @@ head AS (SELECT count(*) AS n_files, max(mtime) AS mx, arg_max(file, mtime) AS f
 lat AS (SELECT file, mtime FROM wb ORDER BY mtime DESC, file DESC LIMIT 1),
 cat AS (SELECT file, count(*) AS n_categories,
                string_agg(label, ', ' ORDER BY r_raw) FILTER (WHERE r_raw < 16) AS sample_categories
-        FROM sheet_vals WHERE r_raw < 106 GROUP BY file)
+        FROM sheet_vals GROUP BY file)
 SELECT head.n_files, lat.file AS latest_file, {TS.format(c='lat.mtime')} AS latest_mtime,
        coalesce(cat.n_categories, 0) AS n_categories, cat.sample_categories,
        lat.file IS NOT NULL AS data_available
@@ -479,6 +478,47 @@ FROM head LEFT JOIN lat ON true LEFT JOIN cat ON cat.file = lat.file
 """
 
 
+LATEST = """
+newest AS (SELECT file, substr(file, 7, 4) || '-' || substr(file, 11, 2) AS m FROM wb
+           ORDER BY mtime DESC, file DESC LIMIT 1),
+lat AS (SELECT sv.*, n.m AS cur, sv.previous_month AS prev FROM newest n JOIN sheet_vals sv ON sv.file = n.file),
+wide_latest AS (
+  SELECT ex.request_id, ex.ord, ex.ticker AS category, ex.current_month, ex.previous_month,
+         CASE ex.previous_month WHEN lat.cur THEN nsa_current WHEN lat.prev THEN nsa_previous END AS nsa_previous,
+         CASE ex.current_month WHEN lat.cur THEN nsa_current WHEN lat.prev THEN nsa_previous END AS nsa_current,
+         CASE ex.previous_month WHEN lat.cur THEN sa_current WHEN lat.prev THEN sa_previous END AS sa_previous,
+         CASE ex.current_month WHEN lat.cur THEN sa_current WHEN lat.prev THEN sa_previous END AS sa_current
+  FROM ex JOIN lat ON lat.label = ex.ticker)"""
+
+SQL["wide_record_latest"] = f"WITH {MANIFEST}, {BATCH}, {LATEST} SELECT * FROM wide_latest"
+
+SQL["missing_categories_latest"] = f"""
+WITH {MANIFEST}, {BATCH}, {LATEST}
+SELECT ex.request_id, ex.ord, ex.ticker FROM ex
+WHERE NOT EXISTS (SELECT 1 FROM wide_latest w WHERE w.request_id = ex.request_id AND w.ord = ex.ord)
+"""
+
+SQL["coverage_latest"] = f"""
+WITH {MANIFEST}, {BATCH}, {LATEST},
+fw AS (SELECT request_id, count(*) AS found_wide,
+              count(DISTINCT category) FILTER (WHERE nsa_previous IS NOT NULL OR nsa_current IS NOT NULL
+                OR sa_previous IS NOT NULL OR sa_current IS NOT NULL) AS found_long
+       FROM wide_latest GROUP BY 1),
+j AS (
+  SELECT c.request_id, c.date, c.n_categories AS requested,
+         coalesce(fw.found_wide, 0) AS found_wide, coalesce(fw.found_long, 0) AS found_long
+  FROM chk c LEFT JOIN fw USING (request_id) WHERE c.reason IS NULL)
+SELECT request_id, date, requested,
+       found_wide, requested - found_wide AS failed_wide, found_wide > 0 AS success_wide,
+       CASE WHEN found_wide > 0 THEN 'Successfully loaded data for ' || found_wide || ' categories'
+            ELSE 'No data found for the specified categories and date ' || date END AS message_wide,
+       found_long, requested - found_long AS failed_long, found_long > 0 AS success_long,
+       CASE WHEN found_long > 0 THEN 'Successfully loaded data for ' || found_long || ' categoriesin long format'
+            ELSE 'No data found for the specified categories and date ' || date END AS message_long
+FROM j
+"""
+
+
 # ---------------------------------------------------------------- links
 
 ORIGIN = r"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)"

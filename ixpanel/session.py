@@ -9,6 +9,7 @@ instead of inventing a machine-local folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -59,12 +60,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
     Uses ``spark.checkpoint.dir`` as configured for the cluster. Only when it
-    is unset (local tests) a scratch folder is created and registered.
+    is unset and the master is local (tests) a scratch folder is created and
+    registered; elsewhere executors would write to disks of their own, so an
+    unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="ixpanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -74,3 +80,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder made under ``scratch_path``, in whatever store it is."""
+    if not path.startswith(checkpoint_dir(spark)):
+        raise ValueError(f"{path} is no scratch folder")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

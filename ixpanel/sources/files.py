@@ -16,7 +16,7 @@ from ..functions import fixed
 def scan_directory(spark: SparkSession, path: str, glob: str = fixed.WORKBOOK_GLOB) -> DataFrame:
     """S3 source: list workbooks of a directory (metadata only)."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", "true").load(path))
+          .load(path))
     return df.select(F.substring_index("path", "/", -1).alias("file"),
                      F.col("length").alias("size"),
                      F.col("modificationTime").alias("mtime"),
@@ -79,18 +79,20 @@ def retention(manifest: DataFrame, as_of, days: int = fixed.RETENTION_DAYS) -> D
 def source_status(manifest: DataFrame, catalogue: DataFrame,
                   sample: int = fixed.STATUS_SAMPLE) -> DataFrame:
     """Workbook count, newest file and time, the category count of the
-    newest file (catalogue of up to 100 rows), the first ``sample`` names,
+    newest file (all of its catalogue), the first ``sample`` names,
     and whether data is available (a newest file exists) — one row from one
     aggregate and an equi-join on the file name (no cross join)."""
     m = workbooks(manifest)
     head = m.agg(F.count(F.lit(1)).alias("n_files"),
                  F.max_by("file", F.struct("mtime", "file")).alias("file"),
                  F.max("mtime").alias("mtime"))
-    first = catalogue.filter(F.col("r_raw") < 6 + sample)   # at most `sample` rows per file
-    per_file = catalogue.groupBy("file").agg(F.count(F.lit(1)).alias("n_categories")).join(
-        first.groupBy("file").agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("r_raw", "category"))),
-            lambda s: s["category"]), ", ").alias("sample_categories")), "file", "left")
+    newest = catalogue.join(head.select("file"), "file", "left_semi")
+    sampled = F.col("r_raw") < fixed.DATA_START_ROW + sample      # at most `sample` names
+    per_file = newest.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_categories"),
+        F.array_join(F.transform(
+            F.sort_array(F.collect_list(F.when(sampled, F.struct("r_raw", "category")))),
+            lambda s: s["category"]), ", ").alias("sample_categories"))
     st = head.join(per_file, "file", "left")
     return st.select(
         "n_files", F.col("file").alias("latest_file"), F.col("mtime").alias("latest_mtime"),

@@ -6,8 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SPLITS: dict[str, int] = {}   # scan splits per path, looked up once per process
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -17,23 +15,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               min_partitions: int | None = None) -> DataFrame:
-    """Lazy Parquet scan; callers select columns so the scan is pruned.
-
-    Parallelism guard: a table stored as one unsplittable file (one row
-    group) scans in a single task, which would run every per-row step before
-    the first shuffle on one core. When the scan has fewer splits than the
-    session's default parallelism, rows are hash-spread on the table's
-    leading (key) column first — hashing needs no sort, unlike a round-robin
-    repartition, and keeps column pruning. Large inputs have many splits and
-    are left as they are.
-    """
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if path not in _SPLITS:
-        _SPLITS[path] = df._jdf.rdd().getNumPartitions()   # planning only, no job
-    if _SPLITS[path] < want:
-        df = df.repartition(want, df.columns[0])
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy Parquet scan; callers select columns so the scan is pruned. Parallelism follows the
+    files' layout and ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(table_path(sf_dir, name))

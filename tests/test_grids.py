@@ -22,7 +22,7 @@ def x1(spark, x1_rows, drop_cols=(), blank_headers=()):
 
 def ask(spark, cells, names, date="2025-06", fill_merged=False):
     req = spark.createDataFrame([(1, names, date)], "request_id long, categories array<string>, date string")
-    checked = RQ.validate(req, 200)
+    checked = RQ.validate(req, "post")
     routed = RQ.route_by_date(RQ.explode_valid(checked))
     looked_up = RQ.lookup(cells, routed, fill_merged)
     return looked_up, routed, RQ.found_records(looked_up)
@@ -171,16 +171,19 @@ def test_layout_stats(spark):
     assert st == {("year_month", 5), ("context", 3)}
 
 
-@pytest.mark.parametrize("date,names,max_n,reason", [
-    ("2025-06", ["All items", "Food", "Nope"], 20, None),
-    ("2025-13", ["Food"], 20, "date must be YYYY-MM"),
-    ("2025-06", [f"c{i}" for i in range(21)], 20, "maximum 20 categories"),
-    ("2025-06", [f"c{i}" for i in range(21)], 200, None),
-    ("2025-6", ["Food"], 20, None),
+@pytest.mark.parametrize("date,names,form,reason", [
+    ("2025-06", ["All items", "Food", "Nope"], "get", None),
+    ("2025-13", ["Food"], "get", "date must be YYYY-MM"),
+    ("2025-06", [f"c{i}" for i in range(20)], "get", None),
+    ("2025-06", [f"c{i}" for i in range(21)], "get", "maximum 20 categories"),
+    ("2025-06", [f"c{i}" for i in range(200)], "post", None),
+    ("2025-06", [f"c{i}" for i in range(201)], "post", "maximum 200 categories"),
+    ("2025-06", [f"c{i}" for i in range(201)], "batch", None),
+    ("2025-6", ["Food"], "get", None),
 ])
-def test_x9_request_rules(spark, date, names, max_n, reason):
+def test_x9_request_rules(spark, date, names, form, reason):
     req = spark.createDataFrame([(1, names, date)], "request_id long, categories array<string>, date string")
-    assert RQ.validate(req, max_n).first().reason == reason
+    assert RQ.validate(req, form).first().reason == reason
 
 
 def test_x9_get_form(spark):

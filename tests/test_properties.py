@@ -57,7 +57,7 @@ def test_permuted_request_permutes_answer(spark, batch):
     d = f"{date.y}-{date.m}"
     req = spark.createDataFrame([(1, names, d), (2, [names[i] for i in perm], d)],
                                 "request_id long, categories array<string>, date string")
-    _, _, wide, _ = RQ.answer(cells, req, 200)
+    _, _, wide, _ = RQ.answer(cells, req, "post")
     rows = {(r.request_id, r.ord): (r.category, r.nsa_previous, r.nsa_current, r.sa_previous, r.sa_current)
             for r in wide.collect()}
     for new_pos, old_pos in enumerate(perm):
