@@ -7,7 +7,7 @@ serial correlation, each exact in mean and variance for the token's length. Fish
 method joins the three into one p-value that the token is uniformly random.
 
 Short tokens of ordinary words may pass by chance, long ones hardly do, so the level
-is set for each length class and encoding by false-discovery control: tokens that
+is set for each length class by false-discovery control: tokens that
 are plain words (one case, letters only) serve as decoys, and the class takes the
 lowest p-value (ALPHA at least) at which (1 + decoys at or above it) / tokens at or
 above it is at most FDR. The counts cover all documents; they are a table of bounded size.
@@ -19,7 +19,6 @@ tokens in a class to show the rate, the method adds nothing there.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -111,21 +110,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.drop("text")
 
 
-def levels(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
-    """The last bin (of -10 log10 p) that is taken, by encoding and length class."""
+def levels(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """The last bin (of -10 log10 p) that is taken, by length class."""
     counts = (scanned.select(F.explode("tokens").alias("t"))
-              .groupBy(F.expr("if(t.decoy, '', t.enc)").alias("enc"), "t.class", "t.bin").count().collect())
-    decoys, tokens = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
-    for r in counts:                  # at most 8 x 4 x 32 rows
-        (tokens[r["enc"], r["class"]] if r["enc"] else decoys[r["class"]])[r["bin"]] += r["count"]
+              .groupBy("t.decoy", "t.class", "t.bin").count().collect())
+    seen = defaultdict(int)
+    for r in counts:                  # at most 2 x 4 x 32 rows
+        seen[r["decoy"], r["class"], r["bin"]] += r["count"]
     out = {}
-    for key, found in tokens.items():
-        above = null = 0
-        for b in range(BINS + 1):        # what is below ALPHA is left out
-            above += found[b]
-            null += decoys[key[1]][b]
-            if above and (1 + null) / above <= fdr:
-                out[key] = b
+    for c in {r["class"] for r in counts}:
+        tokens = decoys = 0
+        for b in range(BINS + 1):     # what is below ALPHA is left out
+            tokens += seen[False, c, b]
+            decoys += seen[True, c, b]
+            if tokens and (1 + decoys) / tokens <= fdr:
+                out[c] = b
     return out
 
 
@@ -135,7 +134,7 @@ def find(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     prepare(docs.sparkSession)
     scanned = cut(scan(docs))
     taken = levels(scanned, fdr)
-    ok = " or ".join(f"(t.enc = '{e}' and t.class = {c} and t.bin <= {b})" for (e, c), b in taken.items()) or "false"
+    ok = " or ".join(f"(t.class = {c} and t.bin <= {b})" for c, b in taken.items()) or "false"
     return scanned.withColumn("random", F.expr(f"filter(tokens, t -> not t.decoy and ({ok}))")).drop("tokens")
 
 

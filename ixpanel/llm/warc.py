@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ixpanel.llm.common import cut, field_of, prepare, table
-from ixpanel.session import scratch_path
+from ixpanel.session import remove_scratch, scratch_path
 
 SEGMENT = 32 * 1024        # bytes of a record's block
 CHUNK = 8 * 1024           # bytes of an HTTP chunk
@@ -230,6 +230,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     found = cut(read(spark, path).select("name", "kind", F.col("page").cast(kind).alias("page_id"), "refers_to",
                                          "digest", F.octet_length("payload").cast("long").alias("bytes")))
+    remove_scratch(spark, path)
     own = found.where("kind = 'response'").select(
         F.col("name").alias("of"), F.col("page_id").alias("of_page"), F.col("bytes").alias("of_bytes")).distinct()
     return found.join(own, (F.col("refers_to") == F.col("of")), "left").select(
