@@ -41,7 +41,7 @@ N_BEST = 4
 MARK = "▁"            # stands for a space; a text's own one is spelled in bytes
 OWN_MARK = "\ud800"        # that one meanwhile: no UTF-8 text holds a lone surrogate
 BYTE_PENALTY = 10.0        # a byte scores so much less than the worst piece
-CACHE = 200_000            # small lattices a worker keeps
+CACHE = 400_000            # small lattices a worker keeps
 
 
 class Pieces:
@@ -70,7 +70,7 @@ class Pieces:
         self.cut = re.compile(f"{MARK}*(?:{runs}[^{MARK}])|{MARK}+", re.DOTALL)
 
     def _classes(self) -> list[set[str]]:
-        """Characters that are neighbours in a piece, directly or through others."""
+        """Characters that are neighbours in a piece, directly or through others; small groups as one."""
         of: dict[str, set[str]] = {}
         for p in self.ids:
             for a, b in itertools.pairwise(p.lstrip(MARK)):
@@ -78,7 +78,9 @@ class Pieces:
                 if x is not y:
                     x |= y
                     of.update(dict.fromkeys(y, x))
-        return sorted({id(c): c for c in of.values()}.values(), key=lambda c: (-len(c), min(c)))
+        groups = list({id(c): c for c in of.values()}.values())
+        rest = set().union(*(c for c in groups if len(c) < 20))
+        return sorted((c for c in [rest, *groups] if c and (c is rest or len(c) >= 20)), key=lambda c: (-len(c), min(c)))
 
     def lattices(self, text: str) -> list[str]:
         """The small lattices of a text."""
@@ -96,34 +98,47 @@ class Pieces:
                     out.append((a, b, *found))
                     single = single or b == a + 1
             if not single:
-                raw = (MARK if s[a] == OWN_MARK else " " if s[a] == MARK else s[a]).encode()
-                out.append((a, a + 1, tuple(self.byte[x] for x in raw), len(raw) * self.byte_score))
+                out.append(self._bytes(s, a))
         return out
 
+    def _bytes(self, s: str, a: int):
+        raw = (MARK if s[a] == OWN_MARK else " " if s[a] == MARK else s[a]).encode()
+        return a, a + 1, tuple(self.byte[x] for x in raw), len(raw) * self.byte_score
+
     def best(self, s: str) -> tuple[float, tuple[int, ...], float]:
-        """Score and ids of the best segmentation, and what the cheapest other one loses."""
-        n, edges = len(s), self.edges(s)
-        ahead, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        for e in edges:
-            if (v := ahead[e[0]] + e[3]) > ahead[e[1]]:
-                ahead[e[1]], back[e[1]] = v, e
-        path, b = [], n
+        """Score and ids of the best segmentation, and what the cheapest other one loses:
+        Viterbi with the two best scores of each position."""
+        n, get = len(s), self.table.get
+        first, second, back = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [None] * (n + 1)
+        for a in range(n):
+            f, g = first[a], second[a]
+            for b in range(a + 1, n + 1):
+                found = get(s[a:b])
+                if not found:
+                    if b == a + 1:
+                        _, _, ids, score = self._bytes(s, a)
+                    elif found is None:
+                        break
+                    else:
+                        continue
+                else:
+                    ids, score = found
+                v, old = f + score, first[b]
+                if v > old:
+                    w = g + score
+                    second[b] = old if old > w else w
+                    first[b] = v
+                    back[b] = a, ids
+                elif v > second[b]:
+                    second[b] = v
+                if found is None:
+                    break
+        ids, b = [], n
         while b:
-            path.append(back[b])
-            b = back[b][0]
-        ids = tuple(itertools.chain.from_iterable(e[2] for e in reversed(path)))
-        behind, total, least, own = [-np.inf] * n + [0.0], ahead[n], np.inf, iter(path)
-        on = next(own)
-        for e in reversed(edges):
-            a, b, _, score = e
-            v = score + behind[b]
-            if v > behind[a]:
-                behind[a] = v
-            if e is on:
-                on = next(own, None)
-            elif (loss := total - ahead[a] - v) < least:
-                least = loss
-        return total, ids, least
+            b, last = back[b]
+            ids.append(last)
+        ids.reverse()
+        return first[n], tuple(itertools.chain.from_iterable(ids)), first[n] - second[n]
 
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """Up to ``n`` segmentations of a small lattice, best first."""
