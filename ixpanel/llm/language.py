@@ -50,14 +50,33 @@ def words_of(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def features(word: str, lexicon: dict) -> list[int]:
-    """Hashed features of a word: itself, affixes, inner n-grams, and its lexicon entry."""
-    padded = f"^{word}$"
-    names = ["w" + word, "bias", f"l{lexicon.get(word, '-')}"]
-    names += ["p" + word[:k] for k in (1, 2, 3, 4)] + ["s" + word[-k:] for k in (1, 2, 3, 4)]
-    names += [padded[i:i + 2] for i in range(len(padded) - 1)]
-    names += [padded[i:i + 3] for i in range(len(padded) - 2)]
-    return [zlib.crc32(x.encode()) & (BUCKETS - 1) for x in names]
+def _bucket(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x.astype(np.uint32) ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435761)
+    return ((x ^ (x >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(16)).astype(np.int64) % BUCKETS
+
+
+def features(words: list[str], lexicon: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of the hashed features of distinct words: each word itself, its lexicon
+    entry, its affixes of 1 to 4 bytes, and its padded 2- and 3-grams of bytes."""
+    raw = np.frombuffer(("^" + "$^".join(words) + "$").encode(), np.uint8)
+    begin, end = np.nonzero(raw == 94)[0], np.nonzero(raw == 36)[0]
+    owner = np.repeat(np.arange(len(words)), end - begin + 1)
+    b = raw.astype(np.uint32)
+    every = np.arange(len(words))
+    out = [(every, _bucket(np.array([zlib.crc32(w.encode()) for w in words], np.uint32), 1)),
+           (every, _bucket(np.array([zlib.crc32(lexicon.get(w, "-").encode()) for w in words], np.uint32), 2)),
+           (every, _bucket(np.zeros(len(words)), 3))]
+    two = np.nonzero(raw[:-1] != 36)[0]
+    out.append((owner[two], _bucket(b[two] * np.uint32(257) + b[two + 1], 4)))
+    three = two[:-1][raw[two[:-1] + 1] != 36]
+    out.append((owner[three], _bucket((b[three] * np.uint32(257) + b[three + 1]) * np.uint32(257) + b[three + 2], 5)))
+    head, tail = np.zeros(len(words), np.uint32), np.zeros(len(words), np.uint32)
+    for k in range(1, 5):
+        long = np.nonzero(end - begin > k)[0]
+        head[long] = head[long] * np.uint32(257) + b[begin[long] + k]
+        tail[long] = tail[long] * np.uint32(257) + b[end[long] - k]
+        out += [(long, _bucket(head[long], 10 + k)), (long, _bucket(tail[long], 20 + k))]
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def messages(score: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray):
@@ -144,11 +163,9 @@ class Model:
         rows = self.rows
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if new:
-            feats = [features(w, self.lexicon) for w in new]
-            at = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
-            made = np.add.reduceat(self.weights[np.concatenate(feats)], at, axis=0)
-            for w in new:
-                rows[w] = len(rows)
+            owner, bucket = features(new, self.lexicon)
+            made = np.stack([np.bincount(owner, self.weights[bucket, y], len(new)) for y in range(len(self.langs))], axis=1)
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
             self.scores = np.concatenate([self.scores, made.astype(np.float32)])
         return self.scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
@@ -180,7 +197,8 @@ def fit(sequences: list[tuple[list[str], str]]) -> Model:
         if (total := sum(c.values())) >= 3:
             lexicon[w] = y if top >= 0.9 * total else "?"
     types = {w: i for i, w in enumerate(counts)}
-    feats = [np.array(features(w, lexicon)) for w in counts]
+    owner, bucket = features(list(counts), lexicon) if counts else (np.zeros(0, int), np.zeros(0, int))
+    feats = np.split(bucket[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner))[:-1]) if counts else []
     weights, start, step = np.zeros((BUCKETS, k), np.float32), np.zeros(k), np.zeros((k, k))
     seen, seen_step, seen_start = np.full((BUCKETS, k), 1e-8, np.float32), np.full((k, k), 1e-8), np.full(k, 1e-8)
     rng = np.random.default_rng(0)
