@@ -127,8 +127,39 @@ def _digits_int(x) -> Column:
     return F.when(_c(x).rlike(r"^[0-9]+$"), _c(x).try_cast("int"))
 
 
-# Formats tried by the general period parser when the text has no "-".
-PERIOD_FORMATS = ["MMM yyyy", "MMMM yyyy", "yyyy/MM/dd", "MM/dd/yyyy"]
+# General period texts without "-", tried in this order: pattern (white space trimmed, lower
+# case) and the groups that hold year, month and day (0: the first month or day). A month of
+# letters must be a month word.
+PERIOD_RULES = [
+    (r"^([0-9]{4})$", 1, 0, 0),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", 1, 2, 3),
+    (r"^([0-9]{4})[/.]([0-9]{1,2})$", 1, 2, 0),
+    (r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})$", 1, 2, 3),
+    (r"^([0-9]{1,2})/([0-9]{4})$", 2, 1, 0),
+    (r"^(1[3-9]|2[0-9]|3[01])/([0-9]{1,2})/([0-9]{4})$", 3, 2, 1),      # no month is over 12
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", 3, 1, 2),
+    (r"^([a-z]+)[.]?,?\s*([0-9]{4})$", 2, 1, 0),
+    (r"^([a-z]+)[.]?\s+([0-9]{1,2}),?\s+([0-9]{4})$", 3, 1, 2),
+    (r"^([0-9]{1,2})\s+([a-z]+)[.]?,?\s+([0-9]{4})$", 3, 2, 1),
+    (r"^([0-9]{4})\s+([a-z]+)[.]?$", 1, 2, 0),
+    (r"^([0-9]{4})\s+([a-z]+)[.]?\s+([0-9]{1,2})$", 1, 2, 3),
+]
+QUARTER = r"^(?:([0-9]{4})q([1-4])|([1-4])q([0-9]{4}))$"
+
+
+def _period_date(s: Column) -> Column:
+    """First day or date that a general period text names; null where it names none."""
+    t = F.lower(ustrip(s))
+    words = F.create_map(*[F.lit(x) for w, m in fixed.MONTH_WORDS.items() for x in (w, str(m))])
+    g = lambda p, k: F.regexp_extract(t, p, k)
+    ymd = F.when(t.rlike(QUARTER), F.concat_ws(
+        "-", F.concat(g(QUARTER, 1), g(QUARTER, 4)),
+        (F.concat(g(QUARTER, 2), g(QUARTER, 3)).try_cast("int") * 3 - 2).cast("string"), F.lit("1")))
+    for p, y, m, d in PERIOD_RULES:
+        month = F.when(g(p, m).rlike("^[0-9]+$"), g(p, m)).otherwise(F.element_at(words, g(p, m))) if m else F.lit("1")
+        ymd = ymd.when(t.rlike(p), F.concat(g(p, y), F.lit("-"), month, F.lit("-"), g(p, d) if d else F.lit("1")))
+    found = F.try_to_timestamp(ymd, F.lit("yyyy-M-d"))
+    return F.when(F.year(found).between(1678, 2261), found)
 
 
 def parse_period(raw, kind) -> Column:
@@ -137,7 +168,7 @@ def parse_period(raw, kind) -> Column:
     Text containing ``-`` is split and both leading parts must be all digits
     (no range check). Dates give their own year and month. Numbers are read as
     nanoseconds since the epoch (so ``202401`` is 1970-01). Other text goes
-    through a fixed list of formats.
+    through PERIOD_RULES; two-digit years, which depend on today, name no period.
     """
     s = _c(raw)
     k = _c(kind)
@@ -145,8 +176,8 @@ def parse_period(raw, kind) -> Column:
     dash_y = _digits_int(F.element_at(parts, 1))
     dash_m = _digits_int(F.element_at(parts, 2))
     ts_num = F.timestamp_seconds(F.floor(python_float(s) / F.lit(1e9)))
-    ts_txt = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in PERIOD_FORMATS])
-    ts = F.when(k == "n", ts_num).otherwise(ts_txt)
+    iso = F.try_to_timestamp(s)
+    ts = F.when(k == "n", ts_num).when(k == "d", iso).otherwise(_period_date(s))
     year = F.when(s.contains("-"), dash_y).otherwise(F.year(ts))
     month = F.when(s.contains("-"), dash_m).otherwise(F.month(ts))
     return F.struct(year.alias("year"), month.alias("month"))

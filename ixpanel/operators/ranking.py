@@ -2,12 +2,12 @@
 
 ``Window.partitionBy(g).orderBy(k)`` puts a whole group into one task. When
 one group may hold a third of all rows, that task becomes the job. Here the
-rows are range-partitioned on ``(g, k)`` instead, so a hot group is spread
-over many partitions in order; each partition numbers its own rows, and a
-small table of per-(partition, group) counts gives every partition the
-offset of its group's earlier rows. That count table has at most
-``partitions × groups-per-partition`` rows, and its window per group spans at
-most the number of partitions — bounded, whatever the skew.
+rows are range-partitioned and sorted on ``(g, k)`` instead, so a hot group is
+spread over many partitions in order. The sorted rows are numbered as they
+stand; a small table of each (partition, group)'s first number and count turns
+these into positions. That table's window per group spans at most the number
+of partitions — bounded, whatever the skew. Rows are shuffled once for the
+order and once for the join with that table (not at all if it is small).
 """
 
 from __future__ import annotations
@@ -32,13 +32,15 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     # reliable checkpoint (shared checkpoint folder); every later step reads
     # the same materialised rows, also after an executor loss.
     checkpoint_dir(spark)
-    s = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
-    s = s.withColumn("_lr", F.row_number().over(local)).checkpoint(eager=True)
-    cnt = s.groupBy("_pid", *group_cols).agg(F.max("_lr").alias("_n"))
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True))
+    cnt = s.groupBy("_pid", *group_cols).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_pid") \
                    .rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (s.join(off, ["_pid", *group_cols])
-            .withColumn(name, (F.col("_lr") + F.col("_off")).cast("int"))
-            .drop("_pid", "_lr", "_off"))
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")) \
+             .drop("_n", "_first")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group_cols]
+    return (s.alias("s").join(off.alias("o"), [F.col("s._pid") == F.col("o._pid"), *same])
+            .select("s.*", (F.col("s._id") + F.col("o._off")).cast("int").alias(name))
+            .drop("_pid", "_id"))

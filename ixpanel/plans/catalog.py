@@ -469,7 +469,7 @@ def q_stream_latest(spark, d):
     q = ST.stream_latest(spark, f"{root}/drop", f"{root}/table", f"{root}/latest",
                          f"{root}/ckpt", n=2, max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/latest")
+    return ST.read_latest(spark, f"{root}/latest")
 
 
 # ---------------------------------------------------------------- R9 ordered caps

@@ -86,19 +86,19 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
     in name order; value cells are comma-grouped text, every 7th one a
     placeholder. Rows 1, 2 and 5 are blank, so ``r_raw`` and ``r`` differ.
     """
-    w = panel_wide(spark, d)
-    cur = w.select("category", "date", F.col("nsa").alias("nsa_cur"), F.col("sa").alias("sa_cur"))
-    prev = w.select("category", F.date_format(F.add_months(F.to_date(F.col("date"), "yyyy-MM"), 1),
-                                              "yyyy-MM").alias("date"),
-                    F.col("nsa").alias("nsa_prev"), F.col("sa").alias("sa_prev"))
-    rows = cur.join(prev, ["category", "date"], "left")
+    from pyspark.sql import Window
+    by = Window.partitionBy("category").orderBy("date")         # bounded: months of a category
     month = F.to_date(F.col("date"), "yyyy-MM")
+    follows = F.lag("date").over(by) == F.date_format(F.add_months(month, -1), "yyyy-MM")
+    rows = panel_wide(spark, d).select(
+        "category", "date", F.col("nsa").alias("nsa_cur"), F.col("sa").alias("sa_cur"),
+        F.when(follows, F.lag("nsa").over(by)).alias("nsa_prev"),
+        F.when(follows, F.lag("sa").over(by)).alias("sa_prev"))
     pmonth = F.add_months(month, -1)
     file = F.concat(F.lit("cpi-u-"), F.date_format(month, "yyyyMM"), F.lit(".xlsx"))
     sheet = F.lit(SUPPLEMENTAL_SHEET)
     # category row index per month: rank among the month's categories. A month
     # holds at most one row per category, bounded by the sheet size.
-    from pyspark.sql import Window
     i = F.row_number().over(Window.partitionBy("date").orderBy("category")) - 1
     rows = rows.withColumn("i", i)
     r_raw = F.col("i") + 6

@@ -36,6 +36,7 @@ _M = "{%s}" % _NS["m"]
 # --- fixed values: built-in number formats that show dates or times ---
 _DATE_FMT_IDS = set(range(14, 23)) | {45, 46, 47}
 _CHUNK = 50_000
+ERROR = "error"         # kind of the row of a file that can't be read
 
 
 def _col_index(ref: str) -> int:
@@ -127,7 +128,7 @@ def iter_workbook_cells(name: str, content: bytes):
                 if m:
                     c, row_no = _col_index(m.group(1)), int(m.group(2)) - 1
                 else:
-                    c = -1
+                    raise ValueError(f"sheet {sheet!r}: a cell without a reference")
                 t = el.get("t", "n")
                 v = el.find(_M + "v")
                 val = None if v is None else v.text
@@ -167,7 +168,11 @@ def _decode(batches):
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             name = os.path.basename(path)
-            for chunk in iter_workbook_cells(name, content):
+            try:        # all of a workbook or nothing; it is in memory anyway
+                chunks = list(iter_workbook_cells(name, content))
+            except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, OSError) as e:
+                chunks = [[(None, -1, -1, -1, -1, repr(e), ERROR)]]
+            for chunk in chunks:
                 df = pd.DataFrame(chunk, columns=cols)
                 df.insert(0, "file", name)
                 for k in ("sheet_pos", "r_raw", "r", "c"):
@@ -175,13 +180,26 @@ def _decode(batches):
                 yield df
 
 
-def read_cells(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
-    """S1/S2 edge: every sheet of every workbook under ``path`` as cells."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path))
+def decoded(files: DataFrame) -> DataFrame:
+    """Cells of ``files`` (path, content); a file that can't be read gives one row of kind ERROR."""
     return files.select("path", "content").mapInPandas(_decode, CELL_SCHEMA)
 
 
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+
+
+def read_cells(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
+    """S1/S2 edge: every sheet of every workbook in the folder ``path`` (not below it, so names
+    are unique) as cells; files that can't be read have none (``unreadable`` names them)."""
+    return decoded(_files(spark, path, glob)).filter(F.col("kind") != ERROR)
+
+
+def unreadable(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
+    """``file, problem`` of the workbooks that can't be read."""
+    return decoded(_files(spark, path, glob)).filter(F.col("kind") == ERROR).select("file", F.col("raw").alias("problem"))
+
+
 # ---------------------------------------------------------------- writing
 
 def _xml_escape(s: str) -> str:

@@ -47,7 +47,10 @@ def stream_latest(spark: SparkSession, drop_dir: str, table_dir: str, latest_dir
                   checkpoint: str, n: int = 2, schema: str = PANEL_SCHEMA,
                   trigger: str = "availableNow", max_files_per_trigger: int | None = None):
     """After each new batch, the latest ``n`` months of the whole table
-    become the answer (rewritten at ``latest_dir``)."""
+    become the answer. They are among those of the answer before and of the
+    batch, so the table isn't read again. Each answer is a folder of its own,
+    ``latest_dir/v=<batch>``, and counts once it is complete (``read_latest``):
+    a reader or a crash in between finds the one before."""
     src = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -55,13 +58,40 @@ def stream_latest(spark: SparkSession, drop_dir: str, table_dir: str, latest_dir
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}")
-        full = read_table(batch.sparkSession, table_dir)
-        latest_rows(full, n).write.mode("overwrite").parquet(latest_dir)
+        before = _versions(batch.sparkSession, latest_dir, batch_id)
+        known = batch if not before else batch.unionByName(
+            batch.sparkSession.read.parquet(f"{latest_dir}/v={before[-1]}"))
+        latest_rows(known, n).write.mode("overwrite").parquet(f"{latest_dir}/v={batch_id}")
+        for old in before[:-1]:
+            _path(batch.sparkSession, f"{latest_dir}/v={old}", "delete")
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
+def _path(spark: SparkSession, path: str, what: str):
+    """List, delete, or test a folder in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if what == "delete":
+        return fs.delete(p, True)
+    if what == "exists":
+        return fs.exists(p)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, latest_dir: str, below: int | None = None) -> list[int]:
+    """Complete answers in order, those before batch ``below`` if it is given."""
+    found = sorted(int(x[2:]) for x in _path(spark, latest_dir, "list") if x.startswith("v="))
+    return [v for v in found if (below is None or v < below)
+            and _path(spark, f"{latest_dir}/v={v}/_SUCCESS", "exists")]
+
+
+def read_latest(spark: SparkSession, latest_dir: str) -> DataFrame:
+    """The newest complete answer of ``stream_latest``."""
+    return spark.read.parquet(f"{latest_dir}/v={_versions(spark, latest_dir)[-1]}")
+
+
 def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
     return spark.read.parquet(table_dir).drop("batch")
 
@@ -89,7 +119,7 @@ def stream_workbooks(spark: SparkSession, drop_dir: str, points_dir: str, checkp
     src = src.load(drop_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        cells = batch.select("path", "content").mapInPandas(WB._decode, WB.CELL_SCHEMA)
+        cells = WB.decoded(batch).filter(F.col("kind") != WB.ERROR)
         ann = G.annotate_cells(cells).persist()          # decoded once per batch
         G.union_layouts(ann, ticker).write.mode("overwrite").parquet(f"{points_dir}/batch={batch_id}")
         ann.unpersist()                                  # a long-running stream keeps no old batches

@@ -35,6 +35,16 @@ def test_anchor_extraction(spark):
     assert a[6].href == "https://other.example/cpi/u.xls"
 
 
+def test_anchors_of_odd_markup(spark):
+    html = ("<a-x href='/no1'>custom</a-x><!-- <a href='/no2'>hidden</a> --><script>'<a href=\"/no3\">'</script>"
+            "<a href='/1'>one<a href='/2'>t&#119;o &amp;lt; &#x1F600;</a> <a\nhref=/3>caf&eacute;&#233;&#38;amp;</A >"
+            "<a href='/4?a=1&amp;b=2'>open &#xD800; end")
+    pages = spark.createDataFrame([(1, BASE, html), (2, BASE, None), (3, BASE, "no links")], "page_id long, url string, html string")
+    got = [(r.href, r.text) for r in SL.anchors(pages).orderBy("page_id", "pos").collect()]
+    assert got == [("/1", "one"), ("/2", "two &lt; \U0001f600"), ("/3", "caf\u00e9\u00e9&amp;"),
+                   ("/4?a=1&b=2", "open \ufffd end")]
+
+
 def test_x7_priority_date_rank(spark):
     links = x7_links(spark)
     got = {r.filename: (r.priority, r.date) for r in links.collect()}

@@ -116,6 +116,22 @@ def test_category_list_property(spark, values):
     assert got == [[c.strip() for c in s.split(",") if c.strip()] for s in values]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("2024", (2024, 1)), ("20240101", (2024, 1)), ("Jan. 2024", (2024, 1)), ("1/15/2024", (2024, 1)),
+    ("2024/01", (2024, 1)), ("2024/1/5", (2024, 1)), ("15 Jan 2024", (2024, 1)), ("2024Q1", (2024, 1)),
+    ("2024q3", (2024, 7)), ("1Q2024", (2024, 1)), ("2024 Jan", (2024, 1)), ("January 15, 2024", (2024, 1)),
+    ("Jan 15 2024", (2024, 1)), ("Sept. 2024", (2024, 9)), ("01/2024", (2024, 1)), ("2024.01", (2024, 1)),
+    ("13/1/2024", (2024, 1)), ("3/4/2024", (2024, 3)), ("2024 January 5", (2024, 1)), ("June, 2024", (2024, 6)),
+    ("  2024 ", (2024, 1)), ("May2024", (2024, 5)), ("Jun 2024", (2024, 6)), ("2024-05", (2024, 5)),
+    ("202401", None), ("Q2 2024", None), ("2024M03", None), ("2024/13", None), ("2024/01/32", None),
+    ("20241301", None), ("99999", None), ("abc", None), ("", None), ("2024 Q4", None), ("24", None),
+])
+def test_general_period_text(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    p = df.select(S.parse_period(F.col("t"), F.lit("s")).alias("p")).first().p
+    assert (None if p.year is None else (p.year, p.month)) == want
+
+
 def test_period_label(spark):
     df = spark.createDataFrame([(2024, 3), (2025, 12)], "y int, m int")
     assert [r[0] for r in df.select(S.period_label("y", "m")).collect()] == ["2024-03", "2025-12"]

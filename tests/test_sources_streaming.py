@@ -4,12 +4,15 @@ import os
 import tempfile
 import zipfile
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ixpanel.operators import grids as G
 from ixpanel.operators.ranking import rank_within
 from ixpanel.plans import views as V
+from ixpanel.sources import files as FS
 from ixpanel.sources import workbook as WB
 from ixpanel.streaming import ingest as ST
 
@@ -104,7 +107,7 @@ def test_stream_ingest_and_latest(spark):
     q.awaitTermination()
     table = ST.read_table(spark, f"{root}/table")
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, panel.collect()))
-    latest = spark.read.parquet(f"{root}/latest")
+    latest = ST.read_latest(spark, f"{root}/latest")
     top = sorted({r.date for r in panel.select("date").collect()})[-2:]
     assert sorted({r.date for r in latest.collect()}) == top
     # a second pass over the same folder finds nothing new (the checkpoint remembers)
@@ -126,3 +129,47 @@ def test_scan_directory_lists_workbooks_only(spark):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]   # file bodies are not read for a listing
     assert FS.latest_file(m).count() == 1
+
+
+def test_broken_workbooks_are_told_and_folders_stay_apart(spark, tmp_path):
+    from ixpanel.sources import workbook as WB
+    (tmp_path / "sub").mkdir()
+    cells = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "in the folder", "s")], WB.CELL_SCHEMA)
+    other = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "below it", "s")], WB.CELL_SCHEMA)
+    WB.write_workbooks(cells, str(tmp_path)).collect()
+    WB.write_workbooks(other, str(tmp_path / "sub")).collect()
+    (tmp_path / "~$book.xlsx").write_bytes(b"lock")
+    assert [r.raw for r in WB.read_cells(spark, str(tmp_path)).collect()] == ["in the folder"]
+    bad = WB.unreadable(spark, str(tmp_path)).collect()
+    assert [r.file for r in bad] == ["~$book.xlsx"] and "BadZipFile" in bad[0].problem
+    assert {r.file for r in FS.scan_directory(spark, str(tmp_path)).collect()} == {"book.xlsx", "~$book.xlsx"}
+
+
+def test_cells_without_references_are_rejected(spark, tmp_path):
+    import zipfile
+    from ixpanel.sources import workbook as WB
+    cells = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "x", "s")], WB.CELL_SCHEMA)
+    WB.write_workbooks(cells, str(tmp_path / "made")).collect()
+    (tmp_path / "bare").mkdir()
+    with zipfile.ZipFile(tmp_path / "made" / "book.xlsx") as old, \
+            zipfile.ZipFile(tmp_path / "bare" / "book.xlsx", "w") as new:
+        for n in old.namelist():
+            new.writestr(n, old.read(n).replace(b' r="A1"', b""))
+    assert WB.read_cells(spark, str(tmp_path / "bare")).count() == 0
+    assert "reference" in WB.unreadable(spark, str(tmp_path / "bare")).first().problem
+
+
+def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
+    from types import SimpleNamespace
+    from ixpanel import session
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d),
+                           sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(bare)
+    path = session.scratch_path(spark, "gone")
+    spark.range(1).write.parquet(path)
+    session.remove_scratch(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        session.remove_scratch(spark, "/tmp/elsewhere")
