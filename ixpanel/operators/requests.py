@@ -55,8 +55,10 @@ def route_by_date(exploded: DataFrame) -> DataFrame:
 def route_latest(exploded: DataFrame, file: str) -> DataFrame:
     """Send every request to the newest workbook whatever its month, as the
     service does: a name found there is found, and months the workbook doesn't
-    map have null values."""
-    return exploded.withColumn("file", F.lit(file))
+    map have null values. The name hangs on a column, else the optimizer would
+    fold joins on it into products."""
+    nothing = F.coalesce(F.substring("date", 1, 0), F.lit(""))
+    return exploded.withColumn("file", F.concat(F.lit(file), nothing))
 
 
 def month_of_workbook(cells: DataFrame) -> DataFrame:
@@ -143,15 +145,17 @@ def coverage(looked_up: DataFrame) -> DataFrame:
 
 
 def answer(cells: DataFrame, requests: DataFrame, form: str = "batch",
-           newest: str | None = None):
+           newest: DataFrame | None = None):
     """The whole batch — validation, routing, lookup; the wide and long
     answers. Returns ``(checked, looked_up, wide, long)``. With ``newest``
-    (a file name) every request goes to that workbook, whatever its month."""
+    (``file``, one row at most) every request goes to that workbook, whatever its month."""
     checked = validate(requests, form)
     exploded = explode_valid(checked)
     if newest is None:
         looked_up = lookup(cells, route_by_date(exploded), targets=month_of_workbook(cells))
     else:
-        looked_up = lookup(cells.filter(F.col("file") == newest), route_latest(exploded, newest))
+        first = newest.first()
+        looked_up = lookup(cells.join(newest.select("file"), "file", "left_semi"),
+                           route_latest(exploded, first["file"] if first else ""))
     wide = found_records(looked_up)
     return checked, looked_up, wide, P.long_format(wide)

@@ -190,8 +190,7 @@ def q_coverage(spark, d):
 
 
 def _batch_latest(spark, d):
-    newest = FS.latest_file(V.manifest(spark, d)).first()      # one row
-    return RQ.answer(_sheet(spark, d), V.requests(spark, d), newest=newest["file"] if newest else "")
+    return RQ.answer(_sheet(spark, d), V.requests(spark, d), newest=FS.latest_file(V.manifest(spark, d)))
 
 
 @register("wide_record_latest")
@@ -259,8 +258,8 @@ def q_layout_stats(spark, d):
 @register("latest_points")
 def q_latest_points(spark, d):
     from ..sources import files as FS
-    latest = FS.latest_file(V.points_manifest(spark, d)).first()      # one row
-    cells = _pcells(spark, d).filter(F.col("file") == (latest["file"] if latest else ""))
+    latest = FS.latest_file(V.points_manifest(spark, d)).select("file")      # one row
+    cells = _pcells(spark, d).join(latest, "file", "left_semi")
     pts = P.recent_periods(G.union_layouts(cells, "cpi"), 2)
     return pts.withColumn("period", S.period_label(F.col("year"), F.col("month")))
 

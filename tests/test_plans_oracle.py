@@ -15,22 +15,41 @@ from conftest import SF_SMALL
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from oracle_check import TABLES, rows_of  # noqa: E402
 
-# queries that write files or run streams while they are built
-SIDE_EFFECTS = {"scan_first_sheet", "scan_all_sheets", "records_out", "stream_ingest", "stream_latest"}
+from ixpanel.plans.catalog import QUERIES  # noqa: E402
+from ixpanel.plans.oracle import SQL  # noqa: E402
 
 
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))
-def test_no_cartesian_or_nested_loop(spark, name):
-    p = plan_text(E.queries()[name](spark, SF_SMALL))
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans(spark, name):
+    """Every query: no product of tables, no cached table, and no rows dealt out by number
+    (only the drop folder of the streams and the header regions are dealt out by a key)."""
+    p = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert "InMemoryTableScan" not in p and "REPARTITION_BY_NUM" not in p
 
 
-def test_every_query_has_oracle_or_is_listed():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_no_fact_shuffle_before_the_partial_aggregate(spark):
+    for name in ("mom_change", "panel_profile"):
+        p = plan_text(E.queries()[name](spark, SF_SMALL))
+        assert "REPARTITION" not in p
+    assert "partial_sum" in plan_text(E.queries()["mom_change"](spark, SF_SMALL))
+
+
+def test_nothing_stays_cached(spark):
+    spark.catalog.clearCache()
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for name in ("latest_points", "recent_periods", "source_status"):
+        QUERIES[name](spark, SF_SMALL).count()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def test_window_is_partitioned(spark):
