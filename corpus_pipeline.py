@@ -37,8 +37,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in angle brackets; n_chars follows."""
-    found = pii.find(docs).withColumn("text", pii.redacted())
-    if "n_chars" in docs.columns:
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others)).alias("rest")   # no name can clash
+    found = pii.find(docs.select("doc_id", "text", rest)).withColumn("text", pii.redacted())
+    found = found.select("doc_id", "text", *(F.col(f"rest.`{c}`").alias(c) for c in others))
+    if "n_chars" in others:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(docs.columns)
 

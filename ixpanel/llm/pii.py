@@ -129,7 +129,7 @@ def discovered(docs: DataFrame, **how) -> DataFrame:
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` (doc_id, text and any other column) with base (spans of the fixed formats, as start,
+    """``docs`` (doc_id, text and other columns, but none named base or every) with base (spans of the fixed formats, as start,
     rank, kind, end) and every (those and the discovered ones, kind ctx_ and its kind). A null text
     is an empty one, in its own column as well."""
     prepare(docs.sparkSession)
