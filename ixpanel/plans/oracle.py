@@ -12,7 +12,7 @@ from __future__ import annotations
 
 PANEL_WIDE = """
 panel_wide AS (
-  SELECT p_brand AS category, strftime(l_shipdate, '%Y-%m') AS date,
+  SELECT concat_ws('/', p_brand, CAST(p_size AS VARCHAR), p_type) AS category, strftime(l_shipdate, '%Y-%m') AS date,
          SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS nsa,
          SUM(CAST(l_quantity AS DECIMAL(18,2))) AS sa
   FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -147,17 +147,17 @@ SELECT file, sheet, r_raw, label AS category FROM sheet_vals
 # ---------------------------------------------------------------- requests
 
 REQUESTS = """
+kinds AS (SELECT p_partkey, concat_ws('/', p_brand, CAST(p_size AS VARCHAR), p_type) AS c1 FROM part),
 req AS (
   SELECT o_orderkey AS request_id,
-         concat_ws(',', 'Brand#' || CAST(o_orderkey % 25 + 1 AS VARCHAR),
-                   ' Brand#' || CAST((o_orderkey * 7 + 3) % 25 + 1 AS VARCHAR) || ' ',
-                   CASE WHEN o_orderkey % 5 = 0 THEN 'Brand#' || CAST(o_orderkey % 25 + 1 AS VARCHAR) END,
+         concat_ws(',', c1, ' ' || c2 || ' ', CASE WHEN o_orderkey % 5 = 0 THEN c1 END,
                    CASE WHEN o_orderkey % 3 = 0 THEN 'Brand#99' END,
                    CASE WHEN o_orderkey % 11 = 0 THEN ' ' END) AS categories,
          CASE WHEN o_orderkey % 50 = 7 THEN strftime(o_orderdate, '%Y') || '-' || CAST(month(o_orderdate) AS VARCHAR)
               WHEN o_orderkey % 50 = 13 THEN strftime(o_orderdate, '%Y') || '-13'
               ELSE strftime(o_orderdate, '%Y-%m') END AS date
-  FROM orders),
+  FROM orders LEFT JOIN kinds k1 ON k1.p_partkey = o_orderkey % 200
+  LEFT JOIN (SELECT p_partkey, c1 AS c2 FROM kinds) k2 ON k2.p_partkey = (o_orderkey * 7 + 3) % 20000),
 chk0 AS (
   SELECT request_id, categories, date,
          list_filter(list_transform(string_split(categories, ','), lambda x: trim(x)), lambda x: x <> '') AS lst

@@ -46,13 +46,18 @@ def _explode_cells(df: DataFrame, cells: list) -> DataFrame:
 
 # ---------------------------------------------------------------- panel
 
+def _category():
+    return F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), "p_type")
+
+
 def panel_wide(spark: SparkSession, d: str) -> DataFrame:
-    """(category, date, nsa, sa) monthly sums per brand, DECIMAL(18,2) sums."""
+    """(category, date, nsa, sa) monthly sums per brand, size and type of part (at most
+    25 x 50 x 6 categories, as many as the parts have), DECIMAL(18,2) sums."""
     li = read_table(spark, d, "lineitem").select("l_partkey", "l_shipdate",
                                                  "l_extendedprice", "l_quantity")
-    pt = read_table(spark, d, "part").select("p_partkey", "p_brand")
+    pt = read_table(spark, d, "part").select("p_partkey", _category().alias("category"))
     j = li.join(pt, li.l_partkey == pt.p_partkey)
-    return (j.groupBy(F.col("p_brand").alias("category"),
+    return (j.groupBy("category",
                       F.date_format("l_shipdate", "yyyy-MM").alias("date"))
             .agg(F.sum(F.col("l_extendedprice").cast(DEC)).alias("nsa"),
                  F.sum(F.col("l_quantity").cast(DEC)).alias("sa")))
@@ -117,7 +122,7 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
            (5, "Seasonally adjusted indexes"), (6, "Seasonally adjusted indexes"),
            (7, "Unadjusted percent change")]
     head_cells = [_cell(file, sheet, 0, 0, 0, 0,
-                        F.when(first, F.concat(F.lit("Table 7. Index by brand, "), F.col("date"))), "s")]
+                        F.when(first, F.concat(F.lit("Table 7. Index by kind of part, "), F.col("date"))), "s")]
     head_cells += [_cell(file, sheet, 0, 3, 1, c, F.when(first, F.lit(t)), "s") for c, t in hdr]
     for c, m in ((3, pmonth), (4, month), (5, pmonth), (6, month)):
         head_cells.append(_cell(file, sheet, 0, 4, 2, c, F.when(first, lab(m)), "s"))
@@ -247,12 +252,16 @@ def messy_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """One request per order: date = order month (some unpadded, some bad),
-    categories = a comma list of brands with blanks, an unknown and a
-    duplicate mixed in."""
+    categories = a comma list of the categories of two parts (the second one's
+    number may not exist) with blanks, an unknown and a duplicate mixed in."""
     o = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     k = F.col("o_orderkey")
-    b1 = F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))
-    b2 = F.concat(F.lit(" Brand#"), ((k * 7 + 3) % 25 + 1).cast("string"), F.lit(" "))
+    pt = read_table(spark, d, "part")
+    one = pt.select(F.col("p_partkey").alias("k1"), _category().alias("c1"))
+    two = pt.select(F.col("p_partkey").alias("k2"), _category().alias("c2"))
+    o = o.join(one, k % 200 == F.col("k1"), "left").join(two, (k * 7 + 3) % 20000 == F.col("k2"), "left")
+    b1 = F.col("c1")
+    b2 = F.concat(F.lit(" "), F.col("c2"), F.lit(" "))
     cats = F.concat_ws(",", b1, b2,
                        F.when(k % 5 == 0, b1),
                        F.when(k % 3 == 0, F.lit("Brand#99")),
