@@ -143,8 +143,9 @@ def _featured(batches):
     for b in batches:
         rows = [(v, *features(t or b"")) for t in b.column(1).to_pylist() for v in (votes(t or b""),)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows]), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-             pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["votes", "at", "value"])
+            [pa.array([r[0] for r in rows], pa.string()),
+             pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()),
+             pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], ["votes", "at", "value"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer] | None:
@@ -158,9 +159,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer] | No
     labels = LabelModel(counts)
     rate = min(1.0, sample / sum(counts.values()))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(
-        _featured, "votes string, at array<int>, value array<double>").limit(2 * sample).collect()
-    some = sorted((list(r["at"]), list(r["value"]), labels.good[r["votes"]]) for r in some)
-    return labels, Scorer([(np.array(a, int), np.array(v), y) for a, v, y in some])
+        _featured, "votes string, at binary, value binary").limit(2 * sample).toLocalIterator()
+    some = sorted((bytes(r["at"]), bytes(r["value"]), labels.good[r["votes"]]) for r in some)    # any order, the same fit
+    return labels, Scorer([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y) for a, v, y in some])
 
 
 def classify(docs: DataFrame, fitted: tuple[LabelModel, Scorer] | None) -> DataFrame:
