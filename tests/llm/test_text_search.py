@@ -226,3 +226,42 @@ def test_licenses_and_differences(spark):
 def test_compression_ranks_the_right_template():
     for name, text in licenses.TEMPLATES.items():
         assert licenses.ranked(text)[0][1].removesuffix("-notice") == name.removesuffix("-notice")
+
+
+def test_wrapped_license_texts():
+    """Texts as their files wrap them, with blank lines, comment marks and runs of lines without license wording."""
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    cc0 = "Dedicated to the public\n\n# domain under\n\n\n\nCC0 1.0."
+    for name, text in (("MIT", mit), ("MPL-2.0", mpl), ("CC0-1.0", cc0)):
+        for t in (text, "İ é\n" + text + "\ncode = 1\n"):
+            (found,) = licenses.licenses(t)
+            assert found[2] == name and t[found[0]:found[1]] in t
+    a, b = licenses.licenses("İ " + mit)[0][:2]
+    assert ("İ " + mit)[a:b] == mit[mit.index("Permission"):mit.index(" IN NO EVENT")]
+
+
+def test_every_confirmed_license_has_a_cue():
+    for text in licenses.TEMPLATES.values():
+        n = len(words := licenses.words_of(text))
+        assert (sum(bool(licenses.CUE.search(w)) for w in words) > int(licenses.MISSING * n)
+                or any(licenses.KEY.match(w) and licenses.CUE.search(w) for w in words))
