@@ -265,3 +265,52 @@ def test_every_confirmed_license_has_a_cue():
         n = len(words := licenses.words_of(text))
         assert (sum(bool(licenses.CUE.search(w)) for w in words) > int(licenses.MISSING * n)
                 or any(licenses.KEY.match(w) and licenses.CUE.search(w) for w in words))
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + """
+{}Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software
+without specific prior written permission.
+"""
+GNU = """This {0} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {1} as published by
+the Free Software Foundation, either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_license_families_keep_their_names():
+    named = lambda t: [x[2] for x in licenses.licenses(t)]
+    for marks in (("1. ", "2. ", "3. "), ("", "", ""), ("a) ", "b) ", "c) ")):
+        assert named(BSD.format(*marks)) == ["BSD-2-Clause"]
+        assert named(BSD_3.format(*marks)) == ["BSD-3-Clause"] == named(" ".join(BSD_3.format(*marks).split()))
+    assert named(BSD_3.format("", "", "").replace("copyright holder", "one two three " * 8)) == []
+    public = "General Public License"
+    for kind, name, version, want in [
+            ("program", public, "3", "GPL-3.0"), ("program", public, "2", "GPL-2.0"),
+            ("program", "Affero " + public, "3", "AGPL-3.0"), ("program", "Lesser " + public, "3", "LGPL-3.0"),
+            ("library", "Lesser " + public, "3", "LGPL-3.0"), ("library", "Lesser " + public, "2.1", "LGPL-2.1"),
+            ("library", "Library " + public, "2", "LGPL-2.0"), ("library", public, "3", "GPL-3.0")]:
+        assert named(GNU.format(kind, name, version)) == [want], want
+    assert named("This work is licensed under the GNU Affero General Public License, version 3") == ["AGPL-3.0-notice"]
+
+
+def test_each_occurrence_of_a_license_has_its_span():
+    text = BSD.format("1. ", "2. ")
+    found = licenses.licenses(text * 50)
+    assert [x[:3] for x in found] == [(k * len(text), (k + 1) * len(text) - 1, "BSD-2-Clause") for k in range(50)]
+    altered = text.replace("source and binary forms", "no form at all whatever it be " * 4)
+    assert [x[0] for x in licenses.licenses(altered + text + altered)] == [len(altered)]
