@@ -14,7 +14,9 @@ decoded. A group is one record, never more than one page.
 
 Defined results: a null html is an empty payload; equal payloads share the response
 with the largest page_id (a null one is the smallest); rows that repeat that page_id
-are responses, too; an empty table gives an empty archive and no records. A broken
+are responses, too, and the revisits refer to one of them; every record has an id of its
+own, made of its row's number, so ``pages`` must give its rows in the same order each time
+it is read, as files and checkpoints do; an empty table gives an empty archive and no records. A broken
 record has a null payload and an entry in ``problem``.
 """
 
@@ -71,11 +73,12 @@ def _name(*parts) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr(parts))}"
 
 
-def records(page_id, url, payload: bytes, response_id, segment: int):
-    """The records of one page; response_id: that of its response."""
+def records(page_id, url, payload: bytes, response_id, segment: int, row: int | None = None):
+    """The records of one page; response_id: that of its response; row: the row's number, None for
+    the response that revisits refer to."""
     sha = digest(payload)
     kind = "response" if page_id == response_id else "revisit"
-    name = _name(kind, page_id, sha)
+    name = _name(kind, page_id, sha, *(() if row is None else (row,)))
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     url = None if url is None else "".join(c for c in url if c >= " " and c != "\x7f")
     common = {"WARC_Target_URI": url, "X_Page_ID": page_id, "WARC_Payload_Digest": f"sha1:{sha}",
@@ -97,19 +100,25 @@ def records(page_id, url, payload: bytes, response_id, segment: int):
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, min_revisit: int = MIN_REVISIT) -> None:
     """Writes ``pages`` (page_id, url, html) as archives in the folder ``path``."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn(
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"),
+                        F.monotonically_increasing_id().alias("row")).withColumn(
         "same", F.sha2(F.col("html").cast("binary"), 256))
-    responses = cut(rows.select("same", F.octet_length("html").alias("n"), "page_id").where(F.col("n") >= min_revisit)
-                    .groupBy("same").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies"))
-                    .where("copies > 1").select("same", "response_id"))
+    # One of the rows with the largest page_id is the response that the revisits refer to.
+    responses = cut(rows.select("same", F.octet_length("html").alias("n"), "page_id", "row").where(
+        F.col("n") >= min_revisit).groupBy("same").agg(
+            F.max("page_id").alias("response_id"), F.count("*").alias("copies"),
+            F.coalesce(F.max_by("row", "page_id"), F.min("row")).alias("response_row"))
+                    .where("copies > 1").select("same", "response_id", "response_row"))
+    alone = F.col("response_row").isNull() & (F.octet_length("html") >= min_revisit)
     rows = rows.join(responses, "same", "left").select(
         "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"),
-        F.coalesce("response_id", "page_id").alias("response_id"))
+        F.coalesce("response_id", "page_id").alias("response_id"),
+        F.when(~alone & ~F.col("row").eqNullSafe(F.col("response_row")), F.col("row")).alias("row"))
 
     def run(batches):
         for b in batches:
-            out = [r for row in zip(*(b.column(k).to_pylist() for k in range(4)))
-                   for r in records(*row, segment)]
+            out = [r for *page, row in zip(*(b.column(k).to_pylist() for k in range(5)))
+                   for r in records(*page, segment, row)]
             for k in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[k:k + 500], pa.binary())], ["record"])
 

@@ -193,6 +193,27 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("min_revisit", [0, 10 ** 6])
+def test_repeated_long_pages_are_records_of_their_own(spark, tmp_path, min_revisit):
+    long, other = "é" * 3000, "x" * 4000
+    rows = [(1, "u", long), (7, "u", long), (7, "u", long), (7, "v", long), (1, "u", long), (None, "u", long),
+            (None, "w", other), (None, "w", other), (3, "u", "short"), (3, "u", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"), segment=700, min_revisit=min_revisit)
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) == len({r.name for r in got}) and all(r.problem is None for r in got)
+    kinds = sorted((str(r.page), r.kind) for r in got)
+    if min_revisit:
+        assert {k for _, k in kinds} == {"response"}
+    else:
+        assert kinds == sorted([("1", "revisit")] * 2 + [("7", "response")] * 3 + [("None", "revisit")]
+                               + [("None", "response")] * 2 + [("3", "response")] * 2)
+    text = {None: other, "3": "short"}
+    assert all(r.payload.decode() in (long, text.get(r.page)) for r in got if r.kind == "response")
+    names = {r.name: r for r in got}
+    assert all(names[r.refers_to].payload.decode() == long for r in got if r.kind == "revisit")
+
+
 def test_small_payloads_are_no_revisits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")],
                                   "page_id long, url string, html string")
