@@ -1,8 +1,8 @@
 """Corpus pipeline: each stage gets the documents its predecessor kept.
 
-All stages but the last return the columns of documents. Documents are told apart by
-doc_id: rows that repeat one stay or go together, and rows without one go only where
-a stage says so.
+All stages but the last return the columns of documents. Each row stays or goes by its own
+text's decision: rows are told apart by a number that is checkpointed with them, so neither
+a null doc_id nor another row with the same one matters.
 """
 
 from __future__ import annotations
@@ -10,29 +10,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ixpanel.llm import decontaminate, language, pieces, pii, simhash
-from ixpanel.llm.common import table
+from ixpanel.llm.common import cut, prepare, table
 
 MIN_SHARE = 0.4       # a document with a smaller share of words in its main language is rejected
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id (a number for each row), text, and row (the row as it was)."""
+    prepare(docs.sparkSession)
+    return cut(docs.select(F.monotonically_increasing_id().alias("doc_id"),
+                           F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))).select(
+        "doc_id", F.col("row.text").alias("text"), "row")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a main language, go."""
-    found = language.identify(docs, language.learn(docs))
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SHARE)))
+    rows = _numbered(docs)
+    found = language.identify(rows, language.learn(docs))
+    return _without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SHARE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id != component_id"))
+    """Of each group of near copies the rows with the smallest doc_id stay; where none has a doc_id,
+    one row."""
+    rows = _numbered(docs)
+    # The least of these is the smallest doc_id, and a null one only if there is no other.
+    ranked = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"),
+                      F.col("doc_id").alias("number"))
+    found = simhash.near_duplicates(rows.select(ranked.alias("doc_id"), "text"))
+    stays = F.when(F.col("doc_id.none"), F.col("doc_id.number") == F.col("component_id.number")).otherwise(
+        F.col("doc_id.id") == F.col("component_id.id"))
+    return _without(rows, found.where(~stays).select(F.col("doc_id.number").alias("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return _without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("size(hits) > 0"))
+    """Documents that hold a window of a benchmark item go, whether or not the item has a number."""
+    rows = _numbered(docs)
+    found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"), unnumbered=True)
+    return _without(rows, found.where("size(hits) > 0"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ its hits to those of the passes before.
 Defined results: a null or empty text has no words (n_words 0, not
 contaminated); an item without words is never found; items with equal texts
 are all found; repeated rows each keep their row; an empty benchmark finds
-nothing; item numbers are sorted and joined as strings, null ones left out.
+nothing; item numbers are sorted and joined as strings, null ones left out. Items with a
+null number are searched on request only; the query and the pipeline do.
 """
 
 from __future__ import annotations
@@ -102,17 +103,19 @@ def _merged(ranges) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(window, items): distinct windows, words joined by spaces, with the item numbers as strings."""
+def windows(benchmark: DataFrame, size: int = WINDOW, unnumbered: bool = False) -> DataFrame:
+    """(window, items): distinct windows, words joined by spaces, with the item numbers as strings;
+    unnumbered: those of items with a null number as well, whose number stays null."""
     words = F.filter(F.split(F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                                          "abcdefghijklmnopqrstuvwxyz"),
                              r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where(
-        "item is not null and size(words) > 0")
+        ("" if unnumbered else "item is not null and ") + "size(words) > 0")
     cutout = item.select("item", "words", F.explode(F.sequence(
         F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))).alias("at"))
     return (cutout.select("item", F.array_join(F.slice("words", F.col("at"), size), " ").alias("window"))
-            .groupBy("window").agg(F.collect_set("item").alias("items")))
+            .groupBy("window").agg(F.collect_set(F.struct("item")).alias("items")).select("window", "items.item")
+            .withColumnRenamed("item", "items"))
 
 
 def _pass(bc):
@@ -128,7 +131,7 @@ def _pass(bc):
                     ranges += [(h["begin"], h["end"]) for h in old_hits]
                 n_words.append(len(words))
                 hits.append([{"begin": a, "end": b} for a, b in _merged(ranges)])
-                items.append(sorted(found.union(old_items or ())))
+                items.append(sorted(found.union(old_items or ()), key=lambda x: (x is None, x or "")))
             new = {"n_words": pa.array(n_words, pa.int64()),
                    "hits": pa.array(hits, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                    "items": pa.array(items, pa.list_(pa.string()))}
@@ -138,12 +141,13 @@ def _pass(bc):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
-         max_windows: int = MAX_WINDOWS) -> DataFrame:
+         max_windows: int = MAX_WINDOWS, unnumbered: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, hits (ranges of word
-    positions, merged, end exclusive), items (numbers of items with a window in the text)."""
+    positions, merged, end exclusive), items (numbers of items with a window in the text;
+    unnumbered: items with a null number are searched, too, and give one null at the end)."""
     spark = docs.sparkSession
     prepare(spark)
-    every = cut(windows(benchmark, size))
+    every = cut(windows(benchmark, size, unnumbered))
     blocks = max(1, -(-every.count() // max_windows))
     every = every.withColumn("block", F.expr(f"pmod(xxhash64(window), {blocks})"))
     head = f"{field_of(docs, 'doc_id')}, "
@@ -172,7 +176,7 @@ def _last(bc):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnumbered=True)
     n_hit = F.expr("aggregate(hits, 0L, (n, h) -> n + h.end - h.begin)")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -1,9 +1,12 @@
 """The corpus pipeline against plain Python, stage by stage, and its table contract."""
 
+import random
 import re
 
+import duckdb
+
 import corpus_pipeline
-from ixpanel.llm import language, pieces
+from ixpanel.llm import decontaminate, language, pieces
 from ixpanel.llm.common import table
 from test_text_search import brute_components, brute_fingerprint, brute_hits, brute_pii
 
@@ -68,3 +71,36 @@ def test_pipeline_of_odd_tables(spark):
     out = by["pii_redaction"](spark, clash, SF)
     assert out.columns == clash.columns and out.where("not every <=> doc_id or row != 2").count() == 0
     assert by["sentencepiece_encoding"](spark, odd, SF).count() == 6
+
+
+def test_each_row_goes_by_its_own_decision(spark, tmp_path):
+    """Null and repeated numbers neither keep a row nor take another one with them."""
+    schema = table(spark, SF, "documents").schema
+    rng = random.Random(7)
+    other = lambda: " ".join(rng.choice(["all", "of", "the", "words", "in", "this", "and", "that"]) + str(k) for k in range(40))
+    a, b, c = (other() for _ in range(3))
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    got = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    by = dict(corpus_pipeline.STAGES)
+    english = "the words of a row and the text that it has"
+    rows = [(None, "?! 12"), (None, english), (4, "..."), (4, english)]
+    assert got(by["language_id"](spark, make(rows), SF)) == [("4", english), ("None", english)]
+    rows = [(None, a), (2, a), (None, b), (None, b), (2, c), (1, c)]
+    assert got(by["simhash_near_dedup"](spark, make(rows), SF)) == sorted([("2", a), ("None", b), ("1", c)])
+    spark.createDataFrame([(None, "a secret of an item without a number"), (1, "zz yy xx")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "so zz yy xx"), (None, "clean"), (4, "zz yy xx"), (4, "clean"), (5, "A secret of an item without a number")]
+    assert got(by["benchmark_decontamination"](spark, make(rows), str(tmp_path))) == [("4", "clean"), ("None", "clean")]
+
+
+def test_items_without_a_number_contaminate_as_in_the_sql(spark, tmp_path):
+    spark.createDataFrame([(None, "zz yy xx"), (1, "zz yy xx"), (None, "ww vv"), (None, "ww vv")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "so zz yy xx"), (2, "ww vv ww vv"), (3, "clean")],
+                          "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(decontaminate.SQL).fetchall())
+    assert sorted(tuple(r) for r in decontaminate.query(spark, str(tmp_path)).collect()) == want
+    assert [r[5] for r in want] == [True, True, False]
