@@ -25,6 +25,7 @@ segmentation appears once; texts with fewer than N have all they have.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import os
@@ -255,9 +256,15 @@ def _encoder(model_file: str, n: int) -> Encoder:
     return _ENCODERS[model_file, n]
 
 
-def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL) -> DataFrame:
+def _text(pieces: Pieces, ids) -> str | None:
+    return None if ids is None else pieces.decode(ids) if ids else ""
+
+
+def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL, back: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ids of the best segmentation, its score, and
-    the next n - 1 as alternatives: their scores, and what replaces pieces begin to end of ids."""
+    the next n - 1 as alternatives: their scores, and what replaces pieces begin to end of ids.
+    back: the ids are decoded as well: decoded_sha256 (of the text they give, null if that is null)
+    and exact (whether that is the row's text)."""
     def run(batches):
         encoder = _encoder(model_file, n)
         for batch in batches:
@@ -268,12 +275,18 @@ def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL) -> DataFra
                 scores.append(score if text is not None else None)
                 others.append([{"score": s, "edits": [{"begin": a, "end": b, "ids": x} for a, b, x in edits]}
                                for s, edits in alternatives] if text is not None else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.float64()),
-                 pa.array(others, pa.list_(ALTERNATIVE))], ["doc_id", "ids", "score", "alternatives"])
+            columns = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())),
+                       "score": pa.array(scores, pa.float64()), "alternatives": pa.array(others, pa.list_(ALTERNATIVE))}
+            if back:
+                given = [_text(encoder.pieces, x) for x in columns["ids"].to_pylist()]
+                columns["decoded_sha256"] = pa.array(
+                    [None if x is None else hashlib.sha256(x.encode()).hexdigest() for x in given], pa.string())
+                columns["exact"] = pa.array([x == text for x, text in zip(given, texts)], pa.bool_())
+            yield pa.RecordBatch.from_pydict(columns)
 
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"{field_of(docs, 'doc_id')}, {OUT}")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"{field_of(docs, 'doc_id')}, {OUT}" + (", decoded_sha256 string, exact boolean" if back else ""))
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
@@ -282,12 +295,11 @@ def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
         pieces = _encoder(model_file, N_BEST).pieces
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [None if x is None else pieces.decode(x) if x else "" for x in batch.column(1).to_pylist()],
-                pa.string())], ["doc_id", "text"])
+                [_text(pieces, x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     prepare(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"{field_of(encoded, 'doc_id')}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(table(spark, sf_dir, "documents"), back=True)

@@ -1,5 +1,6 @@
 """Language field, piece lattices, vectors, quality, archives and the pipeline."""
 
+import hashlib
 import itertools
 import random
 
@@ -172,6 +173,15 @@ def test_quality_against_labels(spark):
     assert quality.fit(docs(spark, [])) is None and quality.classify(docs(spark, [(1, "x")]), None).first().score == 0.5
 
 
+def test_the_query_decodes_what_it_encodes(spark, tmp_path):
+    texts = [None, "", " two  spaces ", "▁ own mark 😀\n", "the words", "the words"]
+    docs(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in pieces.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(r.exact for r in got.values())
+    assert {i: r.decoded_sha256 for i, r in got.items()} == {
+        i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 # ---------------------------------------------------------------- archives
 
 def test_archive_round_trip(spark, tmp_path):
