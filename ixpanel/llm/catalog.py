@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ixpanel.llm import (chat, decontaminate, embeddings, language, licenses, periodic, pieces, pii, quality,
-                         secret_scan, simhash, warc)
+from ixpanel.llm import (alignment, chat, decontaminate, embeddings, language, licenses, periodic, pieces, pii,
+                         quality, secret_scan, simhash, warc)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_quality_classifier": quality.query,
     "op10_license_scan": licenses.query,
+    "op11_cross_tokenizer_alignment": alignment.query,
     "op12_chat_formatting": chat.query,
     "op13_periodic_runs": periodic.query,
 }
