@@ -144,21 +144,28 @@ PERIOD_RULES = [
     (r"^([0-9]{4})\s+([a-z]+)[.]?$", 1, 2, 0),
     (r"^([0-9]{4})\s+([a-z]+)[.]?\s+([0-9]{1,2})$", 1, 2, 3),
 ]
-QUARTER = r"^(?:([0-9]{4})q([1-4])|([1-4])q([0-9]{4}))$"
+# Quarters: the same, with a month for the quarter's number.
+QUARTER_RULES = [(r"^([0-9]{4})q([1-4])$", 1, 2), (r"^([1-4])q([0-9]{4})$", 2, 1)]
 
 
 def _period_date(s: Column) -> Column:
     """First day or date that a general period text names; null where it names none."""
-    t = F.lower(ustrip(s))
-    words = F.create_map(*[F.lit(x) for w, m in fixed.MONTH_WORDS.items() for x in (w, str(m))])
-    g = lambda p, k: F.regexp_extract(t, p, k)
-    ymd = F.when(t.rlike(QUARTER), F.concat_ws(
-        "-", F.concat(g(QUARTER, 1), g(QUARTER, 4)),
-        (F.concat(g(QUARTER, 2), g(QUARTER, 3)).try_cast("int") * 3 - 2).cast("string"), F.lit("1")))
-    for p, y, m, d in PERIOD_RULES:
-        month = F.when(g(p, m).rlike("^[0-9]+$"), g(p, m)).otherwise(F.element_at(words, g(p, m))) if m else F.lit("1")
-        ymd = ymd.when(t.rlike(p), F.concat(g(p, y), F.lit("-"), month, F.lit("-"), g(p, d) if d else F.lit("1")))
-    found = F.try_to_timestamp(ymd, F.lit("yyyy-M-d"))
+    words = {str(i): i for i in range(1, 13)} | {f"{i:02d}": i for i in range(1, 13)} | fixed.MONTH_WORDS \
+        | {f"q{q}": 3 * q - 2 for q in range(1, 5)}
+    month = F.create_map(*[F.lit(x) for w, m in words.items() for x in (w, str(m))])
+
+    def parts(t):       # year-month-day by the first rule that holds, the month as it is written
+        rules = [(p, f"${y}-q${q}-1") for p, y, q in QUARTER_RULES]
+        rules += [(p, f"${y}-{f'${m}' if m else 1}-{f'${d}' if d else 1}") for p, y, m, d in PERIOD_RULES]
+        out = F
+        for p, text in rules:
+            out = out.when(t.rlike(p), F.regexp_replace(t, p, text))
+        return F.split(out, "-")
+
+    # A lambda names the text and its parts once: written out, the rules are too long to be compiled.
+    ymd = F.transform(F.transform(F.array(F.lower(ustrip(s))), parts), lambda x: F.concat(
+        x[0], F.lit("-"), F.try_element_at(month, x[1]), F.lit("-"), x[2]))
+    found = F.try_to_timestamp(F.get(ymd, 0), F.lit("yyyy-M-d"))
     return F.when(F.year(found).between(1678, 2261), found)
 
 

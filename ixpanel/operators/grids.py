@@ -65,12 +65,26 @@ def header_pairs(cells: DataFrame, fill_merged: bool = False) -> DataFrame:
     return pairs
 
 
+def unmerge(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The cells, with the text of a merged header cell in every column of its range.
+
+    ``ranges``: ``file, sheet, r_raw, c_first, c_last``. Only the first column
+    of a range is stored; each range in the header region is joined with that
+    cell by its place, and makes its other cells, which are blank in the table.
+    """
+    near = ranges.filter((F.col("r_raw") <= fixed.HEADER_SEARCH_LAST_ROW + 1) & (F.col("c_last") > F.col("c_first")))
+    made = (cells.filter(F.col("r_raw") <= fixed.HEADER_SEARCH_LAST_ROW + 1)
+            .join(near.withColumnRenamed("c_first", "c"), [*KEY, "r_raw", "c"])
+            .withColumn("c", F.explode(F.sequence(F.col("c") + 1, F.col("c_last")))))
+    return cells.unionByName(made.select(cells.columns))
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """G1: first row 0…10 with a cell starting with ``expenditure category``."""
     return header_pairs(cells).select(*KEY, "header_r").distinct()
 
 
-def category_column(cells: DataFrame, hdr: DataFrame | None = None) -> DataFrame:
+def category_column(cells: DataFrame) -> DataFrame:
     """Last header-row column whose text contains ``expenditure category``."""
     return (header_pairs(cells).filter(F.col("h").contains(fixed.CATEGORY_HEADER))
             .groupBy(*KEY).agg(F.max("c").alias("cat_c")))
@@ -96,8 +110,7 @@ def _column_map(pairs: DataFrame, targets: DataFrame) -> DataFrame:
         F.max(F.when(h.contains(fixed.CATEGORY_HEADER), F.col("c"))).alias("cat_c"))
 
 
-def column_map(cells: DataFrame, hdr: DataFrame | None, targets: DataFrame,
-               fill_merged: bool = False) -> DataFrame:
+def column_map(cells: DataFrame, targets: DataFrame, fill_merged: bool = False) -> DataFrame:
     """Column of each (adjustment, month) role for every target month.
 
     ``targets``: ``file, sheet, current_month`` (``YYYY-MM``). Output: one
@@ -125,16 +138,16 @@ def sheet_records(cells: DataFrame, targets_by_file: DataFrame,
     ``targets_by_file``: ``file, current_month``. Plan: header facts from the
     bounded header region; one join of the data cells with the small
     per-target role map (category column + mapped month columns); one
-    aggregation per data row; a window per (sheet, month, label) — bounded by
-    the sheet's rows — keeps each label's first row. The SA fallback is
-    column-level: no SA column → the NSA value.
+    aggregation per data row, one per label, which keeps its first row. The
+    SA fallback is column-level: no SA column → the NSA value.
     """
     c1 = first_sheet(cells)
     pairs = header_pairs(c1, fill_merged)
     sheets = pairs.select(*KEY).distinct()
     targets = targets_by_file.join(sheets, "file")
     cmap = _column_map(pairs, targets)
-    roles = cmap.select(*KEY, "current_month", F.inline(F.array(
+    mapped = F.struct(*[F.col(f"c_{r}").isNotNull().alias(r) for r in ROLES]).alias("mapped")
+    roles = cmap.select(*KEY, "current_month", mapped, F.inline(F.array(
         F.struct(F.lit("label").alias("role"), F.col("cat_c").alias("c")),
         *[F.struct(F.lit(r).alias("role"), F.col(f"c_{r}").alias("c")) for r in ROLES]))) \
         .filter(F.col("c").isNotNull())
@@ -142,23 +155,19 @@ def sheet_records(cells: DataFrame, targets_by_file: DataFrame,
              .join(roles, KEY + ["c"])
     per_row = data.groupBy(*KEY, "current_month", "r_raw").agg(
         F.max(F.when(F.col("role") == "label", S.ustrip(F.col("raw")))).alias("label"),
+        F.any_value("mapped").alias("mapped"),
         *[F.max(F.when(F.col("role") == r, S.clean_numeric(F.col("raw")))).alias(f"v_{r}") for r in ROLES])
-    first = (per_row.filter(F.col("label").isNotNull())
-             .withColumn("_k", F.row_number().over(
-                 Window.partitionBy(*KEY, "current_month", "label").orderBy("r_raw")))
-             .filter(F.col("_k") == 1).drop("_k"))
-    rec = first.join(cmap, KEY + ["current_month"])
-    mapped = {r: F.col(f"c_{r}").isNotNull() for r in ROLES}
+    values = F.struct("mapped", *[f"v_{r}" for r in ROLES])
+    rec = (per_row.filter(F.col("label").isNotNull()).groupBy(*KEY, "current_month", "label")
+           .agg(F.min("r_raw").alias("r_raw"), F.min_by(values, "r_raw").alias("v")))
+    nsa = {m: F.when(F.col(f"v.mapped.nsa_{m}"), F.col(f"v.v_nsa_{m}")) for m in ("previous", "current")}
+    sa = {m: F.when(F.col(f"v.mapped.sa_{m}"), F.col(f"v.v_sa_{m}")).otherwise(nsa[m]) for m in nsa}
     return rec.select(
         *KEY, "current_month", "label", "r_raw",
-        F.when(mapped["nsa_previous"], F.col("v_nsa_previous")).alias("nsa_previous"),
-        F.when(mapped["nsa_current"], F.col("v_nsa_current")).alias("nsa_current"),
-        F.when(mapped["sa_previous"], F.col("v_sa_previous"))
-         .otherwise(F.when(mapped["nsa_previous"], F.col("v_nsa_previous"))).alias("sa_previous"),
-        F.when(mapped["sa_current"], F.col("v_sa_current"))
-         .otherwise(F.when(mapped["nsa_current"], F.col("v_nsa_current"))).alias("sa_current"),
-        mapped["nsa_previous"].alias("nsa_previous_mapped"),
-        mapped["nsa_current"].alias("nsa_current_mapped"))
+        nsa["previous"].alias("nsa_previous"), nsa["current"].alias("nsa_current"),
+        sa["previous"].alias("sa_previous"), sa["current"].alias("sa_current"),
+        F.col("v.mapped.nsa_previous").alias("nsa_previous_mapped"),
+        F.col("v.mapped.nsa_current").alias("nsa_current_mapped"))
 
 
 def category_catalogue(cells: DataFrame, n: int | None = None) -> DataFrame:
@@ -177,178 +186,172 @@ def category_catalogue(cells: DataFrame, n: int | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- G4–G8
 
-def _point(df: DataFrame, layout: str, ticker: str, series_id: Column, sa: Column) -> DataFrame:
-    return df.select(
-        *KEY, F.lit(layout).alias("layout"), "r", "c",
-        F.lit(ticker).alias("ticker"), F.col("year").cast("int").alias("year"),
-        F.col("month").cast("int").alias("month"), F.col("value").cast("double").alias("value"),
-        series_id.alias("series_id"), F.lit(fixed.POINT_CATEGORY).alias("category"),
-        F.lit(fixed.POINT_SOURCE).alias("source"), sa.alias("seasonally_adjusted"))
-
-
-def annotate_cells(cells: DataFrame) -> DataFrame:
-    """Per-cell facts used by the layout extractors, computed in one
-    projection so each parse runs once per cell: lower-case text, the
-    Python-float value of numeric cells (F2), the 2020–2030 year (F11),
-    the month named in the text (F3) and in its first three letters."""
-    if "num_ok" in cells.columns:
-        return cells
-    t = F.lower(F.col("raw"))
-    return cells.select(
-        "*", t.alias("t"),
-        S.is_numeric(F.col("raw"), F.col("kind")).alias("num_ok"),
-        S.numeric_value(F.col("raw"), F.col("kind")).alias("num"),
-        F.col("raw").rlike(r"^[0-9]{4}$").alias("is4"),
-        S.four_digit_year(F.col("raw")).alias("yr4"),
-        S.month_from_text(F.col("raw")).alias("mon"),
-        S.month_from_text(F.substring(t, 1, 3)).alias("mon3"))
+POINT = ("layout", "r", "c", "ticker", "year", "month", "value", "series_id", "category", "source",
+         "seasonally_adjusted")
+LAYOUTS = ("year_month", "timeseries", "context")
 
 
-def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
-    """``Year | Jan … Dec`` tables → points.
-
-    Candidate header rows (0…10) contain ``year`` or a four-digit cell. Roles
-    accumulate over candidate rows until a year column and a month column are
-    known: ``hr = greatest(first year row, first month row)``; the year column
-    is the last one seen up to ``hr``, each month column keeps its last month.
-    Data rows are all rows after ``hr``; the year must be all digits.
-
-    The header region (rows 0…10) of a sheet is bounded by the sheet width,
-    so it is hash-partitioned once by sheet and every header step is a window
-    over that partitioning; the result is one row per sheet (header row, year
-    column, month of each column as a map) joined back to the cells.
-    """
-    a = annotate_cells(cells)
-    w_row = Window.partitionBy(*KEY, "r")
-    w_sheet = Window.partitionBy(*KEY)
-    is_year = F.col("t").contains("year")
-    top = (a.filter(F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW)
-           .select(*KEY, "r", "c", "t", "mon", "mon3", "is4")
-           .repartition(*KEY)
-           .withColumn("cand", F.max(is_year | F.col("is4")).over(w_row))
-           .filter("cand")
-           .withColumn("is_year", is_year)
-           .withColumn("mnum", F.when(~is_year & F.col("mon").isNotNull(), F.col("mon3")))
-           .withColumn("ry", F.min(F.when(F.col("is_year"), F.col("r"))).over(w_sheet))
-           .withColumn("rm", F.min(F.when(F.col("mnum").isNotNull(), F.col("r"))).over(w_sheet))
-           # a sheet needs both a year and a month column (greatest() would skip a null)
-           .filter(F.col("ry").isNotNull() & F.col("rm").isNotNull())
-           .withColumn("hr", F.greatest("ry", "rm"))
-           .filter(F.col("r") <= F.col("hr")))
-    months = (top.filter(F.col("mnum").isNotNull()).groupBy(*KEY, "c")
-              .agg(F.max_by("mnum", "r").alias("month")))
-    header = (top.groupBy(*KEY).agg(
-        F.max("hr").alias("hr"),
-        F.max_by(F.when(F.col("is_year"), F.col("c")),
-                 F.when(F.col("is_year"), F.struct("r", "c"))).alias("year_c"))
-        .join(months.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("c", "month")))
-                                       .alias("months")), KEY))
-    body = (a.join(header, KEY).filter(F.col("r") > F.col("hr"))
-            .withColumn("month", F.element_at(F.col("months"), F.col("c"))))
-    year_txt = F.when((F.col("c") == F.col("year_c")) & F.col("raw").rlike(r"^[0-9]+$")
-                      & ~((F.col("kind") == "n") & (F.col("raw").cast("decimal(38,0)") == 0)),
-                      F.col("raw").try_cast("int"))
-    rows = (body.filter((F.col("c") == F.col("year_c")) | (F.col("month").isNotNull() & F.col("num_ok")))
-            .withColumn("year", F.max(year_txt).over(Window.partitionBy(*KEY, "r"))))
-    pts = (rows.filter(F.col("month").isNotNull() & F.col("num_ok") & F.col("year").isNotNull())
-           .select(*KEY, "r", "c", "year", "month", F.col("num").alias("value")))
-    return _point(pts, "year_month", ticker, S.series_label(F.lit(ticker)), F.lit(True))
-
-
-def _has_any(words: list[str]) -> Column:
+def _has_any(t: Column, words: list[str]) -> Column:
     e = F.lit(False)
     for w in words:
-        e = e | F.col("t").contains(w)
+        e = e | t.contains(w)
     return e
 
 
-def timeseries_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
-    """``Date | Value | Series`` tables → points.
+def _month_of_prefix(t: Column) -> Column:
+    """F3 of the first three letters of lower-case text: these are an abbreviation or no month."""
+    abbr = F.create_map(*[F.lit(x) for i, a in enumerate(fixed.MONTH_ABBR, start=1) for x in (a, i)])
+    return F.try_element_at(abbr, F.substring(t, 1, 3))
+
+
+def layout_facts(cells: DataFrame) -> DataFrame:
+    """What the three layouts need to know of each sheet, one row a sheet:
 
-    Header roles (rows 0…9; date words, else value words, else series words)
-    accumulate until date and value are both known; the last match wins. Every
-    later row with a date, a numeric value and a parsable period is a point.
-    No series column → ``''``; blank series cell → the default label.
+    ``hr4, year_c, months`` — G4's header row, year column and month of each
+    column; ``hr5, d_c, v_c, s_c`` — G5's header row and role columns;
+    ``col_month, col_year`` — G6's month and year of each column. Only rows
+    0…10 and four-digit cells are read. They are dealt by sheet once; the
+    lists are bounded by a sheet's width (times 11 rows).
 
-    As in G4, the bounded header region is analysed with windows over one
-    partitioning by sheet; data rows are then pivoted per row in one
-    aggregation.
+    G4: candidate rows contain ``year`` or a four-digit cell; roles accumulate
+    over them until a year column and a month column are known. G5: date
+    words, else value words, else series words; roles accumulate until date
+    and value are known. In both the last match wins.
     """
-    a = annotate_cells(cells)
-    w_sheet = Window.partitionBy(*KEY)
-    is_d = _has_any(fixed.DATE_WORDS)
-    is_v = _has_any(fixed.VALUE_WORDS)
-    is_s = _has_any(fixed.SERIES_WORDS)
-    top = (a.filter(F.col("r") < fixed.SERIES_HEADER_ROWS).select(*KEY, "r", "c", "t")
-           .withColumn("role", F.when(is_d, "d").when(is_v, "v").when(is_s, "s"))
-           .filter(F.col("role").isNotNull())
-           .repartition(*KEY)
-           .withColumn("rd", F.min(F.when(F.col("role") == "d", F.col("r"))).over(w_sheet))
-           .withColumn("rv", F.min(F.when(F.col("role") == "v", F.col("r"))).over(w_sheet))
-           .filter(F.col("rd").isNotNull() & F.col("rv").isNotNull())
-           .withColumn("hr", F.greatest("rd", "rv"))
-           .filter(F.col("r") <= F.col("hr")))
-    header = top.groupBy(*KEY).agg(F.max("hr").alias("hr"), *[
-        F.max_by(F.when(F.col("role") == k, F.col("c")),
-                 F.when(F.col("role") == k, F.struct("r", "c"))).alias(f"{k}_c")
-        for k in ("d", "v", "s")])
-    body = a.join(header, KEY).filter(F.col("r") > F.col("hr")) \
-            .filter(F.col("c").isin(F.col("d_c"), F.col("v_c"), F.col("s_c")))
-    is_dc, is_vc, is_sc = (F.col("c") == F.col("d_c")), (F.col("c") == F.col("v_c")), (F.col("c") == F.col("s_c"))
-    per_row = body.groupBy(*KEY, "r").agg(
-        F.max(F.when(is_dc, F.col("raw"))).alias("date_raw"),
-        F.max(F.when(is_dc, F.col("kind"))).alias("date_kind"),
-        F.max(F.when(is_vc & F.col("num_ok"), F.col("num"))).alias("value"),
-        F.max(F.when(is_vc & F.col("num_ok"), F.lit(1))).alias("has_value"),
-        F.max(F.when(is_sc, F.col("raw"))).alias("series_raw"),
-        F.max("v_c").alias("c"), F.max("s_c").alias("s_c"))
-    p = S.parse_period(F.col("date_raw"), F.col("date_kind"))
-    pts = (per_row.filter(F.col("date_raw").isNotNull() & (F.col("has_value") == 1))
-           .withColumn("p", p)
-           .filter((F.coalesce(F.col("p.year"), F.lit(0)) != 0)
-                   & (F.coalesce(F.col("p.month"), F.lit(0)) != 0))
-           .select(*KEY, "r", "c", F.col("p.year").alias("year"), F.col("p.month").alias("month"),
-                   "value", "s_c", "series_raw"))
-    sid = (F.when(F.col("s_c").isNull(), F.lit(""))
-           .when(F.col("series_raw").isNull(), S.series_label(F.lit(ticker)))
-           .otherwise(F.col("series_raw")))
-    sa = S.seasonal_flag(F.when(F.col("s_c").isNull(), F.lit("")).otherwise(F.col("series_raw")))
-    return _point(pts, "timeseries", ticker, sid, sa)
+    t, r, c = F.lower(F.col("raw")), F.col("r"), F.col("c")
+    is4 = F.col("raw").rlike(r"^[0-9]{4}$")
+    near = F.col("r") <= fixed.HEADER_SEARCH_LAST_ROW
+    role = F.when(r >= fixed.SERIES_HEADER_ROWS, F.lit(None)) \
+            .when(_has_any(t, fixed.DATE_WORDS), "d").when(_has_any(t, fixed.VALUE_WORDS), "v") \
+            .when(_has_any(t, fixed.SERIES_WORDS), "s")
+    columns = (cells.filter(near | is4)
+               .select(*KEY, "r", "c", S.four_digit_year(F.col("raw")).alias("yr4"), F.when(near, F.struct(
+                   r.alias("r"), c.alias("c"), t.contains("year").alias("is_year"), is4.alias("is4"),
+                   role.alias("role"), S.month_from_text(t).alias("mon"), _month_of_prefix(t).alias("mon3"))).alias("top"))
+               .repartition(*KEY)
+               .groupBy(*KEY, "c").agg(F.collect_list("top").alias("top"),
+                                       F.min_by("yr4", F.when(F.col("yr4").isNotNull(), r)).alias("year")))
+    sheets = columns.groupBy(*KEY).agg(F.collect_list(F.struct("c", "top", "year")).alias("cols")) \
+                    .withColumn("top", F.flatten(F.transform("cols", lambda x: x["top"])))
+
+    def rows(cond):
+        return F.transform(F.filter("top", cond), lambda x: x["r"])
+
+    def last_c(cond):       # the last column, of the last row up to the header row
+        return F.array_max(F.transform(F.filter("top", cond), lambda x: F.struct(x["r"], x["c"])))["c"]
+
+    def by_column(value):
+        got = F.transform("cols", lambda x: F.struct(x["c"].alias("c"), value(x).alias("v")))
+        return F.map_from_entries(F.filter(got, lambda x: x["v"].isNotNull()))
+
+    def month(x):
+        return ~x["is_year"] & x["mon"].isNotNull() & x["mon3"].isNotNull() & F.array_contains("cand", x["r"])
+
+    def plays(role, up_to=None):
+        return lambda x: (x["role"] == role) & (x["r"] <= up_to) if up_to is not None else x["role"] == role
+
+    first = {k: F.array_min(rows(plays(k))) for k in "dv"}
+    sheets = sheets.withColumn("cand", F.array_distinct(rows(lambda x: x["is_year"] | x["is4"])))
+    sheets = sheets.select(
+        *KEY, "cols", "top", "cand",
+        # greatest() skips a null, + doesn't: both must be known
+        F.when((F.array_min(rows(lambda x: x["is_year"])) + F.array_min(rows(month))).isNotNull(),
+               F.greatest(F.array_min(rows(lambda x: x["is_year"])), F.array_min(rows(month)))).alias("hr4"),
+        F.when((first["d"] + first["v"]).isNotNull(), F.greatest(first["d"], first["v"])).alias("hr5"))
+    return sheets.select(
+        *KEY, "hr4", "hr5",
+        last_c(lambda x: x["is_year"] & (x["r"] <= F.col("hr4"))).alias("year_c"),
+        by_column(lambda x: F.array_max(F.transform(
+            F.filter(x["top"], lambda y: month(y) & (y["r"] <= F.col("hr4"))),
+            lambda y: F.struct(y["r"], y["mon3"])))["mon3"]).alias("months"),
+        *[last_c(plays(k, F.col("hr5"))).alias(f"{k}_c") for k in "dvs"],
+        by_column(lambda x: F.array_min(F.transform(
+            F.filter(x["top"], lambda y: y["mon"].isNotNull() & (y["r"] < fixed.CONTEXT_MONTH_ROWS)),
+            lambda y: F.struct(y["r"], y["mon"])))["mon"]).alias("col_month"),
+        by_column(lambda x: x["year"]).alias("col_year"))
+
+
+def _sheet_rows(cells: DataFrame) -> DataFrame:
+    """One row per sheet row, from one pass over the cells: the row's year for G4 and for G6, G5's
+    cells, and the numeric cells with what their columns say (bounded by the sheet's width)."""
+    raw, kind, r, c = (F.col(x) for x in ("raw", "kind", "r", "c"))
+    zero = (kind == "n") & (raw.cast("decimal(38,0)") == 0)
+    year4 = F.when((r > F.col("hr4")) & (c == F.col("year_c")) & raw.rlike(r"^[0-9]+$") & ~zero, raw.try_cast("int"))
+
+    def below(column, value):
+        return F.when((r > F.col("hr5")) & (c == F.col(column)), value)
+
+    cell = cells.join(layout_facts(cells), KEY).select(
+        *KEY, "r", "c", "v_c", "s_c", S.is_numeric(raw, kind).alias("num_ok"), S.numeric_value(raw, kind).alias("num"),
+        year4.alias("year4"), S.four_digit_year(raw).alias("yr4"),
+        below("d_c", raw).alias("date_raw"), below("d_c", kind).alias("date_kind"),
+        below("v_c", F.lit(True)).alias("is_v"), below("s_c", raw).alias("series_raw"),
+        F.when(r > F.col("hr4"), F.try_element_at("months", c)).alias("month4"),
+        F.try_element_at("col_month", c).alias("month6"), F.try_element_at("col_year", c).alias("col_year"))
+    value = F.when(F.col("is_v") & F.col("num_ok"), F.struct(F.col("num").alias("num")))
+    return cell.groupBy(*KEY, "r").agg(
+        F.max("year4").alias("year4"), F.min_by("yr4", F.when(F.col("yr4").isNotNull(), c)).alias("row_year"),
+        F.max("date_raw").alias("date_raw"), F.max("date_kind").alias("date_kind"), F.max(value).alias("value"),
+        F.max("series_raw").alias("series_raw"), F.max("v_c").alias("v_c"), F.max("s_c").alias("s_c"),
+        F.collect_list(F.when(F.col("num_ok"), F.struct(
+            "c", "num", "month4", "month6", "col_year"))).alias("nums"))
+
+
+def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False, layouts=LAYOUTS) -> DataFrame:
+    """G4 ∪ G5 ∪ G6 as UNION ALL (a cell found by two layouts appears
+    twice, as in the original), from one pass over the cells. ``dedup=True``
+    keeps one row per cell and period instead."""
+    def point(layout, c, year, month, value, series_id, sa):
+        return F.struct(*(x.alias(n) for n, x in zip(POINT, (
+            F.lit(layout), F.col("r"), c, F.lit(ticker), year.cast("int"), month.cast("int"), value.cast("double"),
+            series_id, F.lit(fixed.POINT_CATEGORY), F.lit(fixed.POINT_SOURCE), sa))))
+
+    label, p = S.series_label(F.lit(ticker)), F.col("p")
+    rows = _sheet_rows(cells)
+    found = []
+    if "year_month" in layouts:
+        found.append(F.transform(
+            F.filter("nums", lambda x: x["month4"].isNotNull() & F.col("year4").isNotNull()),
+            lambda x: point("year_month", x["c"], F.col("year4"), x["month4"], x["num"], label, F.lit(True))))
+    if "timeseries" in layouts:
+        # No series column: no text; a blank series cell: the default label, and its flag.
+        sid = F.when(F.col("s_c").isNull(), F.lit("")).otherwise(F.coalesce("series_raw", label))
+        sa = S.seasonal_flag(F.when(F.col("s_c").isNull(), F.lit("")).otherwise(F.col("series_raw")))
+        rows = rows.withColumn("p", F.when(F.col("date_raw").isNotNull() & F.col("value").isNotNull(),
+                                           S.parse_period(F.col("date_raw"), F.col("date_kind"))))
+        found.append(F.filter(F.array(point("timeseries", F.col("v_c"), p["year"], p["month"], F.col("value.num"), sid, sa)),
+                              lambda x: (F.coalesce(x["year"], F.lit(0)) != 0) & (F.coalesce(x["month"], F.lit(0)) != 0)))
+    if "context" in layouts:
+        year = lambda x: F.coalesce("row_year", x["col_year"])
+        found.append(F.transform(
+            F.filter("nums", lambda x: x["month6"].isNotNull() & year(x).isNotNull()),
+            lambda x: point("context", x["c"], year(x), x["month6"], x["num"], label, F.lit(True))))
+    out = rows.select(*KEY, F.inline(F.concat(*found) if len(found) > 1 else found[0])).select(POINT_COLS)
+    if dedup:
+        out = out.dropDuplicates(["file", "sheet", "r", "c", "year", "month"])
+    return out
 
 
-def year_month_context(cells: DataFrame) -> DataFrame:
-    """For every numeric cell, the year of its row (leftmost four-digit
-    cell in 2020…2030), else of its column (topmost), and the month of its
-    column (first month text in rows 0…4). Three keyed aggregates + joins."""
-    a = annotate_cells(cells)
-    ycells = a.filter(F.col("yr4").isNotNull()).select(*KEY, "r", "c", "yr4")
-    row_year = ycells.groupBy(*KEY, "r").agg(F.min_by("yr4", "c").alias("row_year"))
-    col_year = ycells.groupBy(*KEY, "c").agg(F.min_by("yr4", "r").alias("col_year"))
-    col_month = (a.filter((F.col("r") < fixed.CONTEXT_MONTH_ROWS) & F.col("mon").isNotNull())
-                 .groupBy(*KEY, "c").agg(F.min_by("mon", "r").alias("col_month")))
-    num = a.filter("num_ok").select(*KEY, "r", "c", F.col("num").alias("value"))
-    return (num.join(row_year, KEY + ["r"], "left")
-            .join(col_year, KEY + ["c"], "left")
-            .join(col_month, KEY + ["c"], "left")
-            .select(*KEY, "r", "c", "value",
-                    F.coalesce("row_year", "col_year").alias("year"),
-                    F.col("col_month").alias("month")))
+def year_month_unpivot(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
+    """``Year | Jan … Dec`` tables → points. Data rows are all rows after the header; the year
+    must be all digits."""
+    return union_layouts(cells, ticker, layouts=("year_month",))
+
+
+def timeseries_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
+    """``Date | Value | Series`` tables → points: every row after the header with a date, a
+    numeric value and a period."""
+    return union_layouts(cells, ticker, layouts=("timeseries",))
 
 
 def context_extract(cells: DataFrame, ticker: str = "cpi") -> DataFrame:
     """Numeric cells with a year and a month from their context."""
-    ctx = year_month_context(cells).filter(F.col("year").isNotNull() & F.col("month").isNotNull())
-    return _point(ctx, "context", ticker, S.series_label(F.lit(ticker)), F.lit(True))
+    return union_layouts(cells, ticker, layouts=("context",))
 
 
-def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False) -> DataFrame:
-    """G4 ∪ G5 ∪ G6 as UNION ALL (a cell found by two layouts appears
-    twice, as in the original). ``dedup=True`` keeps one row per cell and
-    period instead."""
-    a = annotate_cells(cells)
-    out = (year_month_unpivot(a, ticker)
-           .unionByName(timeseries_extract(a, ticker))
-           .unionByName(context_extract(a, ticker)))
-    if dedup:
-        out = out.dropDuplicates(["file", "sheet", "r", "c", "year", "month"])
-    return out
+def year_month_context(cells: DataFrame) -> DataFrame:
+    """For every numeric cell, the year of its row (leftmost four-digit cell in 2020…2030), else
+    of its column (topmost), and the month of its column (first month text in rows 0…4)."""
+    return (_sheet_rows(cells).select(*KEY, "r", "row_year", F.inline("nums"))
+            .select(*KEY, "r", "c", F.col("num").alias("value"),
+                    F.coalesce("row_year", "col_year").alias("year"), F.col("month6").alias("month")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -15,11 +15,31 @@ def resolve(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("url", url).withColumn("filename", S.url_filename(F.col("url")))
 
 
-def workbook_links(anchors: DataFrame, as_of_month: str) -> DataFrame:
+MAX_RULES = 200          # patterns become one expression each
+
+
+def rule_table(rules: DataFrame) -> list[tuple[int, str, str]]:
+    """F12 as a table: ``priority, field`` (``href`` or ``text``), ``pattern`` (a regular expression to
+    be found there). At most MAX_RULES rows; a greater table is an error, not cut."""
+    rows = rules.select("priority", "field", "pattern").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES or any(r.field not in ("href", "text") for r in rows):
+        raise ValueError(f"at most {MAX_RULES} rules, on href or text")
+    return [tuple(r) for r in rows]
+
+
+def rule_priority(rules: list[tuple[int, str, str]]) -> Column:
+    """The least priority among the rules that hold; null if none does. The patterns are compiled once."""
+    found = [F.when(F.coalesce(F.col(field), F.lit("")).rlike(pattern), F.lit(priority))
+             for priority, field, pattern in rules]
+    return F.array_min(F.array(*found)) if found else F.lit(None).cast("int")
+
+
+def workbook_links(anchors: DataFrame, as_of_month: str, rules: list[tuple[int, str, str]] | None = None) -> DataFrame:
     """F12 + F6 + F10: anchors that look like index workbooks, with priority
-    and the month read from text and file name (``as_of_month`` when none)."""
+    and the month read from text and file name (``as_of_month`` when none).
+    ``rules`` (``rule_table``) take the place of the service's own."""
     r = resolve(anchors)
-    pr = S.link_priority(F.col("href"), F.col("text"))
+    pr = S.link_priority(F.col("href"), F.col("text")) if rules is None else rule_priority(rules)
     out = (r.withColumn("priority", pr).filter(F.col("priority").isNotNull())
            .withColumn("date", S.date_from_text(F.concat_ws(" ", F.col("text"), F.col("filename")),
                                                 F.lit(as_of_month))))

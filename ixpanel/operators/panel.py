@@ -97,10 +97,10 @@ def recent_periods(points: DataFrame, n: int = fixed.RECENT_PERIODS,
     """Keep rows of the latest ``n`` (year, month) periods.
 
     Rows with a null or zero year or month are dropped. Without ``by`` the
-    distinct periods are reduced to the top ``n`` (at most ``n`` rows, so the
-    semi-join side is bounded by ``n``) and broadcast. With ``by`` (e.g. per
-    file) the distinct periods per group — one row per month, bounded — are
-    ranked in a window.
+    distinct periods are reduced to the top ``n`` (at most ``n`` rows) for a
+    semi-join. With ``by`` (e.g. per file, bounded by the file) periods are
+    ranked in a window, in one pass over the points; Spark keeps the ranks up
+    to ``n`` of each task before it shuffles.
     """
     ok = points.filter(F.coalesce(F.col("year"), F.lit(0)) != 0) \
                .filter(F.coalesce(F.col("month"), F.lit(0)) != 0)
@@ -108,10 +108,8 @@ def recent_periods(points: DataFrame, n: int = fixed.RECENT_PERIODS,
         top = (ok.select("year", "month").distinct()
                .orderBy(F.desc("year"), F.desc("month")).limit(n))
         return ok.join(top, ["year", "month"], "left_semi")
-    periods = ok.select(*by, "year", "month").distinct()
     w = Window.partitionBy(*by).orderBy(F.desc("year"), F.desc("month"))
-    top = periods.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
-    return ok.join(top, [*by, "year", "month"], "left_semi")
+    return ok.withColumn("_k", F.dense_rank().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
 def limit_head(df: DataFrame, n: int, *order) -> DataFrame:
@@ -119,6 +117,14 @@ def limit_head(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """R9 per group: the first ``n`` rows of each group by ``order`` (end it with a unique key), with
+    their position ``rank``. Each task keeps at most ``n`` rows of a group before the shuffle, so a
+    hot group costs ``n`` rows a task."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def panel_sort(df: DataFrame, *ties: str) -> DataFrame:
     """Order by category, date, adjustment, then ``ties`` (range-partitioned
     sort; unique last keys let a popular category and month split)."""
@@ -135,6 +141,29 @@ def panel_profile(panel: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("adjustment")), ",").alias("adjustments"))
 
 
+def profile_partial(panel: DataFrame, batch: str) -> tuple[DataFrame, DataFrame]:
+    """R12 in parts: one row per ``batch`` (counts, extremes, a sketch of the categories), and the
+    batches' distinct (batch, category, adjustment). Both are kept; ``merge_profiles`` reads them
+    instead of the panel."""
+    parts = panel.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.hll_sketch_agg("category").alias("categories"))
+    return parts, panel.select(batch, "category", "adjustment").distinct()
+
+
+def merge_profiles(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """R12 from the parts of any batches, without their rows: exact, and the sketch's estimate
+    (``about_categories``), which needs the parts alone."""
+    names = sets.agg(F.countDistinct("category").alias("n_categories"),
+                     F.array_join(F.sort_array(F.collect_set("adjustment")), ",").alias("adjustments"))
+    one = parts.agg(F.sum("n_rows").alias("n_rows"), F.min("first_date").alias("first_date"),
+                    F.max("last_date").alias("last_date"),
+                    F.hll_sketch_estimate(F.hll_union_agg("categories")).alias("about_categories"))
+    return one.select(F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
+                      names.select("n_categories").scalar().alias("n_categories"), "first_date", "last_date",
+                      names.select("adjustments").scalar().alias("adjustments"), "about_categories")
+
+
 def numeric_quality(cells: DataFrame, by: str = "category") -> DataFrame:
     """Per group, cells that parse, placeholders and unparsable text."""
     v = S.clean_numeric(F.col("raw"))

@@ -52,13 +52,10 @@ def route_by_date(exploded: DataFrame) -> DataFrame:
     return exploded.withColumn("file", F.concat(F.lit("cpi-u-"), ym, F.lit(".xlsx")))
 
 
-def route_latest(exploded: DataFrame, file: str) -> DataFrame:
-    """Send every request to the newest workbook whatever its month, as the
-    service does: a name found there is found, and months the workbook doesn't
-    map have null values. The name hangs on a column, else the optimizer would
-    fold joins on it into products."""
-    nothing = F.coalesce(F.substring("date", 1, 0), F.lit(""))
-    return exploded.withColumn("file", F.concat(F.lit(file), nothing))
+def route_latest(exploded: DataFrame, newest: DataFrame) -> DataFrame:
+    """Send every request to the newest workbook (``file``, one row at most) whatever its month, as
+    the service does: a name found there is found, and months the workbook doesn't map have null values."""
+    return exploded.withColumn("file", newest.select("file").scalar())
 
 
 def month_of_workbook(cells: DataFrame) -> DataFrame:
@@ -154,8 +151,7 @@ def answer(cells: DataFrame, requests: DataFrame, form: str = "batch",
     if newest is None:
         looked_up = lookup(cells, route_by_date(exploded), targets=month_of_workbook(cells))
     else:
-        first = newest.first()
-        looked_up = lookup(cells.join(newest.select("file"), "file", "left_semi"),
-                           route_latest(exploded, first["file"] if first else ""))
+        looked_up = lookup(cells.filter(F.col("file") == newest.select("file").scalar()),
+                           route_latest(exploded, newest))
     wide = found_records(looked_up)
     return checked, looked_up, wide, P.long_format(wide)

@@ -16,7 +16,9 @@ from ..operators import grids as G
 from ..operators import links as LK
 from ..operators import panel as P
 from ..operators import requests as RQ
+from ..operators.asof import asof_join
 from ..session import scratch_path
+from ..sources import cells as SC
 from ..sources import files as FS
 from ..sources import links as SL
 from ..sources import workbook as WB
@@ -80,17 +82,24 @@ def q_header_row(spark, d):
 
 @register("category_column")
 def q_category_column(spark, d):
-    c1 = G.first_sheet(_sheet(spark, d))
-    return G.category_column(c1, G.header_rows(c1))
+    return G.category_column(G.first_sheet(_sheet(spark, d)))
 
 
 @register("column_map")
 def q_column_map(spark, d):
     cells = _sheet(spark, d)
     c1 = G.first_sheet(cells)
-    hdr = G.header_rows(c1)
-    targets = _own_month_targets(cells).join(hdr.select("file", "sheet"), "file")
-    return G.column_map(c1, hdr, targets)
+    targets = _own_month_targets(cells).join(G.header_rows(c1).select("file", "sheet"), "file")
+    return G.column_map(c1, targets)
+
+
+@register("merged_headers")
+def q_merged_headers(spark, d):
+    """G2 where the sheets' merged ranges are known: the other columns of a range have its text."""
+    cells = _sheet(spark, d)
+    c1 = G.unmerge(G.first_sheet(cells), V.merged_ranges(spark, d))
+    targets = _own_month_targets(cells).join(G.header_rows(c1).select("file", "sheet"), "file")
+    return G.column_map(c1, targets)
 
 
 @register("sheet_records")
@@ -112,7 +121,9 @@ def q_sheet_long(spark, d):
 
 @register("sa_fallback")
 def q_sa_fallback(spark, d):
-    cells = _sheet(spark, d).filter(~F.col("c").isin(5, 6))
+    """No column of any sheet counts as adjusted."""
+    cells = _sheet(spark, d).withColumn("raw", F.when(
+        F.col("raw") == "Seasonally adjusted indexes", "Other indexes").otherwise(F.col("raw")))
     return G.sheet_records(cells, _own_month_targets(cells)).select(
         "file", "label", "current_month", "nsa_previous", "nsa_current", "sa_previous", "sa_current")
 
@@ -133,6 +144,15 @@ def q_request_valid(spark, d):
                           F.col("reason").isNull().alias("valid"), "reason")
 
 
+@register("request_limits")
+def q_request_limits(spark, d):
+    """F13 in the service's two request forms, each with its own limit."""
+    r = V.limit_requests(spark, d)
+    forms = [RQ.validate(r, form).withColumn("form", F.lit(form)) for form in ("get", "post")]
+    return forms[0].unionByName(forms[1]).select(
+        "request_id", "form", "date", "n_categories", F.col("reason").isNull().alias("valid"), "reason")
+
+
 @register("category_list")
 def q_category_list(spark, d):
     checked = RQ.validate(V.requests(spark, d))
@@ -153,7 +173,7 @@ def q_category_lookup(spark, d):
     checked = RQ.validate(V.requests(spark, d))
     routed = RQ.route_by_date(RQ.explode_valid(checked))
     c1 = G.first_sheet(cells)
-    first = G.category_first_rows(c1, G.category_column(c1, G.header_rows(c1)))
+    first = G.category_first_rows(c1, G.category_column(c1))
     q, f = routed.alias("q"), first.alias("f")
     j = q.join(f, (F.col("q.file") == F.col("f.file")) & (F.col("q.ticker") == F.col("f.label")))
     return j.select("q.request_id", "q.ord", "q.ticker", "q.file", "f.r_raw")
@@ -255,25 +275,38 @@ def q_layout_stats(spark, d):
     return P.layout_stats(_points(spark, d))
 
 
+def _stored(spark, cells, tag):
+    """``cells`` written as a stored cell table under the shared checkpoint folder, and read from there."""
+    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    SC.write_cells(cells, path)
+    return SC.read_cells(spark, path)
+
+
 @register("latest_points")
 def q_latest_points(spark, d):
-    from ..sources import files as FS
+    """R18 on the stored cell table: only the newest workbook's part is read."""
     latest = FS.latest_file(V.points_manifest(spark, d)).select("file")      # one row
-    cells = _pcells(spark, d).join(latest, "file", "left_semi")
-    pts = P.recent_periods(G.union_layouts(cells, "cpi"), 2)
+    cells = SC.of_files(_stored(spark, _pcells(spark, d), "points"), latest)
+    pts = P.recent_periods(G.union_layouts(cells, "cpi"), 2, by=["file"])
     return pts.withColumn("period", S.period_label(F.col("year"), F.col("month")))
 
 
+def _below_header(cells, column):
+    """Cells below the header that are in the column G5 finds for a role."""
+    j = cells.join(G.layout_facts(cells).select("file", "sheet", "hr5", column), ["file", "sheet"])
+    return j.filter((F.col("c") == F.col(column)) & (F.col("r") > F.col("hr5")))
+
+
 @register("parse_period")
 def q_parse_period(spark, d):
-    c = V.series_cells(spark, d).filter((F.col("c") == 0) & (F.col("r") > 0))
+    c = _below_header(V.points_cells(spark, d), "d_c")
     p = S.parse_period(F.col("raw"), F.col("kind"))
     return c.select("file", "r", "raw", p["year"].alias("year"), p["month"].alias("month"))
 
 
 @register("seasonal_flag")
 def q_seasonal_flag(spark, d):
-    c = V.series_cells(spark, d).filter((F.col("c") == 2) & (F.col("r") > 0))
+    c = _below_header(V.points_cells(spark, d), "s_c")
     return c.select("file", "r", "raw", S.seasonal_flag(F.col("raw")).alias("seasonally_adjusted"))
 
 
@@ -325,6 +358,29 @@ def q_latest_file(spark, d):
     return FS.latest_file(V.manifest(spark, d)).select("file", _ts(F.col("mtime")).alias("mtime"))
 
 
+@register("latest_file_by_series")
+def q_latest_file_by_series(spark, d):
+    """S4 per series."""
+    return FS.latest_file(V.series_manifest(spark, d), by=["series"]).select(
+        "series", "file", _ts(F.col("mtime")).alias("mtime"))
+
+
+@register("asof_workbook")
+def q_asof_workbook(spark, d):
+    """S4 and R17 in time: for each request the newest workbook of its series that was there."""
+    found = asof_join(V.timed_requests(spark, d), V.series_manifest(spark, d), ["series"], "asked_at", "mtime",
+                      ["mtime", "file"])
+    return found.select("request_id", "series", _ts(F.col("asked_at")).alias("asked_at"), "file", _ts(F.col("mtime")).alias("mtime"))
+
+
+@register("manifest_changes")
+def q_manifest_changes(spark, d):
+    """S9 in full, for every version of a manifest."""
+    c = FS.snapshot_changes(V.snapshots(spark, d))
+    return c.select("version", "file", "kind", "old_size", "size", _ts(F.col("old_mtime")).alias("old_mtime"),
+                    _ts(F.col("mtime")).alias("mtime"))
+
+
 @register("file_names_desc")
 def q_file_names_desc(spark, d):
     return FS.file_names_desc(V.manifest(spark, d))
@@ -410,28 +466,27 @@ def q_link_target(spark, d):
     return LK.link_target(LK.workbook_links(V.listing(spark, d), AS_OF_MONTH), TARGET_MONTH)
 
 
-# ---------------------------------------------------------------- workbook files and sinks
-
-
-def _roundtrip_cells(spark, cells, tag):
-    """Write ``cells`` as workbook files into a fresh folder under the shared
-    checkpoint folder and read every sheet back with the workbook source."""
-    out = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
-    WB.write_workbooks(cells, out).write.format("noop").mode("overwrite").save()
-    return WB.read_cells(spark, out)
+# ---------------------------------------------------------------- stored cells and sinks
 
 
 @register("scan_first_sheet")
 def q_scan_first_sheet(spark, d):
-    cells = _roundtrip_cells(spark, V.sheet_cells(spark, d), "sheets")
+    cells = _stored(spark, V.sheet_cells(spark, d), "sheets")
     return G.sheet_records(cells, _own_month_targets(cells)).drop(
         "nsa_previous_mapped", "nsa_current_mapped")
 
 
 @register("scan_all_sheets")
 def q_scan_all_sheets(spark, d):
-    cells = _roundtrip_cells(spark, V.points_cells(spark, d), "points")
-    return G.union_layouts(cells, "cpi")
+    return G.union_layouts(_stored(spark, V.points_cells(spark, d), "points"), "cpi")
+
+
+@register("records_parquet")
+def q_records_parquet(spark, d):
+    wide = _batch(spark, d)[2]
+    out = scratch_path(spark, f"records-{uuid.uuid4().hex}")
+    WB.records_out(wide, out)
+    return spark.read.schema(wide.schema).parquet(out)
 
 
 @register("records_out")
@@ -446,17 +501,17 @@ def q_records_out(spark, d):
 
 
 def _drop_panel(spark, d, tag):
-    """Write the panel as several Parquet files (dealt by category and date, so
-    none holds a year) into a fresh drop folder under the shared checkpoint folder."""
+    """Write the panel's publications as several Parquet files into a fresh drop folder under the
+    shared checkpoint folder, dealt so that a later one may arrive first."""
     root = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
-    V.panel(spark, d).repartition(6, "category", "date").write.parquet(f"{root}/drop")
+    V.publications(spark, d).repartition(6, "category", "date", "published").write.parquet(f"{root}/drop")
     return root
 
 
 @register("stream_ingest")
 def q_stream_ingest(spark, d):
     root = _drop_panel(spark, d, "stream-ingest")
-    q = ST.stream_ingest(spark, f"{root}/drop", f"{root}/table", f"{root}/ckpt",
+    q = ST.stream_ingest(spark, f"{root}/drop", f"{root}/table", f"{root}/ckpt", schema=ST.PUBLISHED_SCHEMA,
                          max_files_per_trigger=2)
     q.awaitTermination()
     return ST.read_table(spark, f"{root}/table")
@@ -466,11 +521,20 @@ def q_stream_ingest(spark, d):
 def q_stream_latest(spark, d):
     root = _drop_panel(spark, d, "stream-latest")
     q = ST.stream_latest(spark, f"{root}/drop", f"{root}/table", f"{root}/latest",
-                         f"{root}/ckpt", n=2, max_files_per_trigger=2)
+                         f"{root}/ckpt", n=2, schema=ST.PUBLISHED_SCHEMA, max_files_per_trigger=2)
     q.awaitTermination()
     return ST.read_latest(spark, f"{root}/latest")
 
 
+@register("panel_profile_merged")
+def q_panel_profile_merged(spark, d):
+    """R12 from the parts of each year, merged."""
+    by_year = V.panel(spark, d).withColumn("year", F.substring("date", 1, 4))
+    p = P.merge_profiles(*P.profile_partial(by_year, "year"))
+    near = F.abs(F.col("about_categories") - F.col("n_categories")) <= 0.05 * F.col("n_categories")
+    return p.select("n_rows", "n_categories", "first_date", "last_date", "adjustments", near.alias("estimate_is_near"))
+
+
 # ---------------------------------------------------------------- R9 ordered caps
 
 @register("limit_head")
@@ -481,12 +545,34 @@ def q_limit_head(spark, d):
     return P.limit_head(pts, 3, F.desc("year"), F.desc("month"), "file", "sheet", "layout", "r", "c")
 
 
+@register("top_links")
+def q_top_links(spark, d):
+    """R9 per page: the first 5 links of every listing page."""
+    links = LK.workbook_links(V.listing(spark, d), AS_OF_MONTH)
+    return P.top_per_group(links, ["page_id"], [F.col("priority"), F.desc("date"), F.col("pos")], 5).select(
+        "page_id", "rank", "pos", "filename", "date", "priority")
+
+
+# F12 as a table: other rules than the service's.
+RULES = [(1, "text", r"(?i)\bindex$"), (2, "href", r"(?i)/latest-[0-9]*[02468]\.xlsx?$"), (3, "href", r"(?i)latest"),
+         (9, "text", r"(?i)cpi")]
+
+
+@register("link_rules")
+def q_link_rules(spark, d):
+    rules = spark.createDataFrame(RULES, "priority int, field string, pattern string")
+    return LK.workbook_links(V.listing(spark, d), AS_OF_MONTH, LK.rule_table(rules)).select(
+        "page_id", "pos", "filename", "date", "priority")
+
+
 # ---------------------------------------------------------------- F8, F9 on their own
 
 @register("header_norm")
 def q_header_norm(spark, d):
     """F8 over the header and sub-header rows of every rendered sheet."""
-    c = _sheet(spark, d).filter(F.col("r_raw").isin(3, 4))
+    cells = _sheet(spark, d)
+    c = cells.join(G.header_rows(cells), ["file", "sheet"]) \
+             .filter((F.col("r_raw") - F.col("header_r")).between(0, 1))
     return c.select("file", "r_raw", "c", S.header_norm(F.col("raw")).alias("text"),
                     S.header_norm(F.col("raw"), strip=True).alias("text_stripped"))
 
@@ -499,16 +585,41 @@ def q_series_label(spark, d):
     return m.select("file", ticker.alias("ticker"), S.series_label(ticker).alias("series_id"))
 
 
+def _drop_cells(spark, cells, tag):
+    """Write workbooks' cells as Parquet files, each workbook's in one, into a fresh drop folder."""
+    root = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    cells.repartition(6, "file").write.parquet(f"{root}/drop")
+    return root
+
+
+def _streamed(spark, root):
+    q = ST.stream_workbooks(spark, f"{root}/drop", f"{root}/out", f"{root}/ckpt", max_files_per_trigger=2, fmt="parquet")
+    q.awaitTermination()
+
+
 @register("stream_workbooks")
 def q_stream_workbooks(spark, d):
-    """T1 as the original runs it: new workbook files arrive in a folder and
-    their points are extracted incrementally."""
-    root = scratch_path(spark, f"stream-workbooks-{uuid.uuid4().hex}")
-    WB.write_workbooks(V.points_cells(spark, d), f"{root}/drop").write.format("noop").mode("overwrite").save()
-    q = ST.stream_workbooks(spark, f"{root}/drop", f"{root}/points", f"{root}/ckpt",
-                            max_files_per_trigger=2)
-    q.awaitTermination()
-    return ST.read_table(spark, f"{root}/points")
+    """T1 as the original runs it: new workbooks arrive in a folder and their
+    points are extracted incrementally."""
+    root = _drop_cells(spark, V.points_cells(spark, d), "stream-workbooks")
+    _streamed(spark, root)
+    return ST.read_committed(spark, f"{root}/out", "points")
+
+
+@register("stream_quarantine")
+def q_stream_quarantine(spark, d):
+    """T1 with workbooks that can't be read (every 11th supplier's): what became of each workbook."""
+    cells = V.points_cells(spark, d)
+    broken = F.regexp_extract("file", "([0-9]+)", 1).cast("long") % 11 == 3
+    bad = cells.filter(broken).select("file").distinct().select(
+        "file", *[F.lit(None).cast(t).alias(c) for c, t in cells.dtypes if c not in ("file", "raw", "kind")],
+        F.lit("not a workbook").alias("raw"), F.lit(WB.ERROR).alias("kind")).select(cells.columns)
+    root = _drop_cells(spark, cells.filter(~broken).unionByName(bad), "stream-quarantine")
+    _streamed(spark, root)
+    points = ST.read_committed(spark, f"{root}/out", "points").groupBy("file").agg(F.count(F.lit(1)).alias("n_points"))
+    unreadable = ST.read_committed(spark, f"{root}/out", "unreadable")
+    return points.join(unreadable, "file", "full").select(
+        "file", F.coalesce("n_points", F.lit(0).cast("long")).alias("n_points"), "problem")
 
 
 @register("period_label")

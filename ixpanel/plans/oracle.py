@@ -66,53 +66,59 @@ FROM panel
 
 # ---------------------------------------------------------------- rendered sheets
 # Expected values of the supplemental sheets rendered from the panel: month m
-# holds each category of m at row 6 + rank, with m-1 and m values; every cell
-# hit by the placeholder rule reads back as null.
-
-def _ph(c: int, col: str) -> str:
+# holds each category of m in name order, with m-1 and m values; every cell
+# hit by the placeholder rule reads back as null. The layout v follows the
+# month: h is the header row, o the columns' shift, nc and sc the first column
+# of each pair. v = 3 isn't found; v = 4 has no adjusted columns (they fall
+# back); v = 7 labels only the first column of each pair; in v = 2 the header
+# is below row 6, so its text is a label too.
+
+def _ph(c: str, col: str) -> str:
     return f"CASE WHEN (r_raw * 3 + {c} + mord) % 7 = 0 THEN NULL ELSE CAST({col} AS DOUBLE) END"
 
 
+LAYOUT = """CAST([3, 0, 10, 11, 3, 3, 3, 3][mord % 8 + 1] AS INTEGER) AS h, CASE WHEN mord % 8 = 5 THEN 1 ELSE 0 END AS o,
+         CAST(CASE mord % 8 WHEN 6 THEN 5 WHEN 5 THEN 4 ELSE 3 END AS INTEGER) AS nc,
+         CAST(CASE mord % 8 WHEN 6 THEN 3 WHEN 5 THEN 6 ELSE 5 END AS INTEGER) AS sc, mord % 8 AS v"""
+
 SHEETS = PANEL_WIDE + f""",
+months AS (
+  SELECT date, file, 'Table 7' AS sheet, {LAYOUT}, mord
+  FROM (SELECT DISTINCT date, 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file,
+               CAST(substr(date, 1, 4) AS INTEGER) * 12 + CAST(substr(date, 6, 2) AS INTEGER) AS mord FROM panel_wide)),
 sheet AS (
-  SELECT cur.category, cur.date,
-         'cpi-u-' || replace(cur.date, '-', '') || '.xlsx' AS file,
-         CAST(row_number() OVER (PARTITION BY cur.date ORDER BY cur.category) + 5 AS INTEGER) AS r_raw,
-         CAST(substr(cur.date, 1, 4) AS INTEGER) * 12 + CAST(substr(cur.date, 6, 2) AS INTEGER) AS mord,
+  SELECT cur.category, m.*,
+         CAST(row_number() OVER (PARTITION BY cur.date ORDER BY cur.category) - 1 + greatest(6, m.h + 3) AS INTEGER) AS r_raw,
          {prev_month_sql('cur.date')} AS prev_date,
          cur.nsa AS nsa_cur, cur.sa AS sa_cur, prev.nsa AS nsa_prev, prev.sa AS sa_prev
-  FROM panel_wide cur LEFT JOIN panel_wide prev
+  FROM panel_wide cur JOIN months m USING (date) LEFT JOIN panel_wide prev
     ON prev.category = cur.category AND prev.date = {prev_month_sql('cur.date')}),
+sheet_nsa AS (
+  SELECT *, {_ph('nc', 'nsa_prev')} AS nsa_previous,
+         CASE WHEN v <> 7 THEN {_ph('(nc + 1)', 'nsa_cur')} END AS nsa_current
+  FROM sheet WHERE v <> 3),
 sheet_vals AS (
-  SELECT file, 'Table 7' AS sheet, date AS current_month, prev_date AS previous_month,
-         category AS label, r_raw,
-         {_ph(3, 'nsa_prev')} AS nsa_previous,
-         {_ph(4, 'nsa_cur')} AS nsa_current,
-         {_ph(5, 'sa_prev')} AS sa_previous,
-         {_ph(6, 'sa_cur')} AS sa_current
-  FROM sheet)"""
+  SELECT file, sheet, date AS current_month, prev_date AS previous_month, category AS label, r_raw,
+         nsa_previous, nsa_current,
+         CASE WHEN v = 4 THEN nsa_previous ELSE {_ph('sc', 'sa_prev')} END AS sa_previous,
+         CASE WHEN v = 4 THEN nsa_current WHEN v <> 7 THEN {_ph('(sc + 1)', 'sa_cur')} END AS sa_current
+  FROM sheet_nsa
+  UNION ALL
+  SELECT file, sheet, date, {prev_month_sql('date')}, 'Expenditure category', h, NULL, NULL, NULL, NULL
+  FROM months WHERE v = 2),
+catalogue AS (
+  SELECT file, sheet, r_raw, CASE WHEN v = 5 THEN '1' ELSE category END AS category FROM sheet
+  UNION ALL SELECT file, sheet, h, 'Expenditure category' FROM months WHERE v IN (2, 3))"""
 
-SQL["header_row"] = f"""
-WITH {PANEL_WIDE}
-SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
-       CAST(3 AS INTEGER) AS header_r
-FROM panel_wide
-"""
+SQL["header_row"] = f"WITH {SHEETS} SELECT file, sheet, h AS header_r FROM months WHERE v <> 3"
 
-SQL["category_column"] = f"""
-WITH {PANEL_WIDE}
-SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
-       CAST(1 AS INTEGER) AS cat_c
-FROM panel_wide
-"""
+SQL["category_column"] = f"WITH {SHEETS} SELECT file, sheet, CAST(1 + o AS INTEGER) AS cat_c FROM months WHERE v <> 3"
 
 SQL["column_map"] = f"""
-WITH {PANEL_WIDE}
-SELECT DISTINCT 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file, 'Table 7' AS sheet,
-       date AS current_month,
-       CAST(3 AS INTEGER) AS c_nsa_previous, CAST(4 AS INTEGER) AS c_nsa_current,
-       CAST(5 AS INTEGER) AS c_sa_previous, CAST(6 AS INTEGER) AS c_sa_current
-FROM panel_wide
+WITH {SHEETS}
+SELECT file, sheet, date AS current_month, nc AS c_nsa_previous, CASE WHEN v <> 7 THEN nc + 1 END AS c_nsa_current,
+       CASE WHEN v <> 4 THEN sc END AS c_sa_previous, CASE WHEN v NOT IN (4, 7) THEN sc + 1 END AS c_sa_current
+FROM months WHERE v <> 3
 """
 
 SQL["sheet_records"] = f"""
@@ -133,7 +139,7 @@ WHERE "index" IS NOT NULL AND NOT isnan("index")
 """
 
 SQL["sa_fallback"] = f"""
-WITH {SHEETS}
+WITH {SHEETS}       -- no column counts as adjusted
 SELECT file, label, current_month, nsa_previous, nsa_current,
        nsa_previous AS sa_previous, nsa_current AS sa_current
 FROM sheet_vals
@@ -141,7 +147,7 @@ FROM sheet_vals
 
 SQL["category_catalogue"] = f"""
 WITH {SHEETS}
-SELECT file, sheet, r_raw, label AS category FROM sheet_vals
+SELECT file, sheet, r_raw, category FROM catalogue
 """
 
 # ---------------------------------------------------------------- requests
@@ -270,49 +276,55 @@ FROM j
 
 
 # ---------------------------------------------------------------- other layouts
-# Priority workbooks: sheet "grid" (order counts, Year × month, years +25) and
-# sheet "series" (monthly order value; date text by month; series code by
-# priority, blank every 4th month; no Series column for 5-LOW).
-
-PFILE = "'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) || '.xlsx'"
-
-POINTS = f"""
-pcnt AS (
-  SELECT {PFILE} AS file, o_orderpriority AS p, year(o_orderdate) AS y, month(o_orderdate) AS m,
-         count(*) AS n
-  FROM orders GROUP BY ALL),
+# Suppliers' workbooks: sheet "grid" (shipments, Year × month, years shown
+# later) and sheet "series" (monthly value). By supplier k: header rows h4 and
+# h5, shift o, columns dc, vc and sc, years moved by sh.
+
+POINTS = """
+lm AS (
+  SELECT l_suppkey AS k, date_trunc('month', l_shipdate) AS ms, count(*) AS n,
+         SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS v
+  FROM lineitem GROUP BY ALL),
+bk AS (
+  SELECT k, 'supplier-' || k || '.xlsx' AS file, CAST([1, 11, 0, 10, 3][k % 5 + 1] AS INTEGER) AS h4,
+         CAST([0, 2, 10, 9][k % 4 + 1] AS INTEGER) AS h5, CAST(k % 3 AS INTEGER) AS o,
+         CASE WHEN k % 6 = 5 THEN 20 ELSE 25 END AS sh, CAST([0, 2, 1][k % 3 + 1] AS INTEGER) AS dc,
+         CAST([1, 0, 2][k % 3 + 1] AS INTEGER) AS vc, CAST([2, 1, 0][k % 3 + 1] AS INTEGER) AS sc
+  FROM (SELECT DISTINCT k FROM lm)),
 pyears AS (
-  SELECT file, y, sum(n) AS annual,
-         CAST(dense_rank() OVER (PARTITION BY file ORDER BY y) + 1 AS INTEGER) AS r
-  FROM pcnt GROUP BY file, y),
+  SELECT k, file, h4, o, y, CAST(y + sh AS INTEGER) AS yshow, annual,
+         CAST(h4 + row_number() OVER (PARTITION BY k ORDER BY y) AS INTEGER) AS r
+  FROM (SELECT k, year(ms) AS y, sum(n) AS annual FROM lm GROUP BY ALL) JOIN bk USING (k)),
 gcell AS (
-  SELECT file, r, CAST(m AS INTEGER) AS c, CAST(y + 25 AS INTEGER) AS yshow,
-         CAST(m AS INTEGER) AS month, CAST(n AS DOUBLE) AS value
-  FROM pcnt JOIN pyears USING (file, y)),
-sagg AS (
-  SELECT {PFILE} AS file, substr(o_orderpriority, 1, 1) AS pd, date_trunc('month', o_orderdate) AS ms,
-         SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v
-  FROM orders GROUP BY ALL),
+  SELECT file, h4, r, CAST(o + month(ms) AS INTEGER) AS c, yshow, CAST(month(ms) AS INTEGER) AS month,
+         CAST(n AS DOUBLE) AS value
+  FROM lm JOIN pyears ON pyears.k = lm.k AND y = year(ms)),
 srows AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY ms) AS INTEGER) AS r FROM sagg),
+  SELECT bk.*, ms, v, CAST(h5 + row_number() OVER (PARTITION BY k ORDER BY ms) AS INTEGER) AS r,
+         CASE WHEN month(ms) = 3 THEN strftime(ms, '%Y') || 'M03'
+              WHEN month(ms) % 6 = 0 THEN strftime(ms, '%b %Y')
+              WHEN month(ms) % 5 = 0 THEN strftime(ms, '%Y-%m-%d 00:00:00')
+              ELSE strftime(ms, '%Y-%m') END AS date_text,
+         CASE WHEN k % 5 <> 0 AND month(ms) % 4 <> 0
+              THEN 'SUP' || k || CASE WHEN k % 3 = 1 THEN 'NSA' ELSE 'SA' END END AS code
+  FROM lm JOIN bk USING (k)),
 g4 AS (
   SELECT file, 'grid' AS sheet, 'year_month' AS layout, r, c, 'cpi' AS ticker, yshow AS year, month,
          value, 'CPI_U_CPI' AS series_id, 'Consumer Price Index (CPI-U)' AS category,
          'bls_excel' AS source, true AS seasonally_adjusted
-  FROM gcell),
+  FROM gcell WHERE h4 <= 10),
 g5 AS (
-  SELECT file, 'series' AS sheet, 'timeseries' AS layout, r, CAST(1 AS INTEGER) AS c, 'cpi' AS ticker,
+  SELECT file, 'series' AS sheet, 'timeseries' AS layout, r, vc AS c, 'cpi' AS ticker,
          CAST(year(ms) AS INTEGER) AS year, CAST(month(ms) AS INTEGER) AS month, CAST(v AS DOUBLE) AS value,
-         CASE WHEN pd = '5' THEN '' WHEN month(ms) % 4 = 0 THEN 'CPI_U_CPI'
-              ELSE 'ORD' || pd || CASE WHEN pd IN ('3', '4') THEN 'NSA' ELSE 'SA' END END AS series_id,
+         CASE WHEN k % 5 = 0 THEN '' ELSE coalesce(code, 'CPI_U_CPI') END AS series_id,
          'Consumer Price Index (CPI-U)' AS category, 'bls_excel' AS source,
-         NOT (pd IN ('3', '4') AND month(ms) % 4 <> 0) AS seasonally_adjusted
-  FROM srows WHERE month(ms) <> 3),
+         NOT coalesce(contains(code, 'NSA'), false) AS seasonally_adjusted
+  FROM srows WHERE h5 <= 9 AND month(ms) NOT IN (3, 9)),
 g6 AS (
   SELECT file, 'grid' AS sheet, 'context' AS layout, r, c, 'cpi' AS ticker, yshow AS year, month,
          value, 'CPI_U_CPI' AS series_id, 'Consumer Price Index (CPI-U)' AS category,
          'bls_excel' AS source, true AS seasonally_adjusted
-  FROM gcell WHERE yshow BETWEEN 2020 AND 2030),
+  FROM gcell WHERE h4 <= 4 AND yshow BETWEEN 2020 AND 2030),
 g8 AS (SELECT * FROM g4 UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6)"""
 
 SQL["year_month_unpivot"] = f"WITH {POINTS} SELECT * FROM g4"
@@ -322,21 +334,18 @@ SQL["union_layouts"] = f"WITH {POINTS} SELECT * FROM g8"
 
 SQL["year_month_context"] = f"""
 WITH {POINTS},
-yr AS (SELECT file, r, CASE WHEN y + 25 BETWEEN 2020 AND 2030 THEN CAST(y + 25 AS INTEGER) END AS year,
-              annual FROM pyears)
-SELECT file, 'grid' AS sheet, r, c, value,
-       CASE WHEN yshow BETWEEN 2020 AND 2030 THEN yshow END AS year, month FROM gcell
-UNION ALL
-SELECT file, 'grid', r, CAST(0 AS INTEGER), CAST(year AS DOUBLE), year, CAST(NULL AS INTEGER) FROM yr
-  WHERE year IS NOT NULL
+top AS (SELECT k, min(yshow) AS first_year FROM pyears WHERE yshow BETWEEN 2020 AND 2030 GROUP BY k)
+SELECT file, 'grid' AS sheet, r, c, value, CASE WHEN yshow BETWEEN 2020 AND 2030 THEN yshow END AS year,
+       CASE WHEN h4 <= 4 THEN month END AS month FROM gcell
 UNION ALL
-SELECT p.file, 'grid', p.r, CAST(0 AS INTEGER), CAST(p.y + 25 AS DOUBLE), CAST(NULL AS INTEGER),
-       CAST(NULL AS INTEGER) FROM pyears p WHERE p.y + 25 NOT BETWEEN 2020 AND 2030
+SELECT file, 'grid', r, o, CAST(yshow AS DOUBLE), CASE WHEN yshow BETWEEN 2020 AND 2030 THEN yshow ELSE first_year END,
+       CAST(NULL AS INTEGER) FROM pyears LEFT JOIN top USING (k)
 UNION ALL
-SELECT file, 'grid', r, CAST(13 AS INTEGER), CAST(annual AS DOUBLE), year, CAST(NULL AS INTEGER) FROM yr
+SELECT file, 'grid', r, CAST(o + 13 AS INTEGER), CAST(annual AS DOUBLE),
+       CASE WHEN yshow BETWEEN 2020 AND 2030 THEN yshow END, CAST(NULL AS INTEGER) FROM pyears
 UNION ALL
-SELECT file, 'series', r, CAST(1 AS INTEGER), CAST(v AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER)
-FROM srows
+SELECT file, 'series', r, vc, CAST(v AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER)
+FROM srows WHERE month(ms) <> 9
 """
 
 SQL["recent_periods"] = f"""
@@ -357,7 +366,7 @@ FROM g8 GROUP BY ALL
 
 SQL["latest_points"] = f"""
 WITH {POINTS},
-man AS (SELECT {PFILE} AS file, max(o_orderdate) AS mtime FROM orders GROUP BY ALL),
+man AS (SELECT 'supplier-' || l_suppkey || '.xlsx' AS file, max(l_shipdate) AS mtime FROM lineitem GROUP BY ALL),
 latest AS (SELECT file FROM man ORDER BY mtime DESC, file DESC LIMIT 1),
 pts AS (SELECT * FROM g8 WHERE file IN (SELECT file FROM latest) AND year <> 0 AND month <> 0),
 top AS (SELECT DISTINCT year, month FROM pts ORDER BY year DESC, month DESC LIMIT 2)
@@ -367,30 +376,24 @@ FROM pts SEMI JOIN top USING (year, month)
 
 SQL["parse_period"] = f"""
 WITH {POINTS}
-SELECT file, r,
-       CASE WHEN month(ms) = 3 THEN strftime(ms, '%Y') || 'M03'
-            WHEN month(ms) % 6 = 0 THEN strftime(ms, '%b %Y')
-            ELSE strftime(ms, '%Y-%m') END AS raw,
-       CASE WHEN month(ms) = 3 THEN NULL ELSE CAST(year(ms) AS INTEGER) END AS year,
-       CASE WHEN month(ms) = 3 THEN NULL ELSE CAST(month(ms) AS INTEGER) END AS month
-FROM srows
+SELECT file, r, date_text AS raw, CASE WHEN month(ms) <> 3 THEN CAST(year(ms) AS INTEGER) END AS year,
+       CASE WHEN month(ms) <> 3 THEN CAST(month(ms) AS INTEGER) END AS month
+FROM srows WHERE h5 <= 9
 """
 
 SQL["seasonal_flag"] = f"""
 WITH {POINTS}
-SELECT file, r, 'ORD' || pd || CASE WHEN pd IN ('3', '4') THEN 'NSA' ELSE 'SA' END AS raw,
-       NOT (pd IN ('3', '4')) AS seasonally_adjusted
-FROM srows WHERE pd <> '5' AND month(ms) % 4 <> 0
+SELECT file, r, code AS raw, NOT contains(code, 'NSA') AS seasonally_adjusted
+FROM srows WHERE h5 <= 9 AND code IS NOT NULL
 """
 
 SQL["four_digit_year"] = f"""
 WITH {POINTS}
-SELECT file, 'grid' AS sheet, r, CAST(0 AS INTEGER) AS c, CAST(y + 25 AS INTEGER) AS year
-FROM pyears WHERE y + 25 BETWEEN 2020 AND 2030
+SELECT file, 'grid' AS sheet, r, o AS c, yshow AS year FROM pyears WHERE yshow BETWEEN 2020 AND 2030
 UNION ALL
 SELECT file, 'grid', r, c, CAST(value AS INTEGER) FROM gcell WHERE value BETWEEN 2020 AND 2030
 UNION ALL
-SELECT file, 'grid', r, CAST(13 AS INTEGER), CAST(annual AS INTEGER) FROM pyears
+SELECT file, 'grid', r, CAST(o + 13 AS INTEGER), CAST(annual AS INTEGER) FROM pyears
 WHERE annual BETWEEN 2020 AND 2030
 """
 
@@ -456,12 +459,9 @@ SQL["retention"] = f"""WITH {MANIFEST}
 SELECT file, {TS.format(c='mtime')} AS mtime, 'delete' AS action FROM wb WHERE mtime < {AS_OF} - INTERVAL 30 DAY"""
 
 SQL["file_info"] = """
-WITH pm AS (
-  SELECT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) || '.xlsx' AS file,
-         count(*) AS size, max(o_orderdate) AS mtime
-  FROM orders GROUP BY 1)
-SELECT file, 'grid,series' AS sheets, CAST(2 AS BIGINT) AS n_sheets, size,
-       strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM pm
+SELECT 'supplier-' || l_suppkey || '.xlsx' AS file, 'grid,series' AS sheets, CAST(2 AS BIGINT) AS n_sheets,
+       count(*) AS size, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS mtime
+FROM lineitem GROUP BY l_suppkey
 """
 
 SQL["source_status"] = f"""
@@ -469,8 +469,8 @@ WITH {MANIFEST}, {SHEETS},
 head AS (SELECT count(*) AS n_files, max(mtime) AS mx, arg_max(file, mtime) AS f0 FROM wb),
 lat AS (SELECT file, mtime FROM wb ORDER BY mtime DESC, file DESC LIMIT 1),
 cat AS (SELECT file, count(*) AS n_categories,
-               string_agg(label, ', ' ORDER BY r_raw) FILTER (WHERE r_raw < 16) AS sample_categories
-        FROM sheet_vals GROUP BY file)
+               string_agg(category, ', ' ORDER BY r_raw) FILTER (WHERE r_raw < 16) AS sample_categories
+        FROM catalogue GROUP BY file)
 SELECT head.n_files, lat.file AS latest_file, {TS.format(c='lat.mtime')} AS latest_mtime,
        coalesce(cat.n_categories, 0) AS n_categories, cat.sample_categories,
        lat.file IS NOT NULL AS data_available
@@ -636,43 +636,125 @@ SQL["scan_first_sheet"] = SQL["sheet_records"]
 SQL["scan_all_sheets"] = SQL["union_layouts"]
 SQL["records_out"] = SQL["wide_record"]
 
-SQL["stream_ingest"] = f"WITH {PANEL} SELECT category, date, \"index\", adjustment FROM panel"
+# the newest publication: months that weren't published again stay 1 too low
+PUBLISHED = PANEL + """,
+published AS (
+  SELECT category, date, "index" - CASE WHEN CAST(substr(date, 6, 2) AS INTEGER) % 3 = 0 THEN 1 ELSE 0 END AS "index",
+         adjustment FROM panel)"""
+
+SQL["stream_ingest"] = f"WITH {PUBLISHED} SELECT category, date, \"index\", adjustment FROM published"
 SQL["stream_latest"] = f"""
-WITH {PANEL},
-top AS (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 2)
-SELECT category, date, "index", adjustment FROM panel WHERE date IN (SELECT date FROM top)
+WITH {PUBLISHED},
+top AS (SELECT DISTINCT date FROM published ORDER BY date DESC LIMIT 2)
+SELECT category, date, "index", adjustment FROM published WHERE date IN (SELECT date FROM top)
 """
 
+SQL["panel_profile_merged"] = f"SELECT *, true AS estimate_is_near FROM ({SQL['panel_profile']})"
+
+SQL["stream_quarantine"] = f"""
+WITH {POINTS},
+n AS (SELECT file, count(*) AS n_points FROM g8 GROUP BY file)
+SELECT file, CASE WHEN k % 11 = 3 THEN 0 ELSE n_points END AS n_points,
+       CASE WHEN k % 11 = 3 THEN 'not a workbook' END AS problem
+FROM bk LEFT JOIN n USING (file) WHERE k % 11 = 3 OR n_points IS NOT NULL
+"""
+
+SQL["records_parquet"] = SQL["wide_record"]
+
+SQL["merged_headers"] = f"""
+WITH {SHEETS}
+SELECT file, sheet, date AS current_month, nc AS c_nsa_previous, nc + 1 AS c_nsa_current,
+       CASE WHEN v <> 4 THEN sc END AS c_sa_previous, CASE WHEN v <> 4 THEN sc + 1 END AS c_sa_current
+FROM months WHERE v <> 3
+"""
+
+SQL["request_limits"] = """
+WITH c AS (
+  SELECT l_suppkey AS request_id, strftime(max(l_shipdate), '%Y-%m') AS date,
+         least(count(DISTINCT concat_ws('/', p_brand, CAST(p_size AS VARCHAR), p_type)),
+               [0, 1, 20, 21, 200, 201][l_suppkey % 6 + 1])::INTEGER AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey),
+r AS (
+  SELECT request_id, form, date, n AS n_categories,
+         CASE WHEN n < 1 THEN 'at least one category must be specified'
+              WHEN n > lim THEN 'maximum ' || lim || ' categories' END AS reason
+  FROM c, (VALUES ('get', 20), ('post', 200)) f(form, lim))
+SELECT request_id, form, date, n_categories, reason IS NULL AS valid, reason FROM r
+"""
+
+SERIES = """
+wbs AS (
+  SELECT o_orderpriority AS series, lower(substr(o_orderpriority, 3, 20)) || '-' || strftime(date_trunc('month', o_orderdate), '%Y%m')
+           || '.xlsx' AS file,
+         CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS TIMESTAMP) + INTERVAL 8 HOUR AS mtime
+  FROM orders GROUP BY ALL)"""
+
+SQL["latest_file_by_series"] = f"""WITH {SERIES}
+SELECT series, file, {TS.format(c='mtime')} AS mtime FROM wbs
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY mtime DESC, file DESC) = 1"""
+
+SQL["asof_workbook"] = f"""
+WITH {SERIES},
+req AS (SELECT o_orderkey AS request_id, o_orderpriority AS series,
+               o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS asked_at FROM orders)
+SELECT request_id, req.series, {TS.format(c='asked_at')} AS asked_at, file, {TS.format(c='mtime')} AS mtime
+FROM req ASOF LEFT JOIN wbs ON req.series = wbs.series AND req.asked_at >= wbs.mtime
+"""
+
+SQL["manifest_changes"] = f"""
+WITH m AS (SELECT date_trunc('month', o_orderdate) AS ms, count(*) AS n FROM orders GROUP BY 1),
+span AS (SELECT min(year(ms)) AS a, max(year(ms)) + 1 AS b FROM m),
+f AS (
+  SELECT *, CAST(year(ms) AS INTEGER) AS y, 'cpi-u-' || strftime(ms, '%Y%m') || '.xlsx' AS file, month(ms) % 3 = 0 AS again,
+         strftime(ms + INTERVAL 1 MONTH, '%Y-%m-%d %H:%M:%S') AS t0,
+         strftime(ms + INTERVAL 13 MONTH, '%Y-%m-%d %H:%M:%S') AS t1 FROM m)
+SELECT y AS version, file, 'added' AS kind, NULL::BIGINT AS old_size, n AS size, NULL AS old_mtime, t0 AS mtime FROM f
+UNION ALL
+SELECT y + 1, file, 'changed', n, n + 1, t0, t1 FROM f WHERE again
+UNION ALL
+SELECT y + 2, file, 'removed', n + CAST(again AS INTEGER), NULL, CASE WHEN again THEN t1 ELSE t0 END, NULL
+FROM f, span WHERE y + 2 <= b
+"""
+
+SQL["top_links"] = f"""WITH {LISTING}
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY priority, date DESC, pos) AS INTEGER) AS rank,
+       pos, filename, date, priority
+FROM wl QUALIFY rank <= 5"""
+
+SQL["link_rules"] = f"""WITH {LISTING},
+r AS (
+  SELECT page_id, pos, filename, date,
+         CASE WHEN pos % 4 = 2 THEN 1 WHEN pos % 4 = 1 AND pos % 2 = 0 THEN 2 WHEN pos % 4 = 1 THEN 3
+              ELSE 9 END AS priority
+  FROM links_all)
+SELECT * FROM r"""
+
 SQL["limit_head"] = f"""
 SELECT * FROM ({SQL["latest_points"]}) q
 ORDER BY year DESC, month DESC, file, sheet, layout, r, c LIMIT 3
 """
 
 SQL["header_norm"] = f"""
-WITH {PANEL_WIDE},
-m AS (SELECT DISTINCT date, 'cpi-u-' || replace(date, '-', '') || '.xlsx' AS file,
-             CAST(date || '-01' AS DATE) AS ms FROM panel_wide),
-lab AS (SELECT file, ms,
-               lower(strftime(ms - INTERVAL 1 MONTH, '%b')) || '. ' || strftime(ms - INTERVAL 1 MONTH, '%Y') AS pl,
-               lower(strftime(ms, '%b')) || '. ' || strftime(ms, '%Y') AS cl FROM m),
-h(c, t) AS (VALUES (0, 'indent level'), (1, 'expenditure category'), (2, 'relative importance'),
-                   (3, 'unadjusted indexes'), (4, 'unadjusted indexes'), (5, 'seasonally adjusted indexes'),
-                   (6, 'seasonally adjusted indexes'), (7, 'unadjusted percent change')),
+WITH {SHEETS},
+lab AS (SELECT *, lower(strftime(ms - INTERVAL 1 MONTH, '%b. %Y')) AS pl, lower(strftime(ms, '%b. %Y')) AS cl
+        FROM (SELECT *, CAST(date || '-01' AS DATE) AS ms FROM months WHERE v <> 3)),
 cells AS (
-  SELECT file, CAST(3 AS INTEGER) AS r_raw, CAST(c AS INTEGER) AS c, t AS text FROM lab, h
-  UNION ALL SELECT file, 4, 3, pl FROM lab
-  UNION ALL SELECT file, 4, 4, cl FROM lab
-  UNION ALL SELECT file, 4, 5, pl FROM lab
-  UNION ALL SELECT file, 4, 6, cl FROM lab
-  UNION ALL SELECT file, 4, 7, pl || '- ' || cl FROM lab)
-SELECT file, r_raw, c, text, trim(text) AS text_stripped FROM cells
+  SELECT file, h AS r_raw, CAST(o + i AS INTEGER) AS c, t AS text
+  FROM lab, (VALUES (0, 'indent level'), (1, 'expenditure category'), (2, 'relative importance'),
+                    (7, 'unadjusted percent change')) x(i, t)
+  UNION ALL SELECT file, h, nc + i, 'unadjusted indexes' FROM lab, (VALUES (0), (1)) x(i) WHERE i = 0 OR v <> 7
+  UNION ALL SELECT file, h, sc + i, 'seasonally adjusted indexes' FROM lab, (VALUES (0), (1)) x(i)
+  WHERE v <> 4 AND (i = 0 OR v <> 7)
+  UNION ALL SELECT file, h + 1, nc + i, CASE i WHEN 0 THEN pl ELSE cl END FROM lab, (VALUES (0), (1)) x(i)
+  UNION ALL SELECT file, h + 1, sc + i, CASE i WHEN 0 THEN pl ELSE cl END FROM lab, (VALUES (0), (1)) x(i) WHERE v <> 4
+  UNION ALL SELECT file, h + 1, CAST(o + 7 AS INTEGER), pl || '- ' || cl FROM lab)
+SELECT file, CAST(r_raw AS INTEGER) AS r_raw, CAST(c AS INTEGER) AS c, text, trim(text) AS text_stripped FROM cells
 """
 
 SQL["series_label"] = """
-SELECT file, regexp_extract(file, '^(.*)\\.xlsx$', 1) AS ticker,
-       'CPI_U_' || upper(regexp_extract(file, '^(.*)\\.xlsx$', 1)) AS series_id
-FROM (SELECT DISTINCT 'orders-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g'))
-                      || '.xlsx' AS file FROM orders)
+SELECT DISTINCT 'supplier-' || l_suppkey || '.xlsx' AS file, 'supplier-' || l_suppkey AS ticker,
+       'CPI_U_SUPPLIER-' || l_suppkey AS series_id
+FROM lineitem
 """
 
 SQL["stream_workbooks"] = SQL["union_layouts"]

@@ -35,13 +35,13 @@ def _cell(file, sheet, sheet_pos, r_raw, r, c, raw, kind):
         F.lit(r).cast("int").alias("r") if isinstance(r, int) else r.cast("int").alias("r"),
         F.lit(c).cast("int").alias("c") if isinstance(c, int) else c.cast("int").alias("c"),
         raw.cast("string").alias("raw"),
-        F.lit(kind).alias("kind"))
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
 
 
-def _explode_cells(df: DataFrame, cells: list) -> DataFrame:
-    """One output row per non-null cell struct in ``cells``."""
-    arr = F.filter(F.array(*cells), lambda x: x["raw"].isNotNull())
-    return df.select(F.inline(arr))
+def _explode_cells(df: DataFrame, cells) -> DataFrame:
+    """One output row per cell struct with a text, of the array (or list) ``cells``."""
+    return df.select(F.inline(F.filter(F.array(*cells) if isinstance(cells, list) else cells,
+                                       lambda x: x["raw"].isNotNull())))
 
 
 # ---------------------------------------------------------------- panel
@@ -84,12 +84,23 @@ def placeholder_token(r_raw, c):
                         ((r_raw + c) % 4 + 1).cast("int"))
 
 
+# Layouts of the supplemental sheets, dealt by month (year * 12 + month, modulo 8): header row, and
+# what differs from the usual one.
+SHEET_HEADERS = [3, 0, 10, 11, 3, 3, 3, 3]
+HEADER_TOO_LOW, NO_SA, SHIFTED, SA_FIRST, MERGED = 3, 4, 5, 6, 7
+
+
 def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
     """``panel`` rendered as one supplemental-table workbook per month.
 
-    Title row 0, header row 3, month sub-header row 4, categories from row 6
-    in name order; value cells are comma-grouped text, every 7th one a
-    placeholder. Rows 1, 2 and 5 are blank, so ``r_raw`` and ``r`` differ.
+    The layout follows the month (``SHEET_HEADERS``): the header in row 3, 0
+    or 10, or in row 11, where it isn't found; no adjusted columns; all
+    columns one to the right; adjusted columns first; header texts of merged
+    cells (``merged_ranges``), which only their first column has. A title in
+    row 0 unless the header is there, months below the header, categories in
+    name order from row 6 or three rows below the header; value cells are
+    comma-grouped text, every 7th one a placeholder. Some rows are blank, so
+    ``r_raw`` and ``r`` differ.
     """
     from pyspark.sql import Window
     by = Window.partitionBy("category").orderBy("date")         # bounded: months of a category
@@ -100,130 +111,233 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
         F.when(follows, F.lag("nsa").over(by)).alias("nsa_prev"),
         F.when(follows, F.lag("sa").over(by)).alias("sa_prev"))
     pmonth = F.add_months(month, -1)
-    file = F.concat(F.lit("cpi-u-"), F.date_format(month, "yyyyMM"), F.lit(".xlsx"))
-    sheet = F.lit(SUPPLEMENTAL_SHEET)
+    file, sheet = _month_file(month), F.lit(SUPPLEMENTAL_SHEET)
     # category row index per month: rank among the month's categories. A month
     # holds at most one row per category, bounded by the sheet size.
     i = F.row_number().over(Window.partitionBy("date").orderBy("category")) - 1
-    rows = rows.withColumn("i", i)
-    r_raw = F.col("i") + 6
-    r = F.col("i") + 3
-    mord = F.year(month) * 12 + F.month(month)
+    rows = rows.withColumn("i", i).withColumn("mord", _month_number(month)) \
+               .withColumn("v", F.col("mord") % 8).withColumn("h", _pick(SHEET_HEADERS, F.col("v")))
+    v, h, mord = F.col("v"), F.col("h"), F.col("mord")
+    below = F.when(h > 0, 1).otherwise(0)                        # the title is a row of its own
+    r_raw = F.greatest(F.lit(6), h + 3) + F.col("i")
+    r = below + 2 + F.col("i")
+    shift = F.when(v == SHIFTED, 1).otherwise(0)
+    nsa, sa = F.when(v == SA_FIRST, 5).otherwise(3) + shift, F.when(v == SA_FIRST, 3).otherwise(5) + shift
 
     def val(cname, c):
         txt = F.format_number(F.col(cname), 2)
-        return F.when(placeholder_rule(r_raw, F.lit(c), mord), placeholder_token(r_raw, F.lit(c))) \
-                .otherwise(txt)
+        return F.when(F.col(cname).isNotNull(),
+                      F.when(placeholder_rule(r_raw, c, mord), placeholder_token(r_raw, c)).otherwise(txt))
 
     first = F.col("i") == 0      # each sheet's header cells come with its first data row
     lab = lambda m: F.concat(F.date_format(m, "MMM"), F.lit(".\n"), F.date_format(m, "yyyy"))
-    hdr = [(0, "Indent level"), (1, "Expenditure category"), (2, "Relative importance"),
-           (3, "Unadjusted indexes"), (4, "Unadjusted indexes"),
-           (5, "Seasonally adjusted indexes"), (6, "Seasonally adjusted indexes"),
-           (7, "Unadjusted percent change")]
-    head_cells = [_cell(file, sheet, 0, 0, 0, 0,
-                        F.when(first, F.concat(F.lit("Table 7. Index by kind of part, "), F.col("date"))), "s")]
-    head_cells += [_cell(file, sheet, 0, 3, 1, c, F.when(first, F.lit(t)), "s") for c, t in hdr]
-    for c, m in ((3, pmonth), (4, month), (5, pmonth), (6, month)):
-        head_cells.append(_cell(file, sheet, 0, 4, 2, c, F.when(first, lab(m)), "s"))
-    head_cells.append(_cell(file, sheet, 0, 4, 2, 7,
-                            F.when(first, F.concat(lab(pmonth), F.lit("-\n"), lab(month))), "s"))
-    return _explode_cells(rows, head_cells + [
-        _cell(file, sheet, 0, r_raw, r, 0, F.lit("1"), "n"),
-        _cell(file, sheet, 0, r_raw, r, 1, F.col("category"), "s"),
-        _cell(file, sheet, 0, r_raw, r, 3, F.when(F.col("nsa_prev").isNotNull(), val("nsa_prev", 3)), "s"),
-        _cell(file, sheet, 0, r_raw, r, 4, val("nsa_cur", 4), "s"),
-        _cell(file, sheet, 0, r_raw, r, 5, F.when(F.col("sa_prev").isNotNull(), val("sa_prev", 5)), "s"),
-        _cell(file, sheet, 0, r_raw, r, 6, val("sa_cur", 6), "s"),
-    ])
-
-
-def _priority_file(p):
-    return F.concat(F.lit("orders-"), F.lower(F.regexp_replace(p, "[^A-Za-z0-9]+", "-")),
-                    F.lit(".xlsx"))
-
-
-def year_grid_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Order counts as ``Year × Jan…Dec`` grids, one workbook per priority
-    (sheet ``grid``, first sheet). Years are shown +25. One row per
-    (priority, year) carries its twelve counts (a map of at most 12 entries)
-    and is exploded into cells; the header cells come with the first year."""
-    o = read_table(spark, d, "orders").select("o_orderpriority", "o_orderdate")
-    cnt = (o.groupBy("o_orderpriority", F.year("o_orderdate").alias("y"),
-                     F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n")))
-    years = cnt.groupBy("o_orderpriority", "y").agg(
-        F.sum("n").alias("annual"),
-        F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("months"))
-    from pyspark.sql import Window
-    yi = F.dense_rank().over(Window.partitionBy("o_orderpriority").orderBy("y")) + 1
-    years = years.withColumn("r", yi)   # bounded: one row per year
-    file = _priority_file(F.col("o_orderpriority"))
-    sheet = F.lit("grid")
-    first = F.col("r") == 2
-    months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-    cells = [_cell(file, sheet, 0, 0, 0, 0, F.when(first, F.lit("Orders by month")), "s"),
-             _cell(file, sheet, 0, 1, 1, 0, F.when(first, F.lit("Year")), "s"),
-             _cell(file, sheet, 0, 1, 1, 13, F.when(first, F.lit("Annual")), "s")]
-    cells += [_cell(file, sheet, 0, 1, 1, i, F.when(first, F.lit(mn)), "s") for i, mn in enumerate(months, 1)]
-    cells += [_cell(file, sheet, 0, F.col("r"), F.col("r"), 0, F.col("y") + YEAR_SHIFT, "n"),
-              _cell(file, sheet, 0, F.col("r"), F.col("r"), 13, F.col("annual"), "n")]
-    cells += [_cell(file, sheet, 0, F.col("r"), F.col("r"), k,
-                    F.element_at(F.col("months"), F.lit(k)), "n") for k in range(1, 13)]
-    return _explode_cells(years, cells)
-
-
-def series_text_rule(priority_digit, month):
-    """Series cell text: SA/NSA code by priority, blank every 4th month."""
-    code = F.concat(F.lit("ORD"), priority_digit,
-                    F.when(priority_digit.isin("3", "4"), F.lit("NSA")).otherwise(F.lit("SA")))
-    return F.when(month % 4 != 0, code)
+    with_sa, single = v != NO_SA, v != MERGED
 
+    def head(c, text, cond=F.lit(True)):
+        return _cell(file, sheet, 0, h, below, c, F.when(first & cond, F.lit(text)), "s")
 
-def date_text_rule(month_start):
-    m = F.month(month_start)
-    return (F.when(m == 3, F.concat(F.date_format(month_start, "yyyy"), F.lit("M03")))
-            .when(m % 6 == 0, F.date_format(month_start, "MMM yyyy"))
-            .otherwise(F.date_format(month_start, "yyyy-MM")))
+    def months(c, text, cond=F.lit(True)):
+        return _cell(file, sheet, 0, h + 1, below + 1, c, F.when(first & cond, text), "s")
 
+    cells = [
+        _cell(file, sheet, 0, 0, 0, 0, F.when(
+            first & (h > 0), F.concat(F.lit("Table 7. Index by kind of part, "), F.col("date"))), "s"),
+        head(shift, "Indent level"), head(shift + 1, "Expenditure category"), head(shift + 2, "Relative importance"),
+        head(nsa, "Unadjusted indexes"), head(nsa + 1, "Unadjusted indexes", single),
+        head(sa, "Seasonally adjusted indexes", with_sa),
+        head(sa + 1, "Seasonally adjusted indexes", with_sa & single),
+        head(shift + 7, "Unadjusted percent change"),
+        months(nsa, lab(pmonth)), months(nsa + 1, lab(month)),
+        months(sa, lab(pmonth), with_sa), months(sa + 1, lab(month), with_sa),
+        months(shift + 7, F.concat(lab(pmonth), F.lit("-\n"), lab(month))),
+        _cell(file, sheet, 0, r_raw, r, shift, F.lit("1"), "n"),
+        _cell(file, sheet, 0, r_raw, r, shift + 1, F.col("category"), "s"),
+        _cell(file, sheet, 0, r_raw, r, nsa, val("nsa_prev", nsa), "s"),
+        _cell(file, sheet, 0, r_raw, r, nsa + 1, val("nsa_cur", nsa + 1), "s"),
+        _cell(file, sheet, 0, r_raw, r, sa, F.when(with_sa, val("sa_prev", sa)), "s"),
+        _cell(file, sheet, 0, r_raw, r, sa + 1, F.when(with_sa, val("sa_cur", sa + 1)), "s"),
+    ]
+    return _explode_cells(rows, cells)
 
-def series_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly order value as ``Date, Value, Series ID`` rows, second sheet
-    ``series`` of each priority workbook; the ``5-LOW`` sheet has no Series
-    column."""
-    o = read_table(spark, d, "orders").select("o_orderpriority", "o_orderdate", "o_totalprice")
-    agg = (o.groupBy("o_orderpriority",
-                     F.trunc("o_orderdate", "month").alias("ms"))
-           .agg(F.sum(F.col("o_totalprice").cast(DEC)).alias("v")))
-    from pyspark.sql import Window
-    agg = agg.withColumn("r", F.row_number().over(
-        Window.partitionBy("o_orderpriority").orderBy("ms")))  # bounded: months
-    file = _priority_file(F.col("o_orderpriority"))
-    sheet = F.lit("series")
-    pd_ = F.substring("o_orderpriority", 1, 1)
-    has_series = pd_ != "5"
-    first = F.col("r") == 1
-    return _explode_cells(agg, [
-        _cell(file, sheet, 1, 0, 0, 0, F.when(first, F.lit("Date")), "s"),
-        _cell(file, sheet, 1, 0, 0, 1, F.when(first, F.lit("Value")), "s"),
-        _cell(file, sheet, 1, 0, 0, 2, F.when(first & has_series, F.lit("Series ID")), "s"),
-        _cell(file, sheet, 1, F.col("r"), F.col("r"), 0, date_text_rule(F.col("ms")), "s"),
-        _cell(file, sheet, 1, F.col("r"), F.col("r"), 1, F.col("v").cast("string"), "s"),
-        _cell(file, sheet, 1, F.col("r"), F.col("r"), 2,
-              F.when(has_series, series_text_rule(pd_, F.month("ms"))), "s"),
-    ])
+
+def _month_file(month):
+    return F.concat(F.lit("cpi-u-"), F.date_format(month, "yyyyMM"), F.lit(".xlsx"))
+
+
+def _month_number(month):
+    return F.year(month) * 12 + F.month(month)
+
+
+def _pick(values, at):
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (at + 1).cast("int"))
+
+
+def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """``file, sheet, r_raw, c_first, c_last`` of the merged header cells of ``sheet_cells``."""
+    month = F.to_date(F.date_format("l_shipdate", "yyyy-MM"), "yyyy-MM")
+    months = read_table(spark, d, "lineitem").select(month.alias("m")).filter(F.col("m").isNotNull()).distinct()
+    merged = months.filter(_month_number(F.col("m")) % 8 == MERGED)
+    return merged.select(_month_file(F.col("m")).alias("file"), F.lit(SUPPLEMENTAL_SHEET).alias("sheet"),
+                         F.lit(SHEET_HEADERS[MERGED]).alias("r_raw"),
+                         F.explode(F.array(*[F.struct(F.lit(c).alias("c_first"), F.lit(c + 1).alias("c_last"))
+                                             for c in (3, 5)])).alias("x")).select("file", "sheet", "r_raw", "x.*")
+
+
+# ---------------------------------------------------------------- points workbooks
+
+# Layouts of a supplier's workbook, dealt by supplier number.
+GRID_HEADERS = [1, 11, 0, 10, 3]        # header row of the grid; in row 11 it isn't found
+SERIES_HEADERS = [0, 2, 10, 9]          # of the series; in row 10 it isn't found
+SERIES_COLUMNS = ([0, 2, 1], [1, 0, 2], [2, 1, 0])      # of date, value and series
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+               "November", "December"]
+
+
+def _supplier_file(k):
+    return F.concat(F.lit("supplier-"), k.cast("string"), F.lit(".xlsx"))
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """One row per supplier: number and value of its shipments by month (bounded by the calendar)."""
+    li = read_table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
+    monthly = li.groupBy(F.col("l_suppkey").alias("k"), F.trunc("l_shipdate", "month").alias("ms")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast(DEC)).alias("amount"))
+    return monthly.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("ms", "n", "amount"))).alias("months"))
+
+
+def series_text_rule(k, month):
+    """Series cell text: SA/NSA code by supplier, blank every 4th month."""
+    code = F.concat(F.lit("SUP"), k.cast("string"), F.when(k % 3 == 1, F.lit("NSA")).otherwise(F.lit("SA")))
+    return F.when(month % 4 != 0, code)
+
+
+def date_text_rule(ms):
+    m = F.month(ms)
+    return (F.when(m == 3, F.concat(F.date_format(ms, "yyyy"), F.lit("M03")))
+            .when(m % 6 == 0, F.date_format(ms, "MMM yyyy"))
+            .when(m % 5 == 0, F.date_format(ms, "yyyy-MM-dd 00:00:00"))
+            .otherwise(F.date_format(ms, "yyyy-MM")))
 
 
 def points_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Both sheets of the priority workbooks."""
-    return year_grid_cells(spark, d).unionByName(series_cells(spark, d))
+    """One workbook per supplier, two sheets.
+
+    ``grid``: shipments as ``Year × Jan…Dec``. Years are shown later, so that
+    some are in 2020…2030. By supplier: the header row (``GRID_HEADERS``;
+    titles above it and a blank row after those), 0 to 2 blank columns first,
+    short or long month names, years as numbers or text.
+
+    ``series``: monthly value as ``Date, Value, Series`` rows. By supplier:
+    the header row, the order and names of the columns, and for every 5th no
+    series column. Every March is written in a way that names no period, May
+    and October are dates, September has no value.
+    """
+    k = F.col("k")
+    years = F.array_sort(F.array_distinct(F.transform("months", lambda x: F.year(x["ms"]))))
+    month = "struct<ms: date, n: bigint, amount: decimal(28,2)>"
+    row = lambda sheet, i, y, x: F.struct(
+        F.lit(sheet).alias("sheet"), i.alias("i"), y.cast("int").alias("y"), x.cast(month).alias("x"))
+    rows = _books(spark, d).select(
+        "k", "months", F.map_from_entries(F.transform(
+            "months", lambda x: F.struct(_month_number(x["ms"]), x["n"]))).alias("n"),
+        F.explode(F.concat(F.transform(years, lambda y, i: row("grid", i, y, F.lit(None))),
+                           F.transform("months", lambda x, i: row("series", i, F.lit(None), x)))).alias("row"))
+    grid = F.col("row.sheet") == "grid"
+    rows = rows.select(
+        "k", "months", "n", "row.*", F.when(grid, _pick(GRID_HEADERS, k % 5)).otherwise(_pick(SERIES_HEADERS, k % 4)).alias("h"),
+        (k % 3).cast("int").alias("o"), *[_pick(at, k % 3).alias(f"{c}_c") for c, at in zip("dvs", SERIES_COLUMNS)])
+    file, sheet, h, o, m = _supplier_file(k), F.col("sheet"), F.col("h"), F.col("o"), F.month("x.ms")
+    pos = F.when(sheet == "grid", 0).otherwise(1)
+    first, gap = F.col("i") == 0, F.when(h > 0, 1).otherwise(0)
+    r = h + 1 + F.col("i")
+
+    def head(c, text):
+        return _cell(file, sheet, pos, h + gap, h, c, F.when(first, text), "s")
+
+    def cell(c, text, kind):
+        return _cell(file, sheet, pos, r + gap, r, c, text, kind)
+
+    shown = F.col("y") + F.when(k % 6 == 5, YEAR_SHIFT - 5).otherwise(YEAR_SHIFT)
+    annual = F.aggregate(F.filter("months", lambda x: F.year(x["ms"]) == F.col("y")), F.lit(0).cast("long"),
+                         lambda a, x: a + x["n"])
+    word = lambda a, b: F.when(k % 2 == 0, F.lit(a)).otherwise(F.lit(b))
+    of_grid = [head(o, F.lit("Year")), head(o + 13, F.lit("Annual")),
+               *[head(o + j, word(t[:3], t)) for j, t in enumerate(MONTH_NAMES, 1)],
+               cell(o, shown, F.when(k % 7 == 3, "s").otherwise("n")), cell(o + 13, annual, "n"),
+               *[cell(o + j, F.try_element_at("n", F.col("y") * 12 + j), "n") for j in range(1, 13)]]
+    has_series = k % 5 != 0
+    of_series = [head(F.col("d_c"), word("Date", "Period")), head(F.col("v_c"), word("Value", "Index")),
+                 head(F.col("s_c"), F.when(has_series, word("Series ID", "Code"))),
+                 cell(F.col("d_c"), date_text_rule(F.col("x.ms")), F.when(m % 5 == 0, "d").otherwise("s")),
+                 cell(F.col("v_c"), F.when(m == 9, F.lit("n/a")).otherwise(F.col("x.amount").cast("string")), "s"),
+                 cell(F.col("s_c"), F.when(has_series, series_text_rule(k, m)), "s")]
+    titles = F.transform(F.sequence(F.lit(0), h), lambda t: _cell(
+        file, sheet, pos, t, t, 0, F.when(first & (t < h), F.when(t == 0, F.lit("Shipments by month")).otherwise(
+            F.concat(F.lit("Note "), t.cast("string")))), "s"))
+    return _explode_cells(rows, F.concat(F.when(sheet == "grid", F.array(*of_grid)).otherwise(F.array(*of_series)), titles))
 
 
 def points_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """``(file, size, mtime)`` of the priority workbooks: size = orders,
-    mtime = latest order date."""
-    o = read_table(spark, d, "orders").select("o_orderpriority", "o_orderdate")
-    return (o.groupBy(_priority_file(F.col("o_orderpriority")).alias("file"))
-            .agg(F.count(F.lit(1)).alias("size"), F.max("o_orderdate").alias("mtime")))
+    """``(file, size, mtime)`` of the suppliers' workbooks: size = shipments,
+    mtime = latest ship date."""
+    li = read_table(spark, d, "lineitem").select("l_suppkey", "l_shipdate")
+    return (li.groupBy(_supplier_file(F.col("l_suppkey")).alias("file"))
+            .agg(F.count(F.lit(1)).alias("size"), F.max("l_shipdate").alias("mtime")))
+
+
+def series_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """``(series, file, size, mtime)``: each order priority is a series with one workbook per month,
+    there from the 1st of the next month, 8 o'clock; size = orders."""
+    o = read_table(spark, d, "orders").select("o_orderpriority", F.trunc("o_orderdate", "month").alias("ms"))
+    g = o.groupBy(F.col("o_orderpriority").alias("series"), "ms").agg(F.count(F.lit(1)).alias("size"))
+    name = F.concat(F.lower(F.substring("series", 3, 20)), F.lit("-"), F.date_format("ms", "yyyyMM"), F.lit(".xlsx"))
+    return g.select("series", name.alias("file"), "size",
+                    (F.add_months("ms", 1).cast("timestamp") + F.expr("INTERVAL 8 HOURS")).alias("mtime"))
+
+
+def timed_requests(spark: SparkSession, d: str) -> DataFrame:
+    """``(request_id, series, asked_at)``: one request per order, asked at some hour of its day."""
+    o = read_table(spark, d, "orders")
+    at = F.col("o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("series"), at.alias("asked_at"))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """``(version, file, size, mtime)``: the workbooks of order months as seen at the end of each year
+    (version = year): those of the year and the one before; every third month's is overwritten a
+    year later, one byte larger."""
+    o = read_table(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("ms"))
+    g = o.filter("ms is not null").groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
+    again = (F.col("age") == 1) & (F.month("ms") % 3 == 0)
+    return g.withColumn("age", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (F.year("ms") + F.col("age")).alias("version"),
+        F.concat(F.lit("cpi-u-"), F.date_format("ms", "yyyyMM"), F.lit(".xlsx")).alias("file"),
+        (F.col("n") + again.cast("int")).alias("size"),
+        F.add_months("ms", F.when(again, 13).otherwise(1)).cast("timestamp").alias("mtime"))
+
+
+def limit_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests around the service's limits: by supplier, 0, 1, 20, 21, 200 or 201 of the categories of
+    its parts (or as many as there are), in the month of its last shipment."""
+    li = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate")
+    pt = read_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), _category().alias("category"))
+    last = li.groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last"))
+    some = li.select("l_suppkey", "l_partkey").distinct().join(pt, "l_partkey").select("l_suppkey", "category").distinct()
+    names = some.groupBy("l_suppkey").agg(F.sort_array(F.collect_list("category")).alias("names"))     # of its parts
+    k = F.col("l_suppkey")
+    return names.join(last, "l_suppkey").select(
+        k.alias("request_id"), F.slice("names", F.lit(1), _pick([0, 1, 20, 21, 200, 201], k % 6)).alias("categories"),
+        F.date_format("last", "yyyy-MM").alias("date"))
+
+
+def publications(spark: SparkSession, d: str) -> DataFrame:
+    """The panel as it was published: each value first 1 too low, at the end of its month; two of
+    three months again a month later, as they are."""
+    ms = F.to_date("date", "yyyy-MM")
+    late = F.when(F.month(ms) % 3 != 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return panel(spark, d).withColumn("k", F.explode(late)).select(
+        "category", "date", (F.col("index") - (2 - F.col("k"))).alias("index"), "adjustment",
+        F.add_months(ms, F.col("k")).cast("timestamp").alias("published"))
 
 
 # ---------------------------------------------------------------- messy numbers

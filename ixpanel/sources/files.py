@@ -63,6 +63,28 @@ def new_files(current: DataFrame, known: DataFrame) -> DataFrame:
     return workbooks(current).join(known.select("file"), "file", "left_anti")
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """S9 in full: what happened to each workbook between two manifests — ``added``, ``changed``
+    (another size or time, so an overwritten file counts) or ``removed``."""
+    return snapshot_changes(workbooks(before).withColumn("version", F.lit(0)).unionByName(
+        workbooks(after).withColumn("version", F.lit(1)))).filter("version = 1").drop("version")
+
+
+def snapshot_changes(snapshots: DataFrame) -> DataFrame:
+    """The changes of every version of a manifest against the one before: ``version, file, kind`` and
+    the old and new size and time. ``snapshots``: ``version`` (consecutive numbers), ``file, size,
+    mtime``. One full outer join on (version, file)."""
+    s = snapshots.select("version", "file", "size", "mtime")
+    old = s.select((F.col("version") + 1).alias("version"), "file", F.col("size").alias("old_size"),
+                   F.col("mtime").alias("old_mtime"), F.lit(True).alias("was"))
+    versions = s.select("version").distinct()            # the last one has no successor
+    j = s.withColumn("is", F.lit(True)).join(old, ["version", "file"], "full").join(versions, "version", "left_semi")
+    same = F.col("size").eqNullSafe(F.col("old_size")) & F.col("mtime").eqNullSafe(F.col("old_mtime"))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~same, "changed")
+    return j.withColumn("kind", kind).filter("kind is not null").select(
+        "version", "file", "kind", "old_size", "size", "old_mtime", "mtime")
+
+
 def fresh_files(manifest: DataFrame, as_of, hours: int) -> DataFrame:
     """A file is fresh when its age is strictly below ``hours``."""
     limit = F.lit(as_of).cast("timestamp") - F.make_interval(hours=F.lit(hours))

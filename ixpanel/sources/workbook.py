@@ -1,16 +1,13 @@
-"""Workbook files ⇄ cell table (S1, S2 edge; S8 sinks).
-
-Reading: the ``binaryFile`` source lists and loads workbooks (one file per
-row; files are not split, and a task's input is bounded by
-``spark.sql.files.maxPartitionBytes``); ``mapInPandas`` decodes each one
-with the standard library (``zipfile`` + ``xml.etree``) into long cells and
-yields them in chunks, so a large sheet never sits in memory as one frame.
-Only plain values are read — no styles beyond date detection, no formulas'
-evaluation, no merged ranges (see README).
-
-Writing (used to build round-trip inputs from derived cell tables):
-``groupBy(file).applyInPandas`` writes one workbook per group into a
-shared folder, overwriting the same name on retry.
+"""Workbook files → cells (S1, S2 edge); S8 sinks.
+
+This is the edge of ingest: the cells are stored once (``sources/cells.py``)
+and queries read that table. The ``binaryFile`` source lists and loads
+workbooks (one file per row; files are not split, and a task's input is
+bounded by ``spark.sql.files.maxPartitionBytes``); ``mapInPandas`` decodes
+each one with the standard library (``zipfile`` + ``xml.etree``) into long
+cells and yields them in chunks, so a large sheet never sits in memory as one
+frame. Only plain values are read — no styles beyond date detection, no
+formulas' evaluation, no merged ranges (see README).
 """
 
 from __future__ import annotations
@@ -200,88 +197,7 @@ def unreadable(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFram
     return decoded(_files(spark, path, glob)).filter(F.col("kind") == ERROR).select("file", F.col("raw").alias("problem"))
 
 
-# ---------------------------------------------------------------- writing
-
-def _xml_escape(s: str) -> str:
-    return (s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-            .replace('"', "&quot;"))
-
-
-def _col_ref(c: int) -> str:
-    s = ""
-    c += 1
-    while c:
-        c, rem = divmod(c - 1, 26)
-        s = chr(65 + rem) + s
-    return s
-
-
-def workbook_bytes(cells: pd.DataFrame) -> bytes:
-    """One workbook from the cells of one file (inline strings, no styles)."""
-    sheets = (cells[["sheet_pos", "sheet"]].drop_duplicates().sort_values("sheet_pos"))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        ct = ['<?xml version="1.0" encoding="UTF-8"?>',
-              '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">',
-              '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>',
-              '<Default Extension="xml" ContentType="application/xml"/>',
-              '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>']
-        wb = ['<?xml version="1.0" encoding="UTF-8"?>',
-              f'<workbook xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"><sheets>']
-        rels = ['<?xml version="1.0" encoding="UTF-8"?>', f'<Relationships xmlns="{_NS["rel"]}">']
-        for i, (pos, name) in enumerate(zip(sheets["sheet_pos"], sheets["sheet"]), start=1):
-            ct.append(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType='
-                      '"application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
-            wb.append(f'<sheet name="{_xml_escape(name)}" sheetId="{i}" r:id="rId{i}"/>')
-            rels.append(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/'
-                        f'officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>')
-            sc = cells[cells["sheet_pos"] == pos].sort_values(["r_raw", "c"])
-            body = [f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NS["m"]}"><sheetData>']
-            for r_raw, grp in sc.groupby("r_raw", sort=True):
-                body.append(f'<row r="{int(r_raw) + 1}">')
-                for c, raw, kind in zip(grp["c"], grp["raw"], grp["kind"]):
-                    ref = f"{_col_ref(int(c))}{int(r_raw) + 1}"
-                    if kind == "n":
-                        body.append(f'<c r="{ref}"><v>{raw}</v></c>')
-                    elif kind == "b":
-                        body.append(f'<c r="{ref}" t="b"><v>{1 if raw == "True" else 0}</v></c>')
-                    elif kind == "d":
-                        body.append(f'<c r="{ref}" t="d"><v>{raw.replace(" ", "T")}</v></c>')
-                    else:
-                        body.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">'
-                                    f'{_xml_escape(raw)}</t></is></c>')
-                body.append("</row>")
-            body.append("</sheetData></worksheet>")
-            z.writestr(f"xl/worksheets/sheet{i}.xml", "".join(body))
-        ct.append("</Types>")
-        wb.append("</sheets></workbook>")
-        rels.append("</Relationships>")
-        z.writestr("[Content_Types].xml", "".join(ct))
-        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?>'
-                   f'<Relationships xmlns="{_NS["rel"]}"><Relationship Id="rId1" Type='
-                   '"http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"'
-                   ' Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", "".join(wb))
-        z.writestr("xl/_rels/workbook.xml.rels", "".join(rels))
-    return out.getvalue()
-
-
-def write_workbooks(cells: DataFrame, out_dir: str) -> DataFrame:
-    """Write one workbook per ``file`` into ``out_dir`` (a shared folder);
-    returns ``file, size``. A workbook's cells form one group, bounded by
-    the sheet size limits of the format."""
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs as pafs
-        name = pdf["file"].iloc[0]
-        data = workbook_bytes(pdf)
-        filesystem, root = pafs.FileSystem.from_uri(out_dir)
-        filesystem.create_dir(root, recursive=True)
-        with filesystem.open_output_stream(f"{root}/{name}") as fh:  # same name on retry
-            fh.write(data)
-        return pd.DataFrame({"file": [name], "size": [len(data)]})
-
-    return cells.groupBy("file").applyInPandas(write, "file string, size long")
-
+# ---------------------------------------------------------------- sinks
 
 def records_out(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a result (Parquet, or JSON lines keeping null fields absent)."""

@@ -37,9 +37,9 @@ def test_header_and_column_map(spark, x1_rows):
     cells = G.first_sheet(x1(spark, x1_rows))
     hdr = G.header_rows(cells)
     assert [tuple(r) for r in hdr.collect()] == [(FILE, "Sheet1", 3)]
-    assert G.category_column(cells, hdr).first()["cat_c"] == 1
+    assert G.category_column(cells).first()["cat_c"] == 1
     t = spark.createDataFrame([(FILE, "Sheet1", "2025-06")], "file string, sheet string, current_month string")
-    m = G.column_map(cells, hdr, t).first()
+    m = G.column_map(cells, t).first()
     assert (m.c_nsa_previous, m.c_nsa_current, m.c_sa_previous, m.c_sa_current) == (3, 4, 5, 6)
 
 

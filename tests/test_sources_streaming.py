@@ -17,6 +17,7 @@ from ixpanel.sources import workbook as WB
 from ixpanel.streaming import ingest as ST
 
 from conftest import SF_SMALL
+from workbook_writer import write_workbooks
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
@@ -68,7 +69,7 @@ def test_read_hand_made_workbook(spark):
 def test_write_read_round_trip(spark):
     cells = V.points_cells(spark, SF_SMALL)
     out = tempfile.mkdtemp(prefix="wb-rt-")
-    WB.write_workbooks(cells, out).collect()
+    write_workbooks(cells, out)
     back = WB.read_cells(spark, out)
     cols = ["file", "sheet", "sheet_pos", "r_raw", "r", "c", "raw", "kind"]
     assert sorted(map(tuple, cells.select(cols).collect())) == sorted(map(tuple, back.collect()))
@@ -136,8 +137,8 @@ def test_broken_workbooks_are_told_and_folders_stay_apart(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     cells = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "in the folder", "s")], WB.CELL_SCHEMA)
     other = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "below it", "s")], WB.CELL_SCHEMA)
-    WB.write_workbooks(cells, str(tmp_path)).collect()
-    WB.write_workbooks(other, str(tmp_path / "sub")).collect()
+    write_workbooks(cells, str(tmp_path))
+    write_workbooks(other, str(tmp_path / "sub"))
     (tmp_path / "~$book.xlsx").write_bytes(b"lock")
     assert [r.raw for r in WB.read_cells(spark, str(tmp_path)).collect()] == ["in the folder"]
     bad = WB.unreadable(spark, str(tmp_path)).collect()
@@ -149,7 +150,7 @@ def test_cells_without_references_are_rejected(spark, tmp_path):
     import zipfile
     from ixpanel.sources import workbook as WB
     cells = spark.createDataFrame([("book.xlsx", "S", 0, 0, 0, 0, "x", "s")], WB.CELL_SCHEMA)
-    WB.write_workbooks(cells, str(tmp_path / "made")).collect()
+    write_workbooks(cells, str(tmp_path / "made"))
     (tmp_path / "bare").mkdir()
     with zipfile.ZipFile(tmp_path / "made" / "book.xlsx") as old, \
             zipfile.ZipFile(tmp_path / "bare" / "book.xlsx", "w") as new:
@@ -173,3 +174,131 @@ def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         session.remove_scratch(spark, "/tmp/elsewhere")
+
+
+def published(spark, rows):
+    return spark.createDataFrame(rows, ST.PUBLISHED_SCHEMA + ", source string")
+
+
+def ts(day):
+    import datetime
+    return datetime.datetime(2024, 1, day)
+
+
+def test_upsert_keeps_the_newest_publication(spark, tmp_path):
+    t = str(tmp_path / "t")
+    assert ST.read_table(spark, t).count() == 0
+    ST.upsert(published(spark, [("a", "2024-01", 1.0, "nsa", ts(5), "x"), ("b", "2024-01", 2.0, "nsa", ts(5), "x"),
+                                ("a", "2024-02", 3.0, "nsa", ts(5), "x")]), 0, t)
+    second = published(spark, [("a", "2024-01", 9.0, "nsa", ts(9), "y"), ("b", "2024-01", 8.0, "nsa", ts(1), "old"),
+                               ("c", "2024-01", 7.0, "sa", ts(9), "y"), ("c", "2024-01", 6.0, "sa", ts(9), "a")])
+    want = {("a", "2024-01", 9.0, "nsa"), ("b", "2024-01", 2.0, "nsa"), ("c", "2024-01", 7.0, "sa"), ("a", "2024-02", 3.0, "nsa")}
+    for _ in range(2):               # the batch again, as after a crash
+        ST.upsert(second, 1, t)
+        assert {tuple(r) for r in ST.read_table(spark, t).collect()} == want
+    # Only the touched month was written; a version without its heads doesn't count.
+    assert os.listdir(f"{t}/rows/version=1") != [] and not os.path.exists(f"{t}/rows/version=1/date=2024-02")
+    os.makedirs(f"{t}/heads/v=2")
+    assert {tuple(r) for r in ST.read_table(spark, t).collect()} == want
+    ST.vacuum(spark, t)
+    assert {tuple(r) for r in ST.read_table(spark, t).collect()} == want
+    assert not os.path.exists(f"{t}/rows/version=0/date=2024-01") and os.path.exists(f"{t}/rows/version=0/date=2024-02")
+    heads = ST._heads(spark, t).filter("date = '2024-02'")
+    assert all("date=2024-02" in f for f in ST._rows_of(spark, t, heads).inputFiles())
+
+
+def test_crash_between_the_sinks_and_a_bad_file(spark, tmp_path, monkeypatch):
+    drop, out, ckpt = (str(tmp_path / x) for x in ("drop", "out", "ckpt"))
+    grid = [("Year", 0, 0, "s"), ("Jan", 0, 1, "s"), ("2024", 1, 0, "n"), ("5", 1, 1, "n")]
+    cells = spark.createDataFrame([(f, "S", 0, r, r, c, raw, kind) for f in ("a.xlsx", "b.xlsx") for raw, r, c, kind in grid],
+                                  WB.CELL_SCHEMA)
+    write_workbooks(cells, drop)
+    (tmp_path / "drop" / "bad.xlsx").write_bytes(b"no workbook")
+    sink, calls = ST._sink, []
+
+    def failing(rows, folder, batch_id):
+        calls.append(folder)
+        if len(calls) == 2:
+            raise RuntimeError("lost between the sinks")
+        sink(rows, folder, batch_id)
+
+    monkeypatch.setattr(ST, "_sink", failing)
+    q = ST.stream_workbooks(spark, drop, out, ckpt)
+    with pytest.raises(Exception, match="lost between the sinks"):
+        q.awaitTermination()
+    schema = "file string"
+    assert os.path.exists(f"{out}/points/batch=0") and ST.read_committed(spark, out, "points", schema).count() == 0
+    monkeypatch.setattr(ST, "_sink", sink)
+    for _ in range(2):               # the restart, and one with nothing new
+        ST.stream_workbooks(spark, drop, out, ckpt).awaitTermination()
+        assert sorted((r.file, r.layout) for r in ST.read_committed(spark, out, "points").collect()) == [
+            (f, k) for f in ("a.xlsx", "b.xlsx") for k in ("context", "year_month")]
+        assert [r.file for r in ST.read_committed(spark, out, "unreadable").collect()] == ["bad.xlsx"]
+
+
+def test_stored_cells_read_only_what_is_asked(spark, tmp_path):
+    from ixpanel.sources import cells as SC
+    cells = V.points_cells(spark, SF_SMALL)
+    path = str(tmp_path / "cells")
+    SC.write_cells(cells, path, parts=8)
+    stored = SC.read_cells(spark, path)
+    assert sorted(map(tuple, stored.select(cells.columns).collect())) == sorted(map(tuple, cells.collect()))
+    latest = FS.latest_file(V.points_manifest(spark, SF_SMALL))
+    one = SC.of_files(stored, latest, parts=8)
+    file = latest.first().file
+    assert one.count() == cells.filter(F.col("file") == file).count() > 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan and "part#" in plan.split("PartitionFilters")[1].split("]")[0]
+    first = G.first_sheet(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sheet_pos,0)" in first
+    # Rows of a file lie together.
+    assert all(len(os.listdir(os.path.join(path, p))) <= 4 for p in os.listdir(path) if p.startswith("part="))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_asof_join_like_search(spark, parts):
+    import random
+    from ixpanel.operators.asof import asof_join
+    rng = random.Random(parts)
+    left = [(i, rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([None, *range(40)])) for i in range(300)]
+    right = [(rng.choice(["hot"] * 3 + ["a", "c", None]), rng.choice([None, *range(5, 40)]), f"f{rng.randrange(30)}") for _ in range(60)]
+    l = spark.createDataFrame(left, "id int, g string, t int")
+    r = spark.createDataFrame(right, "g string, t int, file string")
+    got = {x.id: (x.at, x.file) for x in asof_join(
+        l, r.withColumnRenamed("t", "at"), ["g"], "t", "at", ["at", "file"], parts).collect()}
+    want = {i: max(((t2, f) for g2, t2, f in right if g2 == g and t is not None and t2 is not None and t2 <= t),
+                   default=(None, None)) for i, g, t in left}
+    assert got == want
+    assert asof_join(l, r.filter("false").withColumnRenamed("t", "at"), ["g"], "t", "at", ["file"], parts).filter(
+        "file is not null").count() == 0
+    assert asof_join(l.filter("false"), r.withColumnRenamed("t", "at"), ["g"], "t", "at", ["file"], parts).count() == 0
+
+
+def test_manifest_changes(spark):
+    day = lambda d: __import__("datetime").datetime(2024, 1, d)
+    schema = "file string, size long, mtime timestamp"
+    old = spark.createDataFrame([("a.xlsx", 1, day(1)), ("b.xlsx", 1, day(1)), ("c.xlsx", 1, day(1)), ("d.xlsx", 1, None),
+                                 ("n.xls", 1, day(1))], schema)
+    new = spark.createDataFrame([("a.xlsx", 1, day(1)), ("b.xlsx", 2, day(1)), ("d.xlsx", 1, None), ("e.xlsx", 1, day(2))], schema)
+    assert sorted((r.file, r.kind) for r in FS.changes(old, new).collect()) == [
+        ("b.xlsx", "changed"), ("c.xlsx", "removed"), ("e.xlsx", "added")]
+    three = old.selectExpr("1 as version", "*").unionByName(new.selectExpr("2 as version", "*")).unionByName(
+        old.selectExpr("3 as version", "*")).filter("file like '%.xlsx'")
+    kinds = sorted((r.version, r.file, r.kind) for r in FS.snapshot_changes(three).collect())
+    assert [k for k in kinds if k[0] == 3] == [(3, "b.xlsx", "changed"), (3, "c.xlsx", "added"), (3, "e.xlsx", "removed")]
+    assert [k for k in kinds if k[0] == 1] == [(1, f"{c}.xlsx", "added") for c in "abcd"] and not [k for k in kinds if k[0] > 3]
+
+
+def test_rules_as_a_table(spark):
+    from ixpanel.operators import links as LK
+    a = spark.createDataFrame([(1, 0, "http://x/", "/a.xlsx", "CPI-U"), (1, 1, "http://x/", "/b.pdf", "index"), (1, 2, "http://x/", None, None)],
+                              "page_id long, pos int, base string, href string, text string")
+    rules = lambda rows: LK.rule_table(spark.createDataFrame(rows, "priority int, field string, pattern string"))
+    got = lambda rows: {r.pos: r.priority for r in LK.workbook_links(a, "2024-01", rules(rows)).collect()}
+    assert got([(5, "text", "."), (2, "href", "b[.]")]) == {0: 5, 1: 2}
+    assert got([(5, "text", "^C")]) == {0: 5} and got([]) == {}
+    assert {r.pos: r.priority for r in LK.workbook_links(a, "2024-01").collect()} == {0: 2}
+    with pytest.raises(ValueError):
+        rules([(1, "url", "x")])
+    with pytest.raises(ValueError):
+        rules([(i, "href", "x") for i in range(LK.MAX_RULES + 1)])
