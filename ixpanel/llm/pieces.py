@@ -17,14 +17,23 @@ lattices are searched for more, and the document's N best are merged from there.
 Decoding gives the text back exactly, whatever it holds: characters without a
 piece, and the word mark itself, are spelled in bytes.
 
+The N best paths through a position use its N best ways to the end, so the search
+visits no position more than N times: it is linear in long runs of one character,
+where very many paths have equal scores. Among equal scores it visits positions
+from the right, which puts all ways to the end from a position in order.
+
 Defined results: a null text has null pieces; an empty text has none, one
-segmentation, and decodes to itself; equal scores are ordered by where they
-deviate first, then by the pieces' ids; repeated rows each keep their row. A
-segmentation appears once; texts with fewer than N have all they have.
+segmentation, and decodes to itself; equal scores of a small lattice are ordered by
+the ids of its pieces from the first one on (scores that add up exactly, such as
+whole numbers, are equal in whatever order), those of a document by where they
+deviate; repeated rows each keep their row. A segmentation appears once; texts with
+fewer than N have all they have. The model's file must be at the given path on every
+machine.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import itertools
@@ -33,6 +42,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ixpanel.llm.common import field_of, prepare, table
@@ -66,6 +76,7 @@ class Pieces:
         # Pieces by their text, and an empty entry for the beginning of one, where a search goes on.
         self.table: dict[str, tuple] = {p[:k]: () for p in self.ids for k in range(1, len(p))}
         self.table |= {p: ((i,), s) for p, (i, s) in self.ids.items()}
+        self.bytes = pa.array([self.piece.get(i, b"") for i in range(sp.get_piece_size())], pa.binary())
         self.byte_score = min((s for _, s in self.ids.values()), default=0.0) - BYTE_PENALTY
         runs = "".join(f"[{''.join(map(re.escape, sorted(c)))}]+|" for c in self._classes())
         self.cut = re.compile(f"{MARK}*(?:{runs}[^{MARK}])|{MARK}+", re.DOTALL)
@@ -149,26 +160,38 @@ class Pieces:
             into[e[1]].append(e)
             best[e[1]] = max(best[e[1]], best[e[0]] + e[3])
         # Backward A*: a state is a position and the pieces behind it; what is before costs best[] exactly.
-        heap = [(-best[-1], (), len(s), 0.0, None)]
-        order = itertools.count()
+        # Among equal scores: positions from the right, then the next piece, then the rank of what follows it.
+        heap = [(-best[-1], -len(s), (), 0, 0.0, None)]
+        visits = [0] * (len(s) + 1)
+        least: list[list[float]] = [[] for _ in visits]      # the n best scores found for a position
         out: list[tuple[float, tuple[int, ...]]] = []
-        while heap and (len(out) < n or -heap[0][0] >= out[n - 1][0]):
-            _, _, at, done, tail = heapq.heappop(heap)
+        while heap and len(out) < n:
+            _, at, _, _, done, tail = heapq.heappop(heap)
+            at = -at
+            rank = visits[at]
+            if rank == n:
+                continue
+            visits[at] += 1
             if not at:
                 ids = []
                 while tail:
                     ids += tail[0]
                     tail = tail[1]
                 out.append((done, tuple(ids)))
-                if len(out) >= 4 * n:       # many equal scores: enough of them are known
-                    break
                 continue
             for a, _, ids, score in into[at]:
-                heapq.heappush(heap, (-(best[a] + score + done), (next(order),), a, done + score, (ids, tail)))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+                cost, known = -(best[a] + score + done), least[a]
+                if visits[a] == n or len(known) == n and cost > known[-1]:
+                    continue
+                bisect.insort(known, cost)
+                del known[n:]
+                heapq.heappush(heap, (cost, -a, ids, rank, done + score, (ids, tail)))
+        return out
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.piece.__getitem__, ids)).decode()[1:]
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, each behind a space, as bytes; null for a null list."""
+        pieces = self.bytes.take(ids.values)
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces, mask=ids.is_null()), b"")
 
 
 class Encoder:
@@ -256,8 +279,15 @@ def _encoder(model_file: str, n: int) -> Encoder:
     return _ENCODERS[model_file, n]
 
 
-def _text(pieces: Pieces, ids) -> str | None:
-    return None if ids is None else pieces.decode(ids) if ids else ""
+def _ids(found: list[np.ndarray | None]) -> pa.ListArray:
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in found)])
+    flat = np.concatenate([np.empty(0, np.int32), *(x for x in found if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)),
+                                    mask=pa.array([x is None for x in found], pa.bool_()))
+
+
+def _behind_space(raw: bytes | None) -> bytes | None:
+    return raw and raw[1:]          # nothing for no pieces
 
 
 def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL, back: bool = False) -> DataFrame:
@@ -275,13 +305,14 @@ def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL, back: bool
                 scores.append(score if text is not None else None)
                 others.append([{"score": s, "edits": [{"begin": a, "end": b, "ids": x} for a, b, x in edits]}
                                for s, edits in alternatives] if text is not None else None)
-            columns = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())),
+            columns = {"doc_id": batch.column(0), "ids": _ids(ids),
                        "score": pa.array(scores, pa.float64()), "alternatives": pa.array(others, pa.list_(ALTERNATIVE))}
             if back:
-                given = [_text(encoder.pieces, x) for x in columns["ids"].to_pylist()]
+                given = [_behind_space(x) for x in encoder.pieces.decode(columns["ids"]).to_pylist()]
                 columns["decoded_sha256"] = pa.array(
-                    [None if x is None else hashlib.sha256(x.encode()).hexdigest() for x in given], pa.string())
-                columns["exact"] = pa.array([x == text for x, text in zip(given, texts)], pa.bool_())
+                    [None if x is None else hashlib.sha256(x).hexdigest() for x in given], pa.string())
+                columns["exact"] = pa.array([x == (text if text is None else text.encode())
+                                             for x, text in zip(given, texts)], pa.bool_())
             yield pa.RecordBatch.from_pydict(columns)
 
     prepare(docs.sparkSession)
@@ -294,8 +325,9 @@ def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     def run(batches):
         pieces = _encoder(model_file, N_BEST).pieces
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [_text(pieces, x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            text = [_behind_space(x) for x in pieces.decode(batch.column(1).cast(pa.list_(pa.int32()))).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()).cast(pa.string())],
+                                             ["doc_id", "text"])
 
     prepare(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"{field_of(encoded, 'doc_id')}, text string")
