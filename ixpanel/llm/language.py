@@ -7,9 +7,10 @@ are told apart. A document's language is the one with the largest expected
 number of words; its score is that share.
 
 Learning takes a bounded sample: about ``docs_per_lang`` documents of each
-language, picked by a hash of doc_id over all labelled rows that aren't held
-out, and about ``windows_per_lang`` windows of WINDOW words out of these. Only
-text and lang are used. Prediction reads text alone, and all of it.
+language, picked by a hash of their text (each text once) over all labelled rows
+that aren't held out, and about ``windows_per_lang`` windows of WINDOW words out
+of these. Only text and lang are used; every label is learned, so a model grows
+with the number of languages. Prediction reads text alone, and all of it.
 
 Forward-backward runs over all words of many documents at once: they form one
 chain whose transition at a document's first word forgets what came before. The
@@ -30,6 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ixpanel.llm.common import field_of, prepare, table
@@ -38,7 +40,6 @@ BUCKETS = 1 << 16
 WINDOW = 32
 DOCS_PER_LANG = 400
 WINDOWS_PER_LANG = 1500
-MAX_LANGS = 256            # of the labels, the most frequent ones
 CHUNK_WORDS = 200_000      # words of one forward-backward pass
 CACHE_WORDS = 200_000      # word types a worker keeps
 EPOCHS, RATE, L2 = 6, 0.3, 1e-5
@@ -245,9 +246,11 @@ def held_out() -> F.Column:
 
 def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG,
            windows_per_lang: int = WINDOWS_PER_LANG) -> list[tuple[list[str], str]]:
-    """The bounded training sample: about ``windows_per_lang`` windows of each language."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    """The bounded training sample: about ``windows_per_lang`` windows of each language. Texts and
+    windows are picked by their own hash, each text once, so neither its number nor its copies matter."""
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select(
+        "lang", "text", F.xxhash64("text").alias("key"))
+    counts = rows.groupBy("lang").count().collect()           # one row a language
     if not counts:
         return []
 
@@ -255,18 +258,17 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG,
         rate = F.create_map(*(F.lit(x) for lang, c in of.items() for x in (lang, min(1.0, n / c))))
         return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)
 
-    some = rows.where(picked(docs_per_lang, {r["lang"]: r["count"] for r in counts}, F.col("doc_id"))).select(
-        "doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("words"))
-    some = some.where("size(words) > 0").select("doc_id", "lang", "words", F.explode(
+    some = rows.where(picked(docs_per_lang, {r["lang"]: r["count"] for r in counts}, F.col("key"))).dropDuplicates(
+        ["lang", "key"]).select("key", "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("words"))
+    some = some.where("size(words) > 0").select("key", "lang", "words", F.explode(
         F.sequence(F.lit(1), F.size("words"), F.lit(WINDOW))).alias("at")).select(
-        "doc_id", "lang", "at", F.slice("words", F.col("at"), WINDOW).alias("words"))
+        "key", "lang", "at", F.slice("words", F.col("at"), WINDOW).alias("words"))
     of = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
     if not of:
         return []
-    some = some.where(picked(windows_per_lang, of, F.col("doc_id"), F.col("at"), F.lit(7)))
-    return [(r["words"], r["lang"]) for r in
-            some.select("words", "lang").orderBy("lang", F.xxhash64("doc_id", "at"), F.array_join("words", " "))
-            .limit(2 * windows_per_lang * len(of)).collect()]
+    some = some.where(picked(windows_per_lang, of, F.col("key"), F.col("at"), F.lit(7)))
+    return [(r["words"], r["lang"]) for r in some.orderBy(
+        "lang", F.xxhash64("key", "at"), F.array_join("words", " ")).select("words", "lang").collect()]
 
 
 OUT = ("lang_pred string, score double, n_words long, shares array<double>, "
@@ -319,6 +321,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(bc), f"{field_of(docs, 'doc_id')}, {OUT}")
 
 
+def accepted(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) with a letter and a share of at least
+    ``min_score`` of their words in one language, in one pass that carries the whole rows."""
+    def run(batches, at=docs.columns.index("text")):
+        for batch in batches:
+            for found in predict([pa.RecordBatch.from_arrays([batch.column(at)] * 2, ["doc_id", "text"])]):
+                yield batch.filter(pc.and_(pc.not_equal(found["lang_pred"], "und"),
+                                           pc.greater_equal(found["score"], min_score)))
+
+    prepare(docs.sparkSession)
+    predict = _predict(docs.sparkSession.sparkContext.broadcast(model))      # as in identify
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, **bounds) -> Model | None:
     """A model of the sample of ``docs`` (doc_id, text, lang); None if nothing is labelled."""
     found = sample(docs, **bounds)

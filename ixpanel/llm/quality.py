@@ -157,9 +157,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer] | No
     if not counts:
         return None
     labels = LabelModel(counts)
+    # Texts are picked by their own hash, each once, however often and under whatever number it occurs.
     rate = min(1.0, sample / sum(counts.values()))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).mapInArrow(
-        _featured, "votes string, at binary, value binary").limit(2 * sample).toLocalIterator()
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    some = docs.select(key, F.col("text").cast("binary")).where(
+        F.pmod("key", F.lit(1 << 30)) < int(rate * (1 << 30))).dropDuplicates(["key"]).mapInArrow(
+        _featured, "votes string, at binary, value binary").toLocalIterator()
     some = sorted((bytes(r["at"]), bytes(r["value"]), labels.good[r["votes"]]) for r in some)    # any order, the same fit
     return labels, Scorer([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y) for a, v, y in some])
 

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -70,6 +72,26 @@ def test_texts_without_letters(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+def test_sample_of_many_languages_and_copies(spark):
+    free = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(free[2 * k + j], f"wort{k} sprache{j} " * 20, f"l{k:03d}") for k in range(300) for j in range(2)]
+    rows += [(free[700], "a text of which there are very many copies " * 4, "hot")] * 3000
+    df = spark.createDataFrame([(i, t, y, "s", None, 1.0, "v") for i, t, y in rows], DOCS)
+    found = language.sample(df, 5000, 5000)
+    assert {y for _, y in found} == {f"l{k:03d}" for k in range(300)} | {"hot"}
+    assert sum(y == "hot" for _, y in found) == 2          # the windows of one text
+
+
+def test_quality_sample_goes_by_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["all", "the", "click", "here", "!!!", "words", "of"]) for _ in range(rng.randint(9, 60)))
+             for _ in range(900)]
+    plain = docs(spark, list(enumerate(texts)))
+    unnumbered = docs(spark, [(None if k % 3 == 0 else 7, t) for k, t in enumerate(texts)]).repartition(7)
+    a, b = (quality.fit(df, 300)[1].weights for df in (plain, unnumbered))
+    assert np.array_equal(a, b)                            # whatever the numbers and the order
+
+
 # ---------------------------------------------------------------- pieces
 
 def every_segmentation(p, text):
@@ -95,7 +117,37 @@ def test_n_best_like_enumeration():
             got.append((s, tuple(x)))
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:5]])
         assert len({x for _, x in got}) == len(got) and {x for _, x in got} <= {x for _, x in want}
-        assert all(encoder.pieces.decode(x) == text for _, x in got)
+        assert all(decoded(encoder.pieces, x) == text for _, x in got)
+
+
+def decoded(p, ids):
+    return p.decode(pieces._ids([np.array(ids, np.int32)])).to_pylist()[0].decode()[1:]
+
+
+@pytest.mark.parametrize("letters, size", [("a", 14), ("-", 14), ("=", 13), (" ", 14), ("ab", 12), ("-=", 12), ("é", 9), ("\n", 12)])
+def test_n_best_with_ties_like_enumeration(letters, size):
+    rng = random.Random(size)
+    p = pieces.Pieces(pieces.MODEL)
+    for k in range(1, size + 1):
+        text = "".join(rng.choice(letters) for _ in range(k))
+        for s in p.lattices(text):
+            paths = [[(0.0, ())]] + [[] for _ in s]
+            for a, b, ids, score in p.edges(s):
+                paths[b] += [(v + score, x + ids) for v, x in paths[a]]
+            want = sorted(paths[-1], key=lambda x: (-x[0], x[1]))
+            for n in (1, 2, 4, 7):
+                assert p.n_best(s, n) == want[:n]
+
+
+def test_long_runs_of_one_character():
+    encoder = pieces.Encoder(pieces.MODEL, 4)
+    for c in ("-", "=", "a", " ", "_-", "ab"):
+        text = c * (20_000 // len(c))
+        start = time.process_time()
+        ids, score, others = next(encoder.encode([text]))
+        assert time.process_time() - start < 6         # a search that doubles with each character never ends
+        assert decoded(encoder.pieces, ids) == text and len(others) == 3
+        assert all(s <= score for s, _ in others)
 
 
 def test_round_trip(spark):
