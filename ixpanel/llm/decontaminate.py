@@ -147,22 +147,47 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     unnumbered: items with a null number are searched, too, and give one null at the end)."""
     spark = docs.sparkSession
     prepare(spark)
-    every = cut(windows(benchmark, size, unnumbered))
-    blocks = max(1, -(-every.count() // max_windows))
-    every = every.withColumn("block", F.expr(f"pmod(xxhash64(window), {blocks})"))
     head = f"{field_of(docs, 'doc_id')}, "
     tail = "n_words long, hits array<struct<begin: long, end: long>>, items array<string>"
     out = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
                       F.expr("cast(array() as array<struct<begin: long, end: long>>)").alias("hits"),
                       F.expr("cast(array() as array<string>)").alias("items"))
+    for last, bc in _blocks(spark, benchmark, size, max_windows, unnumbered):
+        out = out.mapInArrow(_last(bc) if last else _pass(bc), head + ("" if last else "text binary, ") + tail)
+        if not last:
+            out = cut(out)          # one block of patterns in a worker at a time
+    return out
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, size: int, max_windows: int, unnumbered: bool):
+    """The windows in blocks of at most ``max_windows``, each broadcast: that bounds what the driver and
+    a worker hold, not the benchmark's size."""
+    every = cut(windows(benchmark, size, unnumbered))
+    blocks = max(1, -(-every.count() // max_windows))
+    every = every.withColumn("block", F.expr(f"pmod(xxhash64(window), {blocks})"))
     for block in range(blocks):
-        if block:
+        yield block == blocks - 1, spark.sparkContext.broadcast(
+            [(tuple(r.window.encode().split(b" ")), tuple(r["items"]))
+             for r in every.where(F.col("block") == block).toLocalIterator()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) without a window of any item, numbered or not:
+    for each block of windows one pass that carries the whole rows."""
+    def searched(bc, at=docs.columns.index("text")):
+        def run(batches):
+            searcher = Searcher(bc.value)
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([not searcher.search(words_of(t and t.encode()))[0] for t in texts], pa.bool_()))
+        return run
+
+    prepare(docs.sparkSession)
+    out = docs
+    for last, bc in _blocks(docs.sparkSession, benchmark, size, max_windows, True):
+        out = out.mapInArrow(searched(bc), docs.schema)
+        if not last:
             out = cut(out)          # one block of patterns in a worker at a time
-        # max_windows bounds what the driver and a worker hold, not the benchmark's size.
-        bc = spark.sparkContext.broadcast([(tuple(r.window.encode().split(b" ")), tuple(r["items"]))
-                                           for r in every.where(F.col("block") == block).toLocalIterator()])
-        last = block == blocks - 1
-        out = out.mapInArrow(_last(bc) if last else _pass(bc), head + ("" if last else "text binary, ") + tail)
     return out
 
 

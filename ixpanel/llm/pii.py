@@ -1,17 +1,20 @@
 """Personal data: fixed formats, and bootstrapped contextual extraction of what they miss.
 
 Fixed formats (email, ip, card, phone) are matched and checked as they stand; these
-entities are the seeds. Every identifier-like token of the corpus is an instance; the
-word before it and the token's shape are its pattern. A pattern-instance graph with
-counts is scored in rounds:
+entities are the seeds. Every identifier-like token of the corpus is an instance, and the
+word before it, whatever the token looks like, is its pattern. Words are what white space
+separates, and end behind ":" and "=", so "ip:" is one in "ip:10.0.0.1". The graph of
+patterns and instances, with counts, is scored in rounds:
 
-* a pattern's confidence for a kind is the instances' scores summed over its matches,
-  divided by the number of times its word occurs at all, whatever follows, so common
-  words are no patterns;
-* an unseen instance scores the mean of its patterns, weighted by their counts.
+* a pattern's confidence for a kind is the scores of its matches (seeds 1), divided by the
+  number of times its word occurs at all, whatever follows, so common words are no patterns;
+  it is good with CONFIDENCE and MIN_SEEDS different seeds;
+* an unseen instance scores the confidence of the good patterns before it, averaged over all
+  its occurrences. With CONFIDENCE it is discovered: a seed of the next round, which may make
+  further patterns good, in whose place further identifiers are found.
 
-After ROUNDS rounds, patterns with a confidence of CONFIDENCE and MIN_SEEDS different
-seeds discover: unseen identifiers in their place become spans of that kind.
+After ROUNDS rounds, unseen identifiers of LEAST characters or more behind a good pattern
+become spans of its kind.
 
 Everything runs as SQL functions, and all scores are joined as tables: counts are
 pre-aggregated, and joins read written tables, so a frequent word splits over tasks.
@@ -35,12 +38,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ["email", "ip", "card", "phone"]
-# Identifier-like: a phone number, a long number, or a word with a digit or an at sign.
-TOKEN = (rf"{PHONE}|{CARD}|(?<![A-Za-z0-9@._%+/-])[A-Za-z._%+/-]*+[0-9@](?:[._%+/-]*+[A-Za-z0-9@])*+")
-ROUNDS = 2
+# Identifier-like: a phone number, a number with an area code in brackets, a long number, or a word
+# with a digit or an at sign.
+TOKEN = (rf"{PHONE}|\([0-9]{{2,5}}\)\x20?[0-9]++(?:[\x20.-][0-9]++)*+|{CARD}|"
+         r"(?<![A-Za-z0-9@._%+/-])[A-Za-z._%+/-]*+[0-9@](?:[._%+/-]*+[A-Za-z0-9@])*+")
+WORD_ENDS = r"(?<=[:=])|\s+"
+ROUNDS = 3
 CONFIDENCE = 0.5
 MIN_SEEDS = 3
-LONGEST_WORD = 40          # longer words are no context
+LEAST = 4                  # characters of a discovered identifier
+LONGEST_WORD = 40          # longer words are no patterns
 MASKS = {k: f"<{k.upper()}>" for k in KINDS}
 
 
@@ -69,8 +76,8 @@ def row_key() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Identifier-like tokens of ``docs`` (key, text): key, start, end, word (before it, lower case),
-    pattern, instance and kind (null: unseen)."""
+    """Identifier-like tokens of ``docs`` (key, text) behind a word: key, start, end, word (lower
+    case), instance (lower case) and kind (null: unseen)."""
     def whole(kind, pattern):
         valid = _VALID[kind].replace("s.hit", "hit")
         return f"when hit rlike '^(?:{pattern})$' and {valid} then '{kind}'".replace("\\", "\\\\")
@@ -79,52 +86,57 @@ def occurrences(docs: DataFrame) -> DataFrame:
     # inline_outer: Spark would put a size filter below inline, and with it all that makes the array.
     found = with_spans(docs, "t", TOKEN, gaps=True).select(
         "key", F.expr("inline_outer(transform(t, (s, i) -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, "
-                      f"'before', right(t_gaps[i], {LONGEST_WORD + 2}))))"))
+                      # Between two tokens a word begins behind white space, ":" or "=" alone.
+                      f"'before', concat(if(i = 0, ' ', ''), right(t_gaps[i], {LONGEST_WORD + 2})))))"))
     return found.select(
         "key", "start", "end", F.expr(kinds).alias("kind"), F.lower("hit").alias("instance"),
-        F.lower(F.regexp_extract("before", rf"(?:^|\s)(\S{{1,{LONGEST_WORD}}})\s?$", 1)).alias("word"),
-        F.regexp_replace(F.regexp_replace("hit", "[A-Za-z]+", "a"), "[0-9]+", "9").alias("shape")).where(
-        "start is not null and word != ''").withColumn("pattern", F.concat_ws("\t", "word", "shape"))
+        F.lower(F.regexp_extract("before", r"[\s:=]([^\s:=]*[:=]|[^\s:=]+)\s?$", 1)).alias("word")).where(
+        f"start is not null and length(word) between 1 and {LONGEST_WORD}")
 
 
 def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """How often each of ``words`` (word) occurs in all texts."""
-    every = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(
+    every = docs.select(F.explode(F.split(F.lower("text"), WORD_ENDS)).alias("word")).groupBy("word").agg(
         F.count("*").alias("total"))
     return words.select("word").distinct().join(every, "word")
 
 
 def patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
              min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """High-confidence patterns of ``seen`` (the occurrences): pattern, found (kind), confidence."""
-    edges = cut(seen.groupBy("pattern", "word", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
-    seeded = edges.where("kind is not null").select("word").distinct()
-    totals = cut(word_counts(docs, seeded))
-    edges = cut(edges.join(totals, "word", "left_semi"))      # other patterns never have a score
+    """The good patterns of ``seen`` (the occurrences): word, found (kind), confidence."""
+    edges = cut(seen.groupBy("word", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    # A word with fewer instances than a pattern has seeds never is one; nor does it change an
+    # instance's score but by its count.
+    enough = edges.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") >= min_seeds)
+    totals = cut(word_counts(docs, enough))
+    uses = cut(edges.where("kind is null").groupBy("instance").agg(F.sum("n").alias("uses")))
+    edges = cut(edges.join(totals.select("word"), "word", "left_semi"))
     score = {k: F.when(F.col("kind").isNotNull(), (F.col("kind") == k).cast("double")) for k in KINDS}
-    unseen = None
+    best = F.greatest(*(F.col(k) for k in KINDS))
+    found = None
     for r in range(rounds):
-        known = edges if unseen is None else edges.join(unseen, "instance", "left")
-        per = known.groupBy("pattern", "word").agg(
-            F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds"),
-            *(F.sum(F.col("n") * F.coalesce(score[k], F.lit(0.0) if unseen is None else F.col(f"u_{k}"), F.lit(0.0)))
-              .alias(k) for k in KINDS))
-        per = cut(per.join(totals, "word").select("pattern", "seeds", *(
-            F.least(F.col(k) / F.col("total"), F.lit(1.0)).alias(k) for k in KINDS)))
+        known = edges if found is None else edges.join(found, "instance", "left")
+        of = {k: F.coalesce(score[k], F.lit(0.0) if found is None else F.col(f"u_{k}"), F.lit(0.0)) for k in KINDS}
+        seed = F.col("kind").isNotNull() if found is None else F.col("kind").isNotNull() | F.col("u_email").isNotNull()
+        per = known.groupBy("word").agg(F.count_if(seed).alias("seeds"), *(
+            F.sum(F.col("n") * of[k]).alias(k) for k in KINDS))
+        per = per.where(F.col("seeds") >= min_seeds).join(totals, "word").select(
+            "word", *(F.least(F.col(k) / F.col("total"), F.lit(1.0)).alias(k) for k in KINDS))
+        good = cut(per.where(best >= confidence))
         if r + 1 < rounds:
-            unseen = cut(edges.where("kind is null").join(per, "pattern").groupBy("instance").agg(
-                *((F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(f"u_{k}") for k in KINDS)))
-    best = F.greatest(*(F.col(k) for k in KINDS))
-    return per.where(F.col("seeds") >= min_seeds).withColumn("confidence", best).where(
-        F.col("confidence") >= confidence).select(
-        "pattern", F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in KINDS)).alias("found"), "confidence")
+            scored = edges.where("kind is null").join(good, "word").groupBy("instance").agg(
+                *(F.sum(F.col("n") * F.col(k)).alias(k) for k in KINDS)).join(uses, "instance")
+            scored = scored.select("instance", *((F.col(k) / F.col("uses")).alias(f"u_{k}") for k in KINDS))
+            found = cut(scored.where(F.greatest(*(F.col(f"u_{k}") for k in KINDS)) >= confidence))
+    return good.select("word", F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in KINDS)).alias("found"),
+                       best.alias("confidence"))
 
 
 def discovered(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (key, text). Returns key and extra: the discovered spans of rows that have any."""
     seen = cut(occurrences(docs))
     good = cut(patterns(seen, docs, **how))
-    new = seen.where("kind is null").join(good, "pattern")
+    new = seen.where(f"kind is null and end - start >= {LEAST}").join(good, "word")
     return new.groupBy("key").agg(F.collect_set(F.struct("start", "end", "found")).alias("extra"))
 
 
@@ -147,17 +159,44 @@ def find(docs: DataFrame, **how) -> DataFrame:
         "row.*", "base", F.sort_array(F.concat("base", F.expr(extra))).alias("every"))
 
 
-def redacted(text: str = "text", spans: str = "every") -> Column:
-    """The text with its spans replaced by their kind in angle brackets; overlapping ones as one."""
-    merged = (f"aggregate({spans}, cast(array() as array<struct<start: bigint, kind: string, end: bigint>>), (acc, s) -> "
-              "if(size(acc) > 0 and s.start < element_at(acc, -1).end, concat(slice(acc, 1, size(acc) - 1), "
-              "array(named_struct('start', element_at(acc, -1).start, 'kind', element_at(acc, -1).kind, "
-              "'end', greatest(element_at(acc, -1).end, s.end)))), "
-              "concat(acc, array(named_struct('start', s.start, 'kind', s.kind, 'end', s.end)))), acc -> "
-              f"concat(transform(acc, (s, i) -> concat(substring(`{text}`, cast(if(i = 0, 0, acc[i - 1].end) + 1 as int), "
-              "cast(s.start - if(i = 0, 0, acc[i - 1].end) as int)), '<', upper(replace(s.kind, 'ctx_', '')), '>')), "
-              f"array(substring(`{text}`, cast(element_at(acc, -1).end + 1 as int)))))")
-    return F.expr(f"if(size({spans}) > 0, array_join({merged}, ''), `{text}`)")
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def redacted(text: str = "text", spans: str = "every", block: int = 64) -> Column:
+    """The text with its spans replaced by their kind in angle brackets; overlapping ones as one, by
+    the kind of the first.
+
+    Spans come sorted, and are worked on in blocks, each with its own part of the text: from where
+    the spans before the block end to where those of the block do. So the work is linear in the
+    spans, but for one short list of the blocks' ends."""
+    chunks = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(block)), lambda at: F.slice(spans, at, F.lit(block)))
+
+    def joined(chunk, begin, part):
+        start = F.struct(begin.alias("reach"), F.array().cast("array<string>").alias("out"))
+        mark = lambda s: F.concat(F.lit("<"), F.upper(F.replace(s["kind"], F.lit("ctx_"), F.lit(""))), F.lit(">"))
+        plain = lambda acc, s: part.substr((acc["reach"] - begin + 1).cast("int"), (s["start"] - acc["reach"]).cast("int"))
+        return F.aggregate(chunk, start, lambda acc, s: F.struct(
+            F.greatest(acc["reach"], s["end"]).alias("reach"),
+            F.when(s["start"] >= acc["reach"], F.concat(acc["out"], F.array(F.concat(plain(acc, s), mark(s)))))
+            .otherwise(acc["out"]).alias("out")), lambda acc: F.array_join(acc["out"], ""))
+
+    def whole(parts, ends):
+        def one(chunk, k):
+            begin, end = F.get(ends, k), F.get(ends, k + 1)
+            return _let(F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int")),
+                        lambda part: joined(chunk, begin, part))
+        return F.concat(F.array_join(F.transform(parts, one), ""),
+                        F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))
+
+    def ends(parts):        # where the spans up to each block end, 0 first
+        tops = F.transform(parts, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        return F.aggregate(tops, F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(
+            acc, F.array(F.greatest(F.element_at(acc, -1), t))))
+
+    return F.when(F.size(spans) > 0, _let(chunks, lambda parts: _let(ends(parts), lambda e: whole(parts, e)))) \
+            .otherwise(F.col(f"`{text}`"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
