@@ -1,8 +1,9 @@
 """Corpus pipeline: each stage gets the documents its predecessor kept.
 
 All stages but the last return the columns of documents. Each row stays or goes by its own
-text's decision: rows are told apart by a number that is checkpointed with them, so neither
-a null doc_id nor another row with the same one matters.
+text's decision: language ID and decontamination decide on whole rows as they pass, and
+de-duplication tells rows apart by doc_id and text, so neither a null doc_id nor another row
+with the same one matters. No stage writes texts other than its result.
 """
 
 from __future__ import annotations
@@ -10,48 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ixpanel.llm import decontaminate, language, pieces, pii, simhash
-from ixpanel.llm.common import cut, prepare, table
+from ixpanel.llm.common import table
 
 MIN_SHARE = 0.4       # a document with a smaller share of words in its main language is rejected
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id (a number for each row), text, and row (the row as it was)."""
-    prepare(docs.sparkSession)
-    return cut(docs.select(F.monotonically_increasing_id().alias("doc_id"),
-                           F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))).select(
-        "doc_id", F.col("row.text").alias("text"), "row")
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select("row.*")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a main language, go."""
-    rows = _numbered(docs)
-    found = language.identify(rows, language.learn(docs))
-    return _without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SHARE)))
+    return language.accepted(docs, language.learn(docs), MIN_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the rows with the smallest doc_id stay; where none has a doc_id,
-    one row."""
-    rows = _numbered(docs)
-    # The least of these is the smallest doc_id, and a null one only if there is no other.
-    ranked = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"),
-                      F.col("doc_id").alias("number"))
-    found = simhash.near_duplicates(rows.select(ranked.alias("doc_id"), "text"))
-    stays = F.when(F.col("doc_id.none"), F.col("doc_id.number") == F.col("component_id.number")).otherwise(
-        F.col("doc_id.id") == F.col("component_id.id"))
-    return _without(rows, found.where(~stays).select(F.col("doc_id.number").alias("doc_id")))
+    """Of each group of near copies one row stays: that with the smallest doc_id, or without one if
+    no other has one; of several texts with it the one with the smallest hash, of equal rows any."""
+    text = F.coalesce("text", F.lit(""))
+    # Sorts by doc_id, null ones last, and tells texts apart.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("a"),
+                   F.hash(text).alias("b"), F.length(text).alias("n"), F.col("text").isNull().alias("no_text"))
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    once = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(gone, "key", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, whether or not the item has a number."""
-    rows = _numbered(docs)
-    found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"), unnumbered=True)
-    return _without(rows, found.where("size(hits) > 0"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
