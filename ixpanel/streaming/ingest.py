@@ -91,9 +91,10 @@ def newest(rows: DataFrame) -> DataFrame:
 
 
 def upsert(batch: DataFrame, batch_id: int, table_dir: str) -> None:
-    """Merge published rows into the table at ``table_dir``."""
+    """Merge published rows into the table at ``table_dir``. Rows whose date names no month (``YYYY-MM``)
+    belong to none and are left out."""
     spark = batch.sparkSession
-    batch = batch.select(*KEY, "index", "published", "source").persist()
+    batch = batch.filter(F.col("date").rlike("^[0-9]{4}-[0-9]{2}$")).select(*KEY, "index", "published", "source").persist()
     try:
         touched = batch.select("date").distinct()
         before = _heads(spark, table_dir, batch_id)

@@ -191,7 +191,8 @@ def test_upsert_keeps_the_newest_publication(spark, tmp_path):
     ST.upsert(published(spark, [("a", "2024-01", 1.0, "nsa", ts(5), "x"), ("b", "2024-01", 2.0, "nsa", ts(5), "x"),
                                 ("a", "2024-02", 3.0, "nsa", ts(5), "x")]), 0, t)
     second = published(spark, [("a", "2024-01", 9.0, "nsa", ts(9), "y"), ("b", "2024-01", 8.0, "nsa", ts(1), "old"),
-                               ("c", "2024-01", 7.0, "sa", ts(9), "y"), ("c", "2024-01", 6.0, "sa", ts(9), "a")])
+                               ("c", "2024-01", 7.0, "sa", ts(9), "y"), ("c", "2024-01", 6.0, "sa", ts(9), "a"),
+                               ("d", None, 1.0, "sa", ts(9), "y"), ("d", "2024/01", 1.0, "sa", None, None)])
     want = {("a", "2024-01", 9.0, "nsa"), ("b", "2024-01", 2.0, "nsa"), ("c", "2024-01", 7.0, "sa"), ("a", "2024-02", 3.0, "nsa")}
     for _ in range(2):               # the batch again, as after a crash
         ST.upsert(second, 1, t)
