@@ -186,8 +186,7 @@ def category_catalogue(cells: DataFrame, n: int | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- G4–G8
 
-POINT = ("layout", "r", "c", "ticker", "year", "month", "value", "series_id", "category", "source",
-         "seasonally_adjusted")
+POINT = ("layout", "c", "year", "month", "value", "series_id", "seasonally_adjusted")    # of a row's points
 LAYOUTS = ("year_month", "timeseries", "context")
 
 
@@ -281,8 +280,10 @@ def _sheet_rows(cells: DataFrame) -> DataFrame:
     def below(column, value):
         return F.when((r > F.col("hr5")) & (c == F.col(column)), value)
 
-    cell = cells.join(layout_facts(cells), KEY).select(
-        *KEY, "r", "c", "v_c", "s_c", S.is_numeric(raw, kind).alias("num_ok"), S.numeric_value(raw, kind).alias("num"),
+    cell = cells.join(layout_facts(cells), KEY).withColumn("number", S.python_float(raw))     # read once a cell
+    cell = cell.select(
+        *KEY, "r", "c", "v_c", "s_c", S.is_numeric(raw, kind, F.col("number")).alias("num_ok"),
+        S.numeric_value(raw, kind, F.col("number")).alias("num"),
         year4.alias("year4"), S.four_digit_year(raw).alias("yr4"),
         below("d_c", raw).alias("date_raw"), below("d_c", kind).alias("date_kind"),
         below("v_c", F.lit(True)).alias("is_v"), below("s_c", raw).alias("series_raw"),
@@ -303,8 +304,7 @@ def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False, la
     keeps one row per cell and period instead."""
     def point(layout, c, year, month, value, series_id, sa):
         return F.struct(*(x.alias(n) for n, x in zip(POINT, (
-            F.lit(layout), F.col("r"), c, F.lit(ticker), year.cast("int"), month.cast("int"), value.cast("double"),
-            series_id, F.lit(fixed.POINT_CATEGORY), F.lit(fixed.POINT_SOURCE), sa))))
+            F.lit(layout), c, year.cast("int"), month.cast("int"), value.cast("double"), series_id, sa))))
 
     label, p = S.series_label(F.lit(ticker)), F.col("p")
     rows = _sheet_rows(cells)
@@ -326,7 +326,8 @@ def union_layouts(cells: DataFrame, ticker: str = "cpi", dedup: bool = False, la
         found.append(F.transform(
             F.filter("nums", lambda x: x["month6"].isNotNull() & year(x).isNotNull()),
             lambda x: point("context", x["c"], year(x), x["month6"], x["num"], label, F.lit(True))))
-    out = rows.select(*KEY, F.inline(F.concat(*found) if len(found) > 1 else found[0])).select(POINT_COLS)
+    out = rows.select(*KEY, "r", F.inline(F.concat(*found) if len(found) > 1 else found[0])).withColumns({
+        "ticker": F.lit(ticker), "category": F.lit(fixed.POINT_CATEGORY), "source": F.lit(fixed.POINT_SOURCE)}).select(POINT_COLS)
     if dedup:
         out = out.dropDuplicates(["file", "sheet", "r", "c", "year", "month"])
     return out

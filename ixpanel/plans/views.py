@@ -202,7 +202,8 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
     li = read_table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
     monthly = li.groupBy(F.col("l_suppkey").alias("k"), F.trunc("l_shipdate", "month").alias("ms")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast(DEC)).alias("amount"))
-    return monthly.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("ms", "n", "amount"))).alias("months"))
+    known = F.when(F.col("ms").isNotNull(), F.struct("ms", "n", "amount"))
+    return monthly.groupBy("k").agg(F.sort_array(F.collect_list(known)).alias("months"))
 
 
 def series_text_rule(k, month):
@@ -232,49 +233,73 @@ def points_cells(spark: SparkSession, d: str) -> DataFrame:
     series column. Every March is written in a way that names no period, May
     and October are dates, September has no value.
     """
-    k = F.col("k")
-    years = F.array_sort(F.array_distinct(F.transform("months", lambda x: F.year(x["ms"]))))
-    month = "struct<ms: date, n: bigint, amount: decimal(28,2)>"
-    row = lambda sheet, i, y, x: F.struct(
-        F.lit(sheet).alias("sheet"), i.alias("i"), y.cast("int").alias("y"), x.cast(month).alias("x"))
-    rows = _books(spark, d).select(
-        "k", "months", F.map_from_entries(F.transform(
-            "months", lambda x: F.struct(_month_number(x["ms"]), x["n"]))).alias("n"),
-        F.explode(F.concat(F.transform(years, lambda y, i: row("grid", i, y, F.lit(None))),
-                           F.transform("months", lambda x, i: row("series", i, F.lit(None), x)))).alias("row"))
-    grid = F.col("row.sheet") == "grid"
-    rows = rows.select(
-        "k", "months", "n", "row.*", F.when(grid, _pick(GRID_HEADERS, k % 5)).otherwise(_pick(SERIES_HEADERS, k % 4)).alias("h"),
+    k, month = F.col("k"), "struct<ms: date, n: bigint, amount: decimal(28,2), i: int, grid_i: int>"
+    head_cell, year = "struct<sheet: int, r_raw: int, r: int, c: int, raw: string>", "struct<i: int, y: int, n: bigint>"
+    shapes = [F.lit(None).cast(t) for t in (head_cell, year, month)]
+    books = _books(spark, d).filter(k.isNotNull()).select(
+        "k", "months", F.array_sort(F.array_distinct(F.transform("months", lambda x: F.year(x["ms"])))).alias("years"),
+        _pick(GRID_HEADERS, k % 5).alias("gh"), _pick(SERIES_HEADERS, k % 4).alias("sh"),
         (k % 3).cast("int").alias("o"), *[_pick(at, k % 3).alias(f"{c}_c") for c, at in zip("dvs", SERIES_COLUMNS)])
-    file, sheet, h, o, m = _supplier_file(k), F.col("sheet"), F.col("h"), F.col("o"), F.month("x.ms")
-    pos = F.when(sheet == "grid", 0).otherwise(1)
-    first, gap = F.col("i") == 0, F.when(h > 0, 1).otherwise(0)
-    r = h + 1 + F.col("i")
-
-    def head(c, text):
-        return _cell(file, sheet, pos, h + gap, h, c, F.when(first, text), "s")
-
-    def cell(c, text, kind):
-        return _cell(file, sheet, pos, r + gap, r, c, text, kind)
-
-    shown = F.col("y") + F.when(k % 6 == 5, YEAR_SHIFT - 5).otherwise(YEAR_SHIFT)
-    annual = F.aggregate(F.filter("months", lambda x: F.year(x["ms"]) == F.col("y")), F.lit(0).cast("long"),
-                         lambda a, x: a + x["n"])
+    o, has_series = F.col("o"), k % 5 != 0
+    gap = {"gh": F.when(F.col("gh") > 0, 1).otherwise(0), "sh": F.when(F.col("sh") > 0, 1).otherwise(0)}
     word = lambda a, b: F.when(k % 2 == 0, F.lit(a)).otherwise(F.lit(b))
-    of_grid = [head(o, F.lit("Year")), head(o + 13, F.lit("Annual")),
-               *[head(o + j, word(t[:3], t)) for j, t in enumerate(MONTH_NAMES, 1)],
-               cell(o, shown, F.when(k % 7 == 3, "s").otherwise("n")), cell(o + 13, annual, "n"),
-               *[cell(o + j, F.try_element_at("n", F.col("y") * 12 + j), "n") for j in range(1, 13)]]
-    has_series = k % 5 != 0
-    of_series = [head(F.col("d_c"), word("Date", "Period")), head(F.col("v_c"), word("Value", "Index")),
-                 head(F.col("s_c"), F.when(has_series, word("Series ID", "Code"))),
-                 cell(F.col("d_c"), date_text_rule(F.col("x.ms")), F.when(m % 5 == 0, "d").otherwise("s")),
-                 cell(F.col("v_c"), F.when(m == 9, F.lit("n/a")).otherwise(F.col("x.amount").cast("string")), "s"),
-                 cell(F.col("s_c"), F.when(has_series, series_text_rule(k, m)), "s")]
-    titles = F.transform(F.sequence(F.lit(0), h), lambda t: _cell(
-        file, sheet, pos, t, t, 0, F.when(first & (t < h), F.when(t == 0, F.lit("Shipments by month")).otherwise(
-            F.concat(F.lit("Note "), t.cast("string")))), "s"))
-    return _explode_cells(rows, F.concat(F.when(sheet == "grid", F.array(*of_grid)).otherwise(F.array(*of_series)), titles))
+
+    def item(at, value):        # one of a header cell, a year of the grid, a month
+        return F.struct(*[x.alias(n) for n, x in zip(("head", "year", "month"), [*shapes[:at], value, *shapes[at + 1:]])])
+
+    def head(sheet, r_raw, r, c, raw):
+        return item(0, F.struct(*[x.cast("int") for x in (F.lit(sheet), r_raw, r, c)], raw).cast(head_cell))
+
+    def titles(sheet, h):
+        return F.transform(F.sequence(F.lit(0), F.col(h)), lambda t: head(sheet, t, t, F.lit(0), F.when(
+            t < F.col(h), F.when(t == 0, F.lit("Shipments by month")).otherwise(F.concat(F.lit("Note "), t.cast("string"))))))
+
+    def row(sheet, h, cells):
+        return F.array(*[head(sheet, F.col(h) + gap[h], F.col(h), c, raw) for c, raw in cells])
+
+    # The header cells of a workbook are made once; its years and months are dealt out as they are, and
+    # their few cells come from an array without lambdas, which Spark compiles.
+    heads = F.concat(
+        row(0, "gh", [(o, F.lit("Year")), (o + 13, F.lit("Annual")),
+                      *[(o + j, word(t[:3], t)) for j, t in enumerate(MONTH_NAMES, 1)]]),
+        row(1, "sh", [(F.col("d_c"), word("Date", "Period")), (F.col("v_c"), word("Value", "Index")),
+                      (F.col("s_c"), F.when(has_series, word("Series ID", "Code")))]),
+        titles(0, "gh"), titles(1, "sh"))
+    annual = lambda y: F.aggregate(F.filter("months", lambda x: F.year(x["ms"]) == y), F.lit(0).cast("long"),
+                                   lambda a, x: a + x["n"])
+    items = books.select("k", "gh", "sh", "o", "d_c", "v_c", "s_c", F.explode(F.concat(
+        heads, F.transform("years", lambda y, i: item(1, F.struct(i, y, annual(y)).cast(year))),
+        F.transform("months", lambda x, i: item(2, F.struct(
+            x["ms"], x["n"], x["amount"], i, F.array_position("years", F.year(x["ms"])) - 1).cast(month))))).alias("item"))
+    shown = F.col("item.year.y") + F.when(k % 6 == 5, YEAR_SHIFT - 5).otherwise(YEAR_SHIFT)
+    m = F.month("ms")
+    rows = items.select(
+        "k", "o", "d_c", "v_c", "s_c", "item.head", F.col("item.year.y").alias("y"), "item.month.ms",
+        F.when(k % 7 == 3, "s").otherwise("n").alias("year_kind"), shown.cast("string").alias("shown"),
+        F.col("item.year.n").cast("string").alias("annual"), F.col("item.month.n").cast("string").alias("n"),
+        F.col("item.month.amount").cast("string").alias("amount"), gap["gh"].alias("g_gap"), gap["sh"].alias("s_gap"),
+        (F.col("gh") + 1 + F.coalesce("item.year.i", "item.month.grid_i")).alias("gr"),
+        (F.col("sh") + 1 + F.col("item.month.i")).alias("sr"))
+    rows = rows.withColumns({
+        "date": date_text_rule(F.col("ms")), "date_kind": F.when(m % 5 == 0, "d").otherwise("s"),
+        "value": F.when(m == 9, F.lit("n/a")).otherwise(F.col("amount")), "series": F.when(has_series, series_text_rule(k, m)),
+        "m": m})
+
+    def cell(sheet, c, raw, kind):
+        r, g = (F.col("gr"), F.col("g_gap")) if sheet == 0 else (F.col("sr"), F.col("s_gap"))
+        return F.struct(F.lit(sheet).alias("sheet_pos"), (r + g).alias("r_raw"), r.alias("r"), c.cast("int").alias("c"),
+                        F.col(raw).alias("raw"), (F.lit(kind) if kind in ("s", "n") else F.col(kind)).alias("kind"))
+
+    of_year = F.array(cell(0, o, "shown", "year_kind"), cell(0, o + 13, "annual", "n"))
+    of_month = F.array(cell(0, o + F.col("m"), "n", "n"), cell(1, F.col("d_c"), "date", "date_kind"),
+                       cell(1, F.col("v_c"), "value", "s"), cell(1, F.col("s_c"), "series", "s"))
+    of_head = F.array(F.struct(F.col("head.sheet").alias("sheet_pos"), "head.r_raw", "head.r", "head.c", "head.raw",
+                               F.lit("s").alias("kind")))
+    cells = rows.select(_supplier_file(k).alias("file"), F.inline(
+        F.when(F.col("ms").isNotNull(), of_month).when(F.col("y").isNotNull(), of_year).otherwise(of_head)))
+    return cells.filter(F.col("raw").isNotNull()).select(
+        "file", F.when(F.col("sheet_pos") == 0, "grid").otherwise("series").alias("sheet"), "sheet_pos", "r_raw", "r", "c",
+        "raw", "kind")
 
 
 def points_manifest(spark: SparkSession, d: str) -> DataFrame:
