@@ -39,16 +39,20 @@ def validate(requests: DataFrame, form: str = "batch") -> DataFrame:
 def explode_valid(checked: DataFrame) -> DataFrame:
     """Valid requests → ``request_id, ord, ticker, date, current_month,
     previous_month`` (``ord`` = position in the request, from 0)."""
-    v = checked.filter(F.col("reason").isNull())
-    return (v.select("request_id", "date", F.posexplode("category_list").alias("ord", "ticker"))
-            .withColumn("current_month", S.current_month(F.col("date")))
-            .withColumn("previous_month", S.previous_month(F.col("date"))))
+    # Months and names are made once a request, in a step that no filter of the joins above passes:
+    # pushed below it, each would work out the date anew, in one method too long for the JVM to compile.
+    # A rejected request gives a row without a name, dropped at the end.
+    v = checked.select("request_id", "date", F.inline_outer(F.array(F.when(F.col("reason").isNull(), F.struct(
+        F.col("category_list").alias("asked"), S.current_month(F.col("date")).alias("current_month"),
+        S.previous_month(F.col("date")).alias("previous_month"))))))
+    return v.select("request_id", "date", F.posexplode_outer("asked").alias("ord", "ticker"),
+                    "current_month", "previous_month").filter(F.col("ord").isNotNull())
 
 
 def route_by_date(exploded: DataFrame) -> DataFrame:
     """Send each request to the workbook published for its month
     (``cpi-u-YYYYMM.xlsx``, the link-target naming rule)."""
-    ym = F.regexp_replace(F.col("current_month"), "-", "")
+    ym = F.replace(F.col("current_month"), F.lit("-"), F.lit(""))
     return exploded.withColumn("file", F.concat(F.lit("cpi-u-"), ym, F.lit(".xlsx")))
 
 
